@@ -1,0 +1,6 @@
+"""Registered queries and their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
