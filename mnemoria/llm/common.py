@@ -72,3 +72,36 @@ def text_batches(batches, column: str, most: int = 1 << 24):
             end = max(start + 1, int(np.searchsorted(off, off[start] + most, "right")) - 1)
             yield b.slice(start, end - start)
             start = end
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < n; kept for later batches."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        m = 1 << max(16, int(n - 1).bit_length())
+        up, down = np.full(m, base, np.uint64), np.full(m, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        have = _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+    return have
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of buf[start:end] for all spans: differences of one polynomial prefix sum modulo 2^64 (base odd)."""
+    up, down = _powers(base, len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+#: Odd bases of the polynomial hashes.
+BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts c: the owner of each of sum(c) items, and its place within the owner."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    return owner, np.arange(len(owner)) - first[owner]

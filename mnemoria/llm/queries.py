@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality_rules
+from . import langid, mixing, pieces, quality_rules
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,16 @@ def held_out(mod: int, is_: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == is_
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents")
+    p = pieces.session_pieces(spark)
+    got = pieces.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), p)
+    got = got.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash")).alias("doc_id"), "ids")
+    back = pieces.decode(got, p)
+    return back.select("doc_id.*", F.length("text").cast("long").alias("n_chars_decoded"), F.xxhash64("text").alias("decoded_hash"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, ~held_out(4, 2))
@@ -36,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
