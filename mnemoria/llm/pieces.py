@@ -206,7 +206,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     """docs(text) -> w, a, b: every distinct word (blank as U+2581) with its two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text", 1 << 25):
+        for x in text_batches(batches, "text", 1 << 22):
             buf, starts, ends, _ = _cut_words(*flat(x.column(0)))
             a, b = _keys(buf, starts, ends)
             _, first = np.unique(a, return_index=True)
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n, start, ids = held.value
-        for x in text_batches(batches, "text", 1 << 23):
+        for x in text_batches(batches, "text", 1 << 22):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)))
             ha, hb = _keys(buf, starts, ends)
             distinct, inverse = np.unique(ha, return_inverse=True)
