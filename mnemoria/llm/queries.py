@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality_rules
+from . import chat, langid, mixing, pieces, quality_rules, token_counts, toxicity
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id.*", F.length("text").cast("long").alias("n_chars_decoded"), F.xxhash64("text").alias("decoded_hash"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    return toxicity.score(docs, lexicon).withColumn("held_out", held_out(3, 1))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, ~held_out(4, 2))
@@ -35,6 +41,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = chat.rotate(table(spark, sf_dir, "conversations"))
+    return got.withColumn("rendered", F.sha2("rendered", 256)).withColumnRenamed("rendered", "rendered_sha256")
+
+
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """Three edits for every document, from its id and text alone: a replacement, a removal and an appended sentence."""
+    n = F.length("text")
+    place = lambda k: F.pmod(F.hash("doc_id", F.lit(k)), n + 1).cast("int")
+    e = lambda at, remove, insert: F.struct(at.alias("at"), remove.cast("int").alias("remove"), insert.alias("insert"))
+    piece = F.substring(F.col("text"), place(3) + 1, F.pmod(F.hash("doc_id", F.lit(4)), F.lit(60)).cast("int"))
+    return docs.withColumn("edits", F.array(e(place(1), F.pmod(F.hash("doc_id", F.lit(2)), F.lit(40)), piece), e(place(5), F.lit(25), F.lit("")), e(n, F.lit(0), F.concat(F.lit(" See note "), F.col("doc_id").cast("string"), F.lit(".")))))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = token_counts.count_edits(sample_edits(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.withColumn("sums", F.xxhash64("sums")).withColumnRenamed("sums", "tree_hash")
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """labels(doc_id, quality) -> doc_id, weight: good documents are drawn four times as readily as bad ones."""
     return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
@@ -47,8 +75,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat_format": op8_chat_format,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
