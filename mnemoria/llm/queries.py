@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, mixing, pieces, quality_rules, token_counts, toxicity
+from . import chat, embedding_dedup, jaccard, langid, mixing, pieces, quality_rules, token_counts, toxicity
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,10 @@ def held_out(mod: int, is_: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == is_
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
