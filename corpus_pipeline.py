@@ -1,16 +1,72 @@
-"""A training-corpus pipeline from the operators of mnemoria.llm."""
+"""A training-corpus pipeline from the operators of mnemoria.llm.
+
+documents(doc_id, text, lang, source, n_chars) pass five stages; all but the last return these columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemoria.llm import jaccard, langid, mixing, pieces, queries, suffix_dedup
+from mnemoria.llm.common import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language (null, or no letter); a missing lang becomes the predicted one."""
+    rows = docs.withColumn("row", F.struct(*COLUMNS))
+    got = langid.predict(rows.select("row", "text"), langid.train(docs, F.lit(True)), "row")
+    return got.filter("lang_pred <> 'und'").select("row.doc_id", "row.text", F.coalesce("row.lang", "lang_pred").alias("lang"), "row.source", "row.n_chars")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest id stays; rows that repeat an id stay once."""
+    found = jaccard.join(docs)
+    gone = cut(found.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= queries.BROADCAST_IDS else gone, "doc_id", "left_anti")
+    if cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is not null and n > 1")).isEmpty():
+        return kept.select(*COLUMNS)
+    return kept.filter("doc_id is null").select(*COLUMNS).unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes bytes that a smaller document has in a string of 50; what is left of a split character goes too."""
+    got = suffix_dedup.cut_repeats(docs, characters=True)
+    return got.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    got = mixing.mix(docs, queries.quality_weights(table(spark, sf_dir, "labels")))
+    times = got.groupBy("doc_id").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).select("doc_id", (F.col("times") / F.col("rows")).cast("int").alias("times"))
+    times = cut(times.filter("times <> 1"))
+    times = F.broadcast(times) if times.count() <= queries.BROADCAST_IDS else times
+    kept = docs.join(times, "doc_id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    return kept.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text."""
+    got = pieces.encode(docs, pieces.session_pieces(spark))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_copies),
+    ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", mixture),
+    ("sentencepiece_encoding", encoded),
+]
 
-STAGES: list = []
-#: Learned models and byte-level removal cannot be written in SQL; the stages are tested against brute force.
+#: A learned model, 128-bit hashes and byte removal are not for SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

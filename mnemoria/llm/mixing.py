@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
         .withColumn("rate", F.col("most") / F.col("weight"))
         .withColumn("budget", F.sum("source_size").over(whole) * F.lit(float(share)))
         .withColumn("level", (F.col("budget") - F.coalesce(F.sum("most").over(upto), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("rate"), F.col("level"))).over(whole))
+        .withColumn("level", F.first(F.when(F.col("level") <= F.col("rate"), F.col("level")), ignorenulls=True).over(rate.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .select("source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
     )
 

@@ -9,6 +9,8 @@ from . import chat, embedding_dedup, jaccard, langid, mixing, pieces, quality_ru
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+#: Most ids that are broadcast; beyond it, Spark joins by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def held_out(mod: int, is_: int) -> Column:
@@ -111,7 +113,7 @@ o AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)
 r AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS rate FROM o),
 c AS (SELECT a.source, a.source_size, a.weight, a.most, a.rate,
     (1.5::DOUBLE * (SELECT sum(source_size) FROM r) - coalesce((SELECT sum(b.most) FROM r b WHERE b.rate < a.rate), 0)) / (SELECT sum(b.weight) FROM r b WHERE b.rate >= a.rate) AS lv FROM r a),
-l AS (SELECT min(CASE WHEN lv <= rate THEN lv END) AS level FROM c),
+l AS (SELECT arg_min(lv, rate) AS level FROM c WHERE lv <= rate),
 t AS (SELECT source, source_size, CASE WHEN l.level IS NULL THEN most ELSE least(most, l.level * weight) END AS target FROM c, l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 p AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,

@@ -306,7 +306,7 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
     return sent.repartition("at").sortWithinPartitions("at").mapInArrow(resolve, "id long, name long, mask long")
 
 
-def _cut_texts(marked: DataFrame, parts: int) -> DataFrame:
+def _cut_texts(marked: DataFrame, parts: int, characters: bool) -> DataFrame:
     """marked(row, text, names, masks) -> row, kept, n_removed, n_spans, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +327,16 @@ def _cut_texts(marked: DataFrame, parts: int) -> DataFrame:
             np.add.at(edge, start, 1)
             np.add.at(edge, start + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
+            drop = gone
+            if characters:
+                lead = (buf & 0xC0) != 0x80
+                drop = np.bitwise_or.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
             out = []
             for i in range(x.num_rows):
-                g, t = gone[off[i] : off[i + 1]], buf[off[i] : off[i + 1]]
+                g, t = gone[off[i] : off[i + 1]], buf[off[i] : off[i + 1]][~drop[off[i] : off[i + 1]]]
                 step = np.diff(np.r_[0, g.astype(np.int8), 0])
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
-                out.append((t[~g].tobytes(), int(g.sum()), len(spans), spans))
+                out.append((t.tobytes(), int(g.sum()), len(spans), spans))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.record_batch([x.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]], names=["row", *RESULT])
 
@@ -358,9 +362,10 @@ def _copies(plain: DataFrame) -> DataFrame | None:
     return found if found.count() <= BROADCAST_ROWS else None
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, characters: bool = False) -> DataFrame:
     """docs -> its columns without the text, and n_bytes, kept (the remaining bytes), n_removed, n_spans, spans.
 
+    characters: also leave out of `kept` what remains of characters of which a byte went, so that it is text.
     parts: into which Q-gram buckets are dealt; a task holds one at a time. Four for each shuffle partition unless
     given."""
     spark = docs.sparkSession
@@ -381,7 +386,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _release(docs)
     touched = sized(cut(found.select(F.col("i").alias("t"))))
     marked = every.filter(~F.col("copy")).join(touched, F.col("id") == F.col("t"), "left_semi").join(found, F.col("id") == F.col("i"))
-    changed = _cut_texts(marked.withColumn("n_bytes", F.octet_length("text").cast("long")).select(F.struct("row", "n_bytes").alias("row"), "text", "names", "masks"), parts)
+    changed = _cut_texts(marked.withColumn("n_bytes", F.octet_length("text").cast("long")).select(F.struct("row", "n_bytes").alias("row"), "text", "names", "masks"), parts, characters)
     changed = changed.select("row.row", "row.n_bytes", *RESULT)
     same = every.join(touched, F.col("id") == F.col("t"), "left").filter(F.col("copy") | F.col("t").isNull())
     gone = F.col("copy")
