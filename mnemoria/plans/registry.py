@@ -1,6 +1,540 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the given tables, and their SQL counterparts.
+
+QUERIES[name](spark, sf_dir) is a DataFrame; ORACLE[name] is SQL over the tables of the same names.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import audits, context, enrich, hygiene, search, stats, sync, turns
+from ..sources import adapters, capture
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+#: The tables in their roles, in SQL.
+M = """m AS (SELECT conv_id || '-' || turn AS message_id, conv_id::VARCHAR AS conversation_id, role, text AS content,
+  (1700000000000 + conv_id * 86400000 + turn * 1000)::BIGINT AS timestamp, ['chatgpt', 'claude', 'cli'][(conv_id % 3 + 1)::INT] AS platform, turn AS seq FROM conversations)"""
+V = """v AS (SELECT vec_id, vec_id::VARCHAR AS message_id, CASE WHEN vec_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+  ['chatgpt', 'claude', 'cli'][(label % 3 + 1)::INT] AS source, (1700000000000 + vec_id * 1000)::BIGINT AS timestamp, (label % 2)::VARCHAR AS user_id,
+  embedding::DOUBLE[] AS e FROM embeddings)"""
+#: Distances of all rows to message 0.
+D = V + ", d AS (SELECT a.*, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM v a, (SELECT e FROM v WHERE vec_id = 0) b)"
+#: Turns and chunks of 5 turns, overlapping by 2.
+TURNS = (
+    M
+    + """, o AS (SELECT *, CASE WHEN role = 'user' OR coalesce(lag(role) OVER (PARTITION BY conversation_id ORDER BY timestamp, seq) <> 'user', true) THEN 1 ELSE 0 END AS opens
+  FROM m WHERE role IN ('user', 'assistant')),
+t AS (SELECT *, (sum(opens) OVER (PARTITION BY conversation_id ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) - 1)::INT AS turn_idx FROM o)"""
+)
+CHUNKS = (
+    TURNS
+    + """, x AS (SELECT *, unnest(generate_series(greatest(0, ceil((turn_idx - 4) / 3.0)::INT), (turn_idx // 3)::INT))::INT AS chunk_idx FROM t),
+c AS (SELECT conversation_id, chunk_idx, (min(turn_idx) + 1) || '-' || (max(turn_idx) + 1) AS turn_range, first(platform ORDER BY turn_idx, role DESC) AS platform,
+  string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || content, chr(10) || chr(10) ORDER BY turn_idx, role DESC) AS content,
+  count(DISTINCT turn_idx)::INT AS turn_count, min(timestamp) AS start_timestamp, max(timestamp) AS end_timestamp FROM x GROUP BY ALL)"""
+)
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*cols, F.round("distance", 6).alias("distance"))
+
+
+def _query(v: DataFrame) -> DataFrame:
+    return v.filter("vec_id = 0")
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# -- vector search --------------------------------------------------------------------------------------------------
+
+
+@register("vector_topk", f"WITH {D} SELECT message_id, role, source, timestamp, round(distance, 6) AS distance FROM d WHERE distance < 0.9 ORDER BY distance, message_id LIMIT 5")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest(v, _query(v), 5, 0.9), "message_id", "role", "source", "timestamp")
+
+
+@register(
+    "vector_topk_batch",
+    f"""WITH {V}, q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(e, qe) AS distance FROM q JOIN v ON vec_id <> query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM r)
+SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM k WHERE rank <= 5""",
+)
+def vector_topk_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest_batch(v, v.filter("vec_id % 20 = 0")), "query_id", "rank", "vec_id")
+
+
+@register("vector_recency_topk", f"WITH {D} SELECT message_id, role, source, timestamp, round(distance, 6) AS distance FROM d WHERE distance < 0.9 AND timestamp < 1700000000000 + 400000 - 120000 ORDER BY distance, message_id LIMIT 5")
+def vector_recency_topk(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest(v, _query(v), 5, 0.9, search.older_than(120, adapters.EPOCH + 400_000)), "message_id", "role", "source", "timestamp")
+
+
+@register("chat_turn_search", f"WITH {D} SELECT message_id, source, round(1 - distance, 6) AS similarity FROM d WHERE user_id = '0' AND source = 'chatgpt' AND 1 - distance > 0.1 ORDER BY distance, message_id LIMIT 5")
+def chat_turn_search(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir).withColumn("platform", F.col("source"))
+    return search.search_chunks(v, _query(v), "0", "chatgpt", 0.1).select("message_id", "source", F.round("similarity", 6).alias("similarity"))
+
+
+@register("find_similar", f"WITH {D} SELECT message_id, round(distance, 6) AS distance FROM d WHERE vec_id <> 0 AND distance < 0.9 ORDER BY distance, message_id LIMIT 5")
+def find_similar(spark, sf_dir):
+    return rounded(search.find_similar(adapters.vectors(spark, sf_dir), "0", 5, 0.9), "message_id")
+
+
+@register("search_postfilter", f"WITH {D}, k AS (SELECT * FROM d WHERE distance < 0.9 ORDER BY distance, message_id LIMIT 10) SELECT message_id, source, round(distance, 6) AS distance FROM k WHERE role = 'user' AND source = 'chatgpt'")
+def search_postfilter(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.post_filtered(v, _query(v), (F.col("role") == "user") & (F.col("source") == "chatgpt"), 10, 0.9), "message_id", "source")
+
+
+@register("search_prefilter", f"WITH {D} SELECT message_id, source, round(distance, 6) AS distance FROM d WHERE distance < 0.9 AND role = 'user' AND source = 'chatgpt' ORDER BY distance, message_id LIMIT 10")
+def search_prefilter(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest(v, _query(v), 10, 0.9, (F.col("role") == "user") & (F.col("source") == "chatgpt")), "message_id", "source")
+
+
+@register("advanced_search", f"WITH {D}, k AS (SELECT * FROM d WHERE distance < 0.9 ORDER BY distance, message_id LIMIT 20) SELECT message_id, role, timestamp, round(distance, 6) AS distance FROM k WHERE timestamp BETWEEN 1700000050000 AND 1700000450000 AND role IN ('user', 'system') ORDER BY distance, message_id LIMIT 10")
+def advanced_search(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.advanced(v, _query(v), adapters.EPOCH + 50_000, adapters.EPOCH + 450_000, ("user", "system"), 10, 0.9), "message_id", "role", "timestamp")
+
+
+@register("conversation_context", f"WITH {M}, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, seq)::INT AS rank FROM m) SELECT conversation_id, rank, message_id, role, content FROM r WHERE rank <= 20")
+def conversation_context(spark, sf_dir):
+    return search.conversation_context(adapters.messages(spark, sf_dir)).select("conversation_id", "rank", "message_id", "role", "content")
+
+
+@register("keyword_search", f"WITH {M} SELECT message_id, timestamp, content FROM m WHERE content ILIKE '%thing%' ORDER BY timestamp DESC, message_id LIMIT 5")
+def keyword_search(spark, sf_dir):
+    return search.keyword(adapters.messages(spark, sf_dir), "Thing").select("message_id", "timestamp", "content")
+
+
+@register("latest_messages", f"WITH {M} SELECT message_id, platform, length(content)::INT AS n_chars, left(content, 100) AS preview FROM m WHERE platform = 'claude' ORDER BY timestamp DESC, message_id LIMIT 10")
+def latest_messages(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).filter("platform = 'claude'")
+    return stats.newest(m, 10, "timestamp", "message_id").select("message_id", "platform", F.length("content").alias("n_chars"), F.substring("content", 1, 100).alias("preview"))
+
+
+@register(
+    "cross_platform_pairs",
+    f"""WITH {M}, p AS (SELECT *, ['chatgpt', 'claude', 'cli'][((seq + timestamp // 86400000) % 3 + 1)::INT] AS place FROM m)
+SELECT u.conversation_id, u.message_id AS user_id, a.message_id AS assistant_id, u.place AS user_platform, a.place AS assistant_platform FROM p u JOIN p a USING (conversation_id)
+WHERE u.role = 'user' AND a.role = 'assistant' AND u.place <> a.place ORDER BY u.timestamp DESC, user_id, assistant_id LIMIT 5""",
+)
+def cross_platform_pairs(spark, sf_dir):
+    place = F.element_at(F.array(*[F.lit(p) for p in adapters.PLATFORMS]), ((F.col("seq") + F.floor(F.col("timestamp") / 86_400_000)) % 3 + 1).cast("int"))
+    m = adapters.messages(spark, sf_dir).withColumn("platform", place)
+    return search.cross_platform_pairs(m).select("conversation_id", "user_id", "assistant_id", "user_platform", "assistant_platform")
+
+
+# -- turns and chunks -------------------------------------------------------------------------------------------------
+
+
+@register("turns", f"WITH {TURNS} SELECT conversation_id, turn_idx, max(CASE WHEN role = 'user' THEN content END) AS user_content, max(CASE WHEN role = 'assistant' THEN content END) AS assistant_content FROM t GROUP BY ALL")
+def turns_query(spark, sf_dir):
+    return turns.turns(adapters.messages(spark, sf_dir)).withColumn("turn_idx", F.col("turn_idx").cast("int"))
+
+
+@register("turn_chunks", f"WITH {CHUNKS} SELECT conversation_id, chunk_idx, turn_range, platform, content, turn_count, start_timestamp, end_timestamp FROM c")
+def turn_chunks(spark, sf_dir):
+    return turns.chunks(adapters.messages(spark, sf_dir)).select("conversation_id", "chunk_idx", "turn_range", "platform", "content", "turn_count", "start_timestamp", "end_timestamp")
+
+
+@register("chunk_statistics", f"WITH {CHUNKS} SELECT count(*) AS total_chunks, round(avg(turn_count), 2) AS avg_turns, round(avg(length(content)))::BIGINT AS avg_length FROM c")
+def chunk_statistics(spark, sf_dir):
+    return turns.chunk_statistics(turns.chunks(adapters.messages(spark, sf_dir)))
+
+
+@register("conversation_rollup", f"WITH {CHUNKS} SELECT conversation_id, count(*) AS chunk_count, min(start_timestamp) AS started, max(end_timestamp) AS ended FROM c GROUP BY 1 ORDER BY ended DESC, conversation_id LIMIT 10")
+def conversation_rollup(spark, sf_dir):
+    return turns.conversation_rollup(turns.chunks(adapters.messages(spark, sf_dir)))
+
+
+@register("platform_counts", f"WITH {CHUNKS} SELECT platform, count(*) AS n FROM c GROUP BY 1")
+def platform_counts(spark, sf_dir):
+    return turns.platform_counts(turns.chunks(adapters.messages(spark, sf_dir)))
+
+
+#: Words that occur in the given texts, for topics.
+WORDS = ["the", "of", "and", "that", "der", "und", "que", "les"]
+
+
+def _topics_sql(text: str, words: list[str]) -> str:
+    found = [f"regexp_extract_all({text}, '(?i)\\b({p})\\b', 1)" for p in (P.LANGUAGES, "|".join(words))]
+    return f"list_transform(list_concat({found[0]}, {found[1]}), lambda x: lower(x))"
+
+
+def _first_seen(name: str) -> str:
+    """Distinct entries of a list in order, at most ten."""
+    return f"list_filter({name}, lambda x, i: list_position({name}, x) = i)[1:10]"
+
+
+@register("topics", f"WITH a AS (SELECT doc_id, {_topics_sql('text', WORDS)} AS f FROM documents) SELECT doc_id, array_to_string({_first_seen('f')}, ',') AS topics FROM a")
+def topics(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(T.topics(F.col("text"), WORDS), ",").alias("topics"))
+
+
+@register("topic_histogram", f"WITH a AS (SELECT {_topics_sql('text', WORDS)} AS f FROM documents), b AS (SELECT unnest({_first_seen('f')}) AS topic FROM a) SELECT topic, count(*) AS n FROM b GROUP BY 1")
+def topic_histogram(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents")
+    return turns.topic_counts(d.select(T.topics(F.col("text"), WORDS).alias("topics")))
+
+
+@register("default_topics", f"WITH a AS (SELECT message_id, {_topics_sql('content', [t.replace('_', ' ') for t in P.TECH_TERMS])} AS f FROM (WITH {M} SELECT * FROM m)) SELECT message_id, array_to_string({_first_seen('f')}, ',') AS topics FROM a")
+def default_topics(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", F.array_join(T.topics(F.col("content")), ",").alias("topics"))
+
+
+@register(
+    "recent_topics",
+    f"""WITH {M}, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, seq DESC) AS back FROM m),
+a AS (SELECT conversation_id, flatten(list({_topics_sql("content", P.RECENT_TERMS)} ORDER BY timestamp, seq)) AS f FROM r WHERE back <= 20 GROUP BY 1)
+SELECT conversation_id, array_to_string({_first_seen("f")}, ',') AS topics FROM a""",
+)
+def recent_topics(spark, sf_dir):
+    t = turns.recent_topics(adapters.messages(spark, sf_dir))
+    return t.select("conversation_id", F.array_join("topics", ",").alias("topics"))
+
+
+@register("query_gate", f"WITH {M} SELECT message_id, ({' + '.join(f'regexp_matches(content, {quote(chr(40) + "?i)" + chr(92) + "b(" + p + ")" + chr(92) + "b")})::INT' for p in P.SPECIFIC)}) >= 2 AS specific FROM m")
+def query_gate(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", T.is_specific(F.col("content")).alias("specific"))
+
+
+# -- noise and captures ------------------------------------------------------------------------------------------------
+
+
+def _any_sql(text: str, patterns: list[str]) -> str:
+    return f"regexp_matches({text}, {quote('|'.join(f'(?:{p})' for p in patterns))})"
+
+
+NOISE_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_any_sql('content', p)} THEN {quote(n)} END" for n, p in P.NOISE.items()) + "], lambda x: x IS NOT NULL)"
+CONTENTS = "u AS (SELECT 'page' AS kind, page_id AS id, html AS content FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)"
+N = f"{CONTENTS}, n AS (SELECT *, CASE WHEN coalesce(content, '') = '' THEN [] ELSE {NOISE_SQL} END AS categories FROM u)"
+
+
+def contents(spark, sf_dir) -> DataFrame:
+    p = adapters.read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return p.unionByName(adapters.read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@register("noise_scan", f"WITH {N} SELECT kind, id, array_to_string(categories, ',') AS categories FROM n WHERE len(categories) > 0")
+def noise_scan(spark, sf_dir):
+    c = hygiene.classify(contents(spark, sf_dir)).filter(F.size("categories") > 0)
+    return c.select("kind", "id", F.array_join("categories", ",").alias("categories"))
+
+
+@register(
+    "noise_report",
+    f"""WITH {N}, x AS (SELECT unnest(list_concat(['all', CASE WHEN len(categories) > 0 THEN 'noise' ELSE 'clean' END], categories)) AS category FROM n)
+SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM n), 1) AS percent FROM x GROUP BY 1""",
+)
+def noise_report(spark, sf_dir):
+    return hygiene.noise_report(contents(spark, sf_dir))
+
+
+@register("noise_delete", f"WITH {N} SELECT kind, id FROM n WHERE len(categories) = 0")
+def noise_delete(spark, sf_dir):
+    return hygiene.without_noise(contents(spark, sf_dir)).select("kind", "id")
+
+
+_t = "trim(coalesce(content, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
+_reject = f"""CASE WHEN length(t) < 50 THEN 'too_short' WHEN {_any_sql("t", P.CSS_LIKE)} THEN 'css' WHEN {_any_sql("t", P.CODE_LIKE)} THEN 'code'
+  WHEN length(t) < 300 AND regexp_matches(t, {quote("|".join(P.UI_PHRASES))}) THEN 'ui' WHEN {_any_sql("t", P.IGNORED)} THEN 'ignored'
+  WHEN length(t) > 10000 THEN 'too_long' WHEN length(t) < 100 THEN 'not_substantial' END"""
+
+
+@register("capture_filter", f"WITH {CONTENTS}, k AS (SELECT kind, id, {_t} AS t FROM u) SELECT kind, id, {_reject} AS reject_reason FROM k")
+def capture_filter(spark, sf_dir):
+    return hygiene.capture_filter(contents(spark, sf_dir)).select("kind", "id", "reject_reason")
+
+
+@register(
+    "dedup_window",
+    """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT *, t AS kept_at, true AS kept FROM e WHERE k = 1 UNION ALL
+  SELECT e.*, CASE WHEN e.t - r.kept_at > 3600000000 THEN e.t ELSE r.kept_at END, e.t - r.kept_at > 3600000000
+  FROM r JOIN e ON e.event_type IS NOT DISTINCT FROM r.event_type AND e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1)
+SELECT event_id, event_type, user_id FROM r WHERE kept""",
+)
+def dedup_window(spark, sf_dir):
+    e = adapters.read(spark, sf_dir, "events")
+    return hygiene.first_of_window(e, ["event_type", "user_id"], "ts", 3600, "event_id").select("event_id", "event_type", "user_id")
+
+
+# -- synchronisation -----------------------------------------------------------------------------------------------------
+
+STORED = "s AS (SELECT * FROM m WHERE seq % 2 = 0)"
+
+
+@register("unsynced", f"WITH {M}, {STORED} SELECT message_id FROM m WHERE message_id NOT IN (SELECT message_id FROM s)")
+def unsynced(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir)
+    return sync.unsynced(m, m.filter("seq % 2 = 0")).select("message_id")
+
+
+def _versions(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).select("message_id", "content", "timestamp")
+    changed = m.withColumn("content", F.concat(F.lit("edited "), "content")).withColumn("timestamp", F.col("timestamp") + F.when(F.length("content") % 2 == 0, 5).otherwise(-5))
+    return m, changed
+
+
+_upsert = f"""WITH {M}, a AS (SELECT message_id, content, timestamp, 0 AS fresh FROM m UNION ALL
+SELECT message_id, 'edited ' || content, timestamp + CASE WHEN mod(length(content) + 7, 2) = 0 THEN 5 ELSE -5 END, 1 FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY timestamp {{way}}, fresh {{way}}) AS k FROM a) SELECT message_id, content, timestamp FROM r WHERE k = 1"""
+
+
+@register("upsert_last", _upsert.replace("{way}", "DESC"))
+def upsert_last(spark, sf_dir):
+    return sync.upsert(*_versions(spark, sf_dir), "message_id", "timestamp")
+
+
+@register("upsert_first", _upsert.replace("{way}", "ASC"))
+def upsert_first(spark, sf_dir):
+    return sync.upsert(*_versions(spark, sf_dir), "message_id", "timestamp", last_wins=False)
+
+
+@register("backfill", f"WITH {M} SELECT message_id, coalesce(nullif(platform, 'cli'), 'chatgpt') AS source FROM m")
+def backfill(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).select("message_id", F.nullif(F.col("platform"), F.lit("cli")).alias("source"))
+    return sync.backfill_source(m)
+
+
+@register("message_rows", f"WITH {M} SELECT message_id, coalesce(nullif(role, ''), 'user') AS role, nullif(conversation_id, '') AS conversation_id, timestamp, platform AS source FROM m")
+def message_rows(spark, sf_dir):
+    return sync.to_messages(adapters.messages(spark, sf_dir)).select("message_id", "role", "conversation_id", "timestamp", "source")
+
+
+@register("source_counts", f"WITH {V} SELECT source, count(*) AS n FROM v GROUP BY 1")
+def source_counts(spark, sf_dir):
+    return stats.counts(adapters.vectors(spark, sf_dir), "source")
+
+
+# -- audits ----------------------------------------------------------------------------------------------------------------
+
+
+@register(
+    "dq_messages",
+    f"""WITH {M}, f AS (SELECT count(*) AS checked, [count(*) FILTER (NOT coalesce(content <> '', false)), count(*) FILTER (coalesce(timestamp, 0) = 0), count(*) FILTER (NOT coalesce(role <> '', false)),
+  count(*) FILTER (NOT coalesce(role IN ('user', 'assistant', 'system'), false)), count(*) FILTER (trim(coalesce(content, '')) = '')] AS n FROM m),
+r AS (SELECT checked, unnest(['content_present', 'timestamp_present', 'role_present', 'role_allowed', 'content_not_blank']) AS rule, unnest(n) AS failed FROM f)
+SELECT rule, checked, failed, failed = 0 AS passed FROM r""",
+)
+def dq_messages(spark, sf_dir):
+    return audits.check(adapters.messages(spark, sf_dir), audits.message_rules())
+
+
+@register("dq_order", f"WITH {M}, a AS (SELECT message_id, timestamp + CASE WHEN length(content) % 7 = 0 THEN 5000 ELSE 0 END AS timestamp, conversation_id, seq FROM m), p AS (SELECT *, lag(timestamp) OVER (PARTITION BY conversation_id ORDER BY seq) AS previous FROM a) SELECT message_id, timestamp, previous FROM p WHERE timestamp < previous")
+def dq_order(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).withColumn("timestamp", F.col("timestamp") + F.when(F.length("content") % 7 == 0, 5000).otherwise(0))
+    return audits.out_of_order(m).select("message_id", "timestamp", "previous")
+
+
+@register("dq_conversations", f"WITH {M} SELECT round(count(*) FILTER (coalesce(conversation_id, '') NOT IN ('', 'unknown'))::DOUBLE / count(*), 6) AS share, true AS passed FROM m")
+def dq_conversations(spark, sf_dir):
+    return audits.known_conversations(adapters.messages(spark, sf_dir))
+
+
+@register("dq_lengths", f"WITH {M} SELECT round(avg(length(content)), 6) AS avg_length, min(length(content))::INT AS min_length, max(length(content))::INT AS max_length, avg(length(content)) >= 10 AS passed FROM m")
+def dq_lengths(spark, sf_dir):
+    return audits.content_lengths(adapters.messages(spark, sf_dir))
+
+
+@register("dq_duplicates", "SELECT text AS content, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dq_duplicates(spark, sf_dir):
+    return audits.duplicates(adapters.read(spark, sf_dir, "documents").select(F.col("text").alias("content")), "content")
+
+
+@register("dq_embeddings", f"WITH {V} SELECT count(*) AS total, count(e) AS present, count(*) FILTER (len(e) = 64) AS right_size, round(count(*) FILTER (len(e) = 64) * 100.0::DOUBLE / count(*), 1) AS percent FROM v")
+def dq_embeddings(spark, sf_dir):
+    return audits.embedding_coverage(adapters.vectors(spark, sf_dir), 64)
+
+
+@register("dq_sources", f"WITH {V} SELECT message_id, source FROM v WHERE source NOT IN ('chatgpt', 'cli')")
+def dq_sources(spark, sf_dir):
+    return adapters.vectors(spark, sf_dir).filter(~F.col("source").isin("chatgpt", "cli")).select("message_id", "source")
+
+
+# -- enrichment ---------------------------------------------------------------------------------------------------------------
+
+
+@register("token_estimate", "SELECT doc_id, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, length(left(text, 16000))::INT AS kept_chars FROM documents")
+def token_estimate(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents")
+    return d.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.length(T.truncate_tokens(F.col("text"), 4000)).alias("kept_chars"))
+
+
+@register(
+    "token_batches",
+    """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 1000 AS span, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT doc_id, span, tokens, k, 0 AS batch, CASE WHEN tokens > 4000 THEN NULL ELSE tokens END AS total FROM d WHERE k = 1 UNION ALL
+  SELECT d.doc_id, d.span, d.tokens, d.k, CASE WHEN d.tokens > 4000 OR r.total IS NULL OR r.total + d.tokens > 4000 THEN r.batch + 1 ELSE r.batch END,
+    CASE WHEN d.tokens > 4000 THEN NULL WHEN r.total IS NULL OR r.total + d.tokens > 4000 THEN d.tokens ELSE r.total + d.tokens END FROM r JOIN d ON d.span = r.span AND d.k = r.k + 1)
+SELECT doc_id, span, batch::INT AS batch, tokens FROM r""",
+)
+def token_batches(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return enrich.token_batches(d, "doc_id", "text").select("doc_id", "span", F.col("batch").cast("int").alias("batch"), "tokens")
+
+
+@register("batch_totals", None)
+def batch_totals(spark, sf_dir):
+    return token_batches(spark, sf_dir).groupBy("span", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@register(
+    "question_prompts",
+    f"""WITH {CHUNKS} SELECT conversation_id, chunk_idx, 'Generate 3 hypothetical questions a user might ask to find this conversation.' || chr(10) || chr(10) || 'Conversation:' || chr(10) ||
+  CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10) || chr(10) || {quote(P.QUESTION_RULES.format(k=3))} AS prompt FROM c""",
+)
+def question_prompts(spark, sf_dir):
+    c = turns.chunks(adapters.messages(spark, sf_dir))
+    return c.select("conversation_id", "chunk_idx", T.question_prompt(F.col("content"), F.array().cast("array<string>"), 3).alias("prompt"))
+
+
+@register(
+    "parse_questions",
+    f"""WITH {M}, a AS (SELECT message_id, list_filter(list_transform(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''),
+  lambda x: regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, '^\\d+\\.\\s*', ''), '^[-*•]\\s*', '')), '^["'']', ''), '["'']\\z', '')), lambda x: length(x) > 0 AND length(x) < 200)[1:3] AS q FROM m)
+SELECT message_id, array_to_string(q, '|') AS questions FROM a""",
+)
+def parse_questions(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", F.array_join(T.parse_questions(F.col("content"), 3), "|").alias("questions"))
+
+
+# -- context blocks -------------------------------------------------------------------------------------------------------------
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    v = adapters.vectors(spark, sf_dir)
+    best = search.nearest_batch(v, v.filter("vec_id % 20 = 0"), 3, 0.95)
+    rows = v.select("vec_id", "source", "timestamp", F.concat(F.lit("message "), "message_id").alias("content"))
+    return best.join(rows, "vec_id")
+
+
+_date = "strftime(make_timestamp(timestamp * 1000), '%-m/%-d/%Y')"
+
+
+@register(
+    "context_block",
+    f"""WITH {V}, q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
+r AS (SELECT query_id, v.*, 1 - list_cosine_similarity(e, qe) AS distance FROM q JOIN v ON vec_id <> query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r WHERE distance < 0.95)
+SELECT query_id, count(*)::INT AS items, '[Memory Context - ' || count(*) || CASE WHEN count(*) > 1 THEN ' relevant items]' ELSE ' relevant item]' END || chr(10) || chr(10) ||
+  string_agg(rank || '. ' || CASE WHEN source = 'cli' THEN '📝 Terminal' ELSE '💬 Previous conversation' END || ' (' || {_date} || ')' || chr(10) || '   "message ' || message_id || '"' || chr(10) || chr(10), '' ORDER BY rank)
+  || '[End of Memory Context]' || chr(10) || chr(10) AS block FROM k WHERE rank <= 3 GROUP BY 1""",
+)
+def context_block(spark, sf_dir):
+    return context.context_blocks(_hits(spark, sf_dir))
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """A request body per conversation, from its messages; every third in the form with parts, every third with text."""
+    m = adapters.messages(spark, sf_dir)
+    one = F.to_json(F.struct(F.struct(F.col("role")).alias("author"), F.struct(F.array("content").alias("parts")).alias("content")))
+    two = F.to_json(F.struct("role", "content"))
+    row = F.struct("timestamp", "seq", F.when(F.col("conversation_id").cast("long") % 2 == 0, one).otherwise(two).alias("j"))
+    g = m.groupBy("conversation_id").agg(F.sort_array(F.collect_list(row)).alias("x"))
+    text = F.concat(F.lit('{"conversation_id":"'), "conversation_id", F.lit('","model":"m1","messages":['), F.array_join(F.transform("x", lambda r: r["j"]), ","), F.lit("]}"))
+    return g.select("conversation_id", F.lit("https://chatgpt.com/backend-api/conversation").alias("url"), F.lit("POST").alias("method"), text.alias("body"))
+
+
+LAST = f"WITH {M}, l AS (SELECT conversation_id, arg_max(role, seq) AS role, arg_max(content, seq) AS content FROM m GROUP BY 1)"
+
+
+@register("chatgpt_requests", f"{LAST} SELECT conversation_id, role, content, 'm1' AS model, 'chatgpt' AS platform FROM l")
+def chatgpt_requests(spark, sf_dir):
+    b = _bodies(spark, sf_dir).withColumnRenamed("conversation_id", "own")
+    return capture.chatgpt_messages(capture.chatgpt_calls(b)).select("conversation_id", "role", "content", "model", "platform")
+
+
+@register("claude_requests", f"{LAST} SELECT conversation_id, 'user' AS role, content, 'claude-3-opus' AS model, 'claude' AS platform FROM l")
+def claude_requests(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("content", "seq").alias("prompt"))
+    raw = m.select(F.concat(F.lit("https://claude.ai/api/organizations/o/chat_conversations/"), "conversation_id", F.lit("/completion")).alias("url"), F.lit("POST").alias("method"), F.to_json(F.struct("prompt")).alias("body"))
+    return capture.claude_messages(capture.claude_calls(raw)).select("conversation_id", "role", "content", "model", "platform")
+
+
+@register("inject_prepend", f"{LAST} SELECT conversation_id, 'CTX ' || content AS content FROM l")
+def inject_prepend(spark, sf_dir):
+    b = _bodies(spark, sf_dir).withColumn("body", context.inject(F.col("body"), F.lit("CTX "))).withColumnRenamed("conversation_id", "own")
+    return capture.chatgpt_messages(b).select("conversation_id", "content")
+
+
+@register("inject_system", f"WITH {M} SELECT conversation_id, (count(*) + 1)::INT AS n_messages, 'CTX' AS inserted FROM m GROUP BY 1")
+def inject_system(spark, sf_dir):
+    b = _bodies(spark, sf_dir).withColumn("body", context.inject(F.col("body"), F.lit("CTX"), "system"))
+    j = F.from_json("body", "struct<messages:array<struct<author:struct<role:string>,content:string>>>")["messages"]
+    return b.select("conversation_id", F.size(j).alias("n_messages"), F.from_json(F.element_at(j, -2)["content"], "struct<parts:array<string>>")["parts"][0].alias("inserted"))
+
+
+@register("inject_prompt", f"{LAST} SELECT conversation_id, 'CTX' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || content AS prompt FROM l")
+def inject_prompt(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("content", "seq").alias("prompt"))
+    b = m.select("conversation_id", context.inject(F.to_json(F.struct("prompt")), F.lit("CTX"), "prompt").alias("body"))
+    return b.select("conversation_id", F.get_json_object("body", "$.prompt").alias("prompt"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Streamed answers: every message is a response, a line per word, in one of three shapes of events."""
+    m = adapters.messages(spark, sf_dir).filter("role = 'assistant'")
+    w = m.select("message_id", "seq", F.posexplode(F.split("content", "(?<= )")).alias("k", "w"))
+    shape = F.when(F.col("seq") % 3 == 0, F.to_json(F.struct(F.col("w").alias("delta"), F.col("message_id").alias("id")))).when(F.col("seq") % 3 == 1, F.to_json(F.struct(F.struct(F.struct(F.array(F.col("w")).alias("parts")).alias("content")).alias("message"), F.col("message_id"))))
+    patch = F.to_json(F.struct(F.array(F.struct(F.lit("/message/content/parts/0").alias("p"), F.lit("append").alias("o"), F.col("w").alias("v"))).alias("v"), F.col("message_id").alias("conversation_id")))
+    lines = w.select(F.col("message_id").alias("response_id"), F.col("k").cast("long").alias("seq"), F.concat(F.lit("data: "), F.coalesce(shape, patch)).alias("line"))
+    end = m.select(F.col("message_id").alias("response_id"), F.lit(1_000_000_000).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line"))
+    return lines.unionByName(end)
+
+
+@register("sse_assemble", f"WITH {M} SELECT message_id, regexp_replace(content, '^\\s+|\\s+\\z', '', 'g') AS content, 'assistant' AS role FROM m WHERE role = 'assistant'")
+def sse_assemble(spark, sf_dir):
+    return capture.assemble_responses(_lines(spark, sf_dir)).select("message_id", "content", "role")
+
+
+# -- statistics and health ----------------------------------------------------------------------------------------------------------
+
+
+@register("health_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 1) AS error_rate FROM events GROUP BY 1")
+def health_windows(spark, sf_dir):
+    return stats.health_windows(adapters.read(spark, sf_dir, "events"))
+
+
+@register("silence_gaps", "WITH g AS (SELECT ts, user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT user_id, before, ts, round((epoch_us(ts) - epoch_us(before)) / 1e6, 3) AS seconds FROM g WHERE epoch_us(ts) - epoch_us(before) > 86400000000")
+def silence_gaps(spark, sf_dir):
+    return stats.silences(adapters.read(spark, sf_dir, "events"), 1440, "user_id").select("user_id", "before", "ts", "seconds")
+
+
+@register("capture_health", "SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS succeeded, round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 1) AS error_rate, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 1) AS success_rate FROM events")
+def capture_health(spark, sf_dir):
+    return stats.capture_health(adapters.read(spark, sf_dir, "events"))
+
+
+@register("error_retention", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")
+def error_retention(spark, sf_dir):
+    e = adapters.read(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "ts")
+    return hygiene.keep_last(e, 100, "ts")
+
+
+@register("store_size", None)
+def store_size(spark, sf_dir):
+    return stats.store_size(adapters.messages(spark, sf_dir))
