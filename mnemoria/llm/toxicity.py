@@ -25,14 +25,14 @@ from .common import text_batches
 #: Homoglyphs: letters of other scripts (first row) and the Latin letters they look like (second row).
 LOOKS = ("аеорсхуіјѕһԁԛԝвкмнтαβεικνορτυχ", "aeopcxyijshdqwbkmhtabeiknoptux")
 #: Digits and signs, and the letters they stand for inside words.
-SIGNS = ("013457@$!", "oleastasi")
+SIGNS = ("013457@$", "oieastas")
 SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def fold_column(text: Column) -> Column:
     """The folded text: lower case, one blank between words, one at either end."""
     t = F.translate(F.translate(F.lower(F.coalesce(text, F.lit(""))), *LOOKS), *SIGNS)
-    return F.concat(F.lit(" "), F.regexp_replace(t, SPLIT, " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), SPLIT, " ")
 
 
 @dataclass
