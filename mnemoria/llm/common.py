@@ -61,7 +61,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_batches(batches, column: str, most: int = 1 << 22):
+def text_batches(batches, column: str, most: int = 1 << 20):
     """Split Arrow batches so that each holds about `most` bytes of text (one longer text stands alone)."""
     for b in batches:
         if not b.num_rows:

@@ -76,23 +76,35 @@ def ranked(pieces: Pieces) -> list[tuple[str, int, float, int, bool]]:
     return [(p, i, s, rank[p], late(p)) for p, i, s in pieces.rows]
 
 
+#: Edges travel as one long: rank 20 bits, start and end 7 each, late 1, id 20 (all ones: no piece, bytes).
+FULL = (1 << 20) - 1
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(w) -> w, edges: array of (r rank, i, j, ids, late, s score), best first. Every character has an edge."""
+    """words(w) -> w, edges: array of (r rank, i, j, late, ids, s score), best first. Every character has an edge."""
     spark = words.sparkSession
-    table = spark.createDataFrame(ranked(pieces), "p string, id int, s double, r int, late boolean")
+    table = spark.createDataFrame(ranked(pieces), "p string, id long, s double, r long, late boolean")
     n = F.length("w")
     at = words.select("w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     sub = at.select("w", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + pieces.longest))).alias("j"))
     sub = sub.withColumn("p", F.col("w").substr(F.col("i") + 1, F.col("j") - F.col("i")))
     hit = sub.join(F.broadcast(table), "p", "left").filter(F.col("id").isNotNull() | (F.col("j") == F.col("i") + 1))  # the table has the model's size
-    code = F.hex(F.encode("p", "utf-8"))
-    own = F.transform(F.sequence(F.lit(0), F.octet_length("p") - 1), lambda k: F.conv(F.substring(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + pieces.bytes_at)
-    edge = F.struct(
-        F.coalesce("r", F.lit(2**31 - 1)).alias("r"), "i", "j",
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(own).alias("ids"),
-        F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("s", F.lit(-1e12)).alias("s"),
-    )
-    return hit.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    bits = F.shiftleft(F.coalesce("r", F.lit(FULL)), 35) + F.shiftleft(F.col("i").cast("long"), 28) + F.shiftleft(F.col("j").cast("long"), 21)
+    bits = bits + F.when(F.col("late"), 1 << 20).otherwise(0) + F.coalesce("id", F.lit(FULL))
+    if pieces.bpe:
+        got = hit.groupBy("w").agg(F.sort_array(F.collect_list(bits)).alias("x"))
+        e = lambda x: (x, F.lit(0.0))
+    else:
+        got = hit.groupBy("w").agg(F.sort_array(F.collect_list(F.struct(bits.alias("b"), F.coalesce("s", F.lit(-1e12)).alias("s")))).alias("x"))
+        e = lambda x: (x["b"], x["s"])
+
+    def edge(x):
+        b, s = e(x)
+        field = lambda at, size: F.shiftright(b, at).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+        i, j, name = field(28, 7), field(21, 7), field(0, 20)
+        return F.struct(field(35, 20).alias("r"), i.alias("i"), j.alias("j"), (field(20, 1) == 1).alias("late"), name.alias("id"), s.alias("s"))
+
+    return got.select("w", F.transform("x", edge).alias("edges"))
 
 
 def _between(cuts: Column, i: Column, j: Column) -> Column:
@@ -112,12 +124,14 @@ def _clear(cuts: Column, e: Column) -> Column:
     return cuts.bitwiseXOR(F.call_function("shiftleft", _between(cuts, e["i"], e["j"]), e["i"] + 1))
 
 
-def fold_bpe(edges: Column, n: Column) -> Column:
-    """Cuts after all merges, as a mask with bit p for a cut before character p."""
+def fold_bpe(edges: Column, late: Column, n: Column) -> Column:
+    """Cuts after all merges, as a mask with bit p for a cut before character p. late: the edges of late pieces."""
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+
     def walk(state, e):
         to = _clear(state["c"], e)
-        missed = F.exists(edges, lambda x: x["late"] & (x["r"] < e["r"]) & _joins(to, x))
+        # an edge that a merge makes possible has what was merged as its first or last part
+        missed = F.exists(late, lambda x: (x["r"] < e["r"]) & ((x["i"] == e["i"]) | (x["j"] == e["j"])) & _joins(to, x))
         return F.when(_joins(state["c"], e), F.struct(to.alias("c"), (state["missed"] | missed).alias("missed"))).otherwise(state)
 
     def best(c, _):
@@ -146,11 +160,22 @@ def fold_viterbi(edges: Column, n: Column) -> Column:
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """words(w), up to LONGEST characters each -> w, ids."""
     e = lattice(words, pieces)
-    fold = fold_bpe if pieces.bpe else fold_viterbi
-    e = e.withColumn("cuts", fold(F.col("edges"), F.length("w")))
+    if pieces.bpe:
+        # edges of one character cannot join anything
+        e = e.withColumn("long", F.filter("edges", lambda x: x["j"] - x["i"] > 1)).withColumn("late", F.filter("edges", lambda x: x["late"]))
+        e = e.withColumn("cuts", fold_bpe(F.col("long"), F.col("late"), F.length("w")))
+    else:
+        e = e.withColumn("cuts", fold_viterbi(F.col("edges"), F.length("w")))
     c = F.col("cuts")
     chosen = F.filter("edges", lambda x: _has(c, x["i"]) & _has(c, x["j"]) & (_between(c, x["i"], x["j"]) == 0))
-    return e.select("w", F.flatten(F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["ids"].alias("ids")))), lambda x: x["ids"])).alias("ids"))
+    in_order = F.array_sort(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["id"].alias("id"))))
+
+    def ids(x):
+        code = F.hex(F.encode(F.col("w").substr(x["i"] + 1, F.lit(1)), "utf-8"))
+        own = F.transform(F.sequence(F.lit(0), F.length(code).cast("int") - 2, F.lit(2)), lambda k: F.conv(F.substring(code, k + 1, F.lit(2)), 16, 10).cast("int") + pieces.bytes_at)
+        return F.when(x["id"] == FULL, own).otherwise(F.array(x["id"]))
+
+    return e.select("w", F.flatten(F.transform(in_order, ids)).alias("ids"))
 
 
 def merge_long(word: str, rank: dict[str, tuple[int, int]], bytes_at: int) -> list[int]:
@@ -203,57 +228,90 @@ def _keys(buf, starts, ends):
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
-    """docs(text) -> w, a, b: every distinct word (blank as U+2581) with its two hashes."""
+    """docs(text) -> w: every distinct word of up to LONGEST characters, blanks as U+2581.
+
+    Words are dealt to more partitions than usual, as a word becomes many substrings and edges there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text", 1 << 22):
+        seen = np.zeros(0, np.uint64)  # a task passes each word on once
+        for x in text_batches(batches, "text"):
             buf, starts, ends, _ = _cut_words(*flat(x.column(0)))
-            a, b = _keys(buf, starts, ends)
-            _, first = np.unique(a, return_index=True)
-            s, e, raw = starts[first], ends[first], buf.tobytes()
-            w = [raw[i:j].decode().replace(" ", BLANK) for i, j in zip(s.tolist(), e.tolist())]
-            yield pa.record_batch([pa.array(w, pa.string()), pa.array(a[first].view(np.int64)), pa.array(b[first].astype(np.int64))], names=["w", "a", "b"])
+            name, first = np.unique(_keys(buf, starts, ends)[0], return_index=True)
+            at = np.searchsorted(seen, name)
+            new = np.ones(len(name), bool) if not len(seen) else seen[np.minimum(at, len(seen) - 1)] != name
+            seen = np.insert(seen, at[new], name[new])
+            first, raw = first[new], buf.tobytes()
+            w = [raw[i:j].decode().replace(" ", BLANK) for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+            yield pa.record_batch([pa.array([v for v in w if len(v) <= LONGEST], pa.string())], names=["w"])
 
-    return docs.select("text").mapInArrow(run, "w string, a long, b long").distinct()
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(run, "w string").repartition(parts, "w").distinct()
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """rows(a, b, ids) of each partition as four arrays of bytes."""
+def _packed(words: DataFrame) -> DataFrame:
+    """words(w, ids) -> a, b, n, ids as arrays of bytes, 10000 words a row: the words' hashes, numbers of ids and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
         for x in batches:
-            ids = x.column(2)
-            off = np.asarray(ids.offsets)
-            parts.append((np.asarray(x.column(0)), np.asarray(x.column(1)).astype(np.uint32), np.diff(off).astype(np.uint8), np.asarray(ids.flatten()).astype(np.uint16 if most < 1 << 16 else np.uint32)))
-        if parts:
-            yield pa.record_batch([pa.array([np.concatenate(p).tobytes()], pa.binary()) for p in zip(*parts)], names=["a", "b", "n", "ids"])
+            if x.num_rows:
+                w = [v.replace(BLANK, " ").encode() for v in x.column(0).to_pylist()]
+                ends = np.cumsum([len(v) for v in w])
+                a, b = _keys(np.frombuffer(b"".join(w), np.uint8), np.r_[0, ends[:-1]], ends)
+                ids = x.column(1)
+                n, flat_ids = np.diff(np.asarray(ids.offsets)).astype(np.uint8), np.asarray(ids.flatten()).astype(np.uint32)
+                yield pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in (a, b, n, flat_ids)], names=["a", "b", "n", "ids"])
+
+    return words.select("w", "ids").mapInArrow(run, "a binary, b binary, n binary, ids binary")
 
-    most = 1 << 17
-    return rows.mapInArrow(run, "a binary, b binary, n binary, ids binary")
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """-> a, b, ids, a row per word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for r in x.to_pylist():
+                off = np.r_[0, np.cumsum(np.frombuffer(r["n"], np.uint8), dtype=np.int64)].astype(np.int32)
+                ids = np.frombuffer(r["ids"], np.uint32).astype(np.int32)
+                yield pa.record_batch([pa.array(np.frombuffer(r["a"], np.int64)), pa.array(np.frombuffer(r["b"], np.uint32).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(ids))], names=["a", "b", "ids"])
+
+    return packed.mapInArrow(run, "a long, b long, ids array<int>")
+
+
+def _index(packed: DataFrame, pieces: int) -> tuple[np.ndarray, ...]:
+    """a in order, with b, numbers and places of ids, and ids; gathered part by part, so that the driver holds it once."""
+    kinds = {"a": np.uint64, "b": np.uint32, "n": np.uint8, "ids": np.uint16 if pieces <= 1 << 16 else np.uint32}
+    size = packed.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in kinds]).first()
+    got = {c: np.empty(size[c] // np.dtype(np.uint32 if c == "ids" else k).itemsize, k) for c, k in kinds.items()}
+    at = dict.fromkeys(kinds, 0)
+    for r in packed.toLocalIterator():
+        for c, k in kinds.items():
+            v = np.frombuffer(r[c], np.uint32 if c == "ids" else k)
+            got[c][at[c] : at[c] + len(v)] = v
+            at[c] += len(v)
+    start = (np.cumsum(got["n"], dtype=np.uint32) - got["n"]).astype(np.uint32)
+    order = np.argsort(got["a"]).astype(np.uint32)
+    return (*(got[c][order] for c in "abn"), start[order], got["ids"])
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs(id, text) -> id, ids array<int>."""
     d = docs.select(id_col, F.translate(F.coalesce("text", F.lit("")), BLANK, " ").alias("text"))
-    words = cut(encode_words_of(distinct_words(d), pieces))
-    if words.count() > broadcast_words:
-        return encode_joined(d, words, id_col)
-    got = _packed(words.filter(F.length("w") <= LONGEST).select("a", "b", "ids")).collect()
-    a = np.concatenate([np.frombuffer(r["a"], np.int64) for r in got] or [np.zeros(0, np.int64)]).view(np.uint64)
-    b = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in got] or [np.zeros(0, np.uint32)])
-    n = np.concatenate([np.frombuffer(r["n"], np.uint8) for r in got] or [np.zeros(0, np.uint8)])
-    ids = np.concatenate([np.frombuffer(r["ids"], np.uint32) for r in got] or [np.zeros(0, np.uint32)])
-    del got
-    ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
-    start = np.cumsum(n, dtype=np.int64) - n
-    order = np.argsort(a, kind="stable")
-    held = docs.sparkSession.sparkContext.broadcast((a[order], b[order], n[order], start[order].astype(np.uint32), ids))
+    # a task groups the edges of all its words by hash: past a few keys Spark would sort the edges instead
+    conf, key = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(key)
+    conf.set(key, str(1 << 20))
+    try:
+        packed = cut(_packed(encode_words(distinct_words(d), pieces)))
+    finally:
+        conf.set(key, before)
+    if (packed.agg(F.sum(F.length("n"))).first()[0] or 0) > broadcast_words:
+        return encode_joined(d, packed, pieces, id_col)
+    held = docs.sparkSession.sparkContext.broadcast(_index(packed, len(pieces.blobs)))
     rank, bytes_at, kind = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n, start, ids = held.value
-        for x in text_batches(batches, "text", 1 << 22):
+        for x in text_batches(batches, "text"):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)))
             ha, hb = _keys(buf, starts, ends)
             distinct, inverse = np.unique(ha, return_inverse=True)
@@ -270,34 +328,34 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
             first = np.cumsum(count) - count
             for k, v in long.items():
                 out[first[k] : first[k] + len(v)] = v
-            ends_of = np.cumsum(count)
-            upto = np.cumsum(per)
-            off = np.concatenate([[0], np.where(upto > 0, ends_of[upto - 1], 0)]) if len(count) else np.zeros(len(per) + 1)
+            off = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(per)]]
             yield pa.record_batch([x.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out))], names=[id_col, "ids"])
 
     return d.mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
 
-def encode_words_of(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(w, a, b) -> w, a, b, ids: the lattice up to LONGEST characters, the heap for longer words."""
-    words = cut(words)
-    short, long = words.filter(F.length("w") <= LONGEST), words.filter(F.length("w") > LONGEST)
+def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str) -> DataFrame:
+    """The way for vocabularies too large to broadcast: occurrences of words joined to the encoded words by their
+    hashes. Long words bring their ids with them."""
     rank, bytes_at = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield x.append_column("ids", pa.array([merge_long(w, rank, bytes_at) for w in x.column(0).to_pylist()], pa.list_(pa.int32())))
-
-    return short.join(encode_words(short.select("w").distinct(), pieces), "w").unionByName(long.mapInArrow(run, "w string, a long, b long, ids array<int>"))
-
-
-def encode_joined(d: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
-    """The way for vocabularies too large to broadcast: word occurrences joined to the encoded words by the word."""
-    rows = d.withColumn("row", F.monotonically_increasing_id())
-    at = rows.select("row", F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit("( +[^ ]*)"), F.lit(1))).alias("k", "w"))
-    at = at.filter(F.length("w") > 0).withColumn("w", F.translate("w", " ", BLANK))
-    got = at.join(words.select("w", "ids"), "w").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.join(got, "row", "left").select(id_col, F.coalesce(F.when(F.col("text") != "", F.col("ids")), F.array().cast("array<int>")).alias("ids"))
+        for x in text_batches(batches, "text"):
+            buf, starts, ends, per = _cut_words(*flat(x.column(1)))
+            a, b = _keys(buf, starts, ends)
+            owner, place = spread(per)
+            own = [None] * len(a)
+            for k in np.flatnonzero(ends - starts > LONGEST):
+                w = bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)
+                if len(w) > LONGEST:
+                    own[k] = merge_long(w, rank, bytes_at)
+            yield pa.record_batch([pa.array(np.asarray(x.column(0))[owner]), pa.array(place), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(own, pa.list_(pa.int32()))], names=["row", "k", "a", "b", "own"])
+
+    rows = cut(d.withColumn("row", F.monotonically_increasing_id()))
+    at = rows.select("row", "text").mapInArrow(run, "row long, k long, a long, b long, own array<int>")
+    got = at.join(_unpacked(packed), ["a", "b"], "left").select("row", F.struct("k", F.coalesce("own", "ids").alias("ids")).alias("e"))
+    got = got.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["ids"])).alias("ids"))
+    return rows.join(got, "row", "left").select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:
