@@ -6,10 +6,11 @@ differ in at most k elements, k known from their sizes; so with over k cells tha
 (pigeonhole). m and k are set per band of sizes; a document joins the band of its size and, near the lower end, the band
 below. Cells are joined by value; candidate pairs are verified on the whole sets.
 
-In a cell that many documents share, all are verified against the first; pairs of those that remain in different
-components are compared by 2048-bit parity sketches (whose Hamming distance is a lower bound of |A xor B| too) in tiles,
-and verified if the bound allows a link. So no group's pairs are all written, and no link between components is lost.
-Equal sets are one class throughout.
+A linking pair shares several cells, so each document leaves out its most common ones as far as it still meets its
+partners: this drops cells of passages that very many documents share. In a cell that is large nevertheless, all are
+verified against the first; pairs of those that remain in different components are compared by 2048-bit parity sketches
+(whose Hamming distance is a lower bound of |A xor B| too) in tiles. Before texts are moved, all pairs pass the bit
+sketches. So no group's pairs are all written, and no link between components is lost. Equal sets are one class.
 
 m leaves a quarter and 7 more cells than k + 1, so that sets keep over k cells that are not empty: their expected number
 is over k by 9 % of k and 7, which makes a miss less likely than one in 10^9 per pair.
@@ -24,9 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE_A, cut, flat, mix64, span_hash, spread, text_batches
@@ -107,7 +107,10 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs(id, text) -> cell, id: the cells that are not empty, once for equal sets of a batch."""
+    """docs(id, text) -> cell, id, band, spare: the cells that are not empty, once for equal sets of a batch.
+
+    A linking pair shares at least as many cells as one of the two has over k; spare is half of that less one, rounded
+    down: so many cells each of the two may leave out, and they still meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
@@ -138,74 +141,59 @@ def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 filled[at] = True
                 holder, number = spread(count)
                 name = mix64(xor + mix64((band[use][holder] * (1 << 32) + number).astype(np.uint64)))[filled]
-                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[use][holder[filled]])], names=["cell", "id"])
+                spare = np.maximum(np.bincount(holder[filled], minlength=len(use)) - top[band[use]] * (den - num) // den - 1, 0) // 2
+                at = holder[filled]
+                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[use][at]), pa.array(band[use][at].astype(np.int32)), pa.array(spare[at].astype(np.int32))], names=["cell", "id", "band", "spare"])
 
-    return docs.mapInArrow(run, "cell long, id long")
+    return docs.mapInArrow(run, "cell long, id long, band int, spare int")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """rows(cell, id) -> kind, x, y, cell. kind 0: (x, first id of a shared cell); 1: another pair of a cell of up to
-    LARGE ids; 2: id x is in a larger cell."""
+    """rows(cell, id, band, spare) -> large, x, y, cell, band, spare, size. not large: x and y share a cell of up to LARGE
+    ids; large: id x is in a cell of more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list] = {0: [], 1: [], 2: []}
-
-        def flush():
-            parts = []
-            for kind, rows in out.items():
-                if rows:
-                    r = np.unique(np.concatenate(rows), axis=0)
-                    parts.append(np.column_stack([np.full(len(r), kind), r]))
-                    rows.clear()
-            if parts:
-                r = np.concatenate(parts)
-                return pa.record_batch([pa.array(r[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(r[:, i])) for i in (1, 2, 3)]], names=["kind", "x", "y", "cell"])
-            return None
-
-        tail_c, tail_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = None
         for x in batches:
-            c, i = np.concatenate([tail_c, np.asarray(x.column(0))]), np.concatenate([tail_i, np.asarray(x.column(1))])
-            if not len(c):
+            if not x.num_rows:
                 continue
-            first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            size = np.diff(np.r_[first, len(c)])
-            # the last run may go on: of a long one, the first LARGE + 1 rows stay to lead those to come
-            last = first[-1]
-            done = np.arange(len(first)) < len(first) - 1
-            _settle(c, i, first[done], size[done], out)
-            tail_c, tail_i = c[last:], i[last:]
-            if len(tail_c) > 4096:
-                _settle(tail_c, tail_i, np.array([0]), np.array([len(tail_c)]), out)
-                tail_c, tail_i = tail_c[: LARGE + 1], tail_i[: LARGE + 1]
-            if (b := flush()) is not None:
-                yield b
-        if len(tail_c):
-            _settle(tail_c, tail_i, np.array([0]), np.array([len(tail_c)]), out)
-        if (b := flush()) is not None:
-            yield b
-
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(run, "kind int, x long, y long, cell long").distinct()
-
-
-def _settle(c, i, first, size, out) -> None:
-    keep = size > 1
-    first, size = first[keep], size[keep]
-    if not len(first):
+            c = [np.asarray(x.column(k)).astype(np.int64) for k in range(4)]
+            c = c if held is None else [np.concatenate(v) for v in zip(held, c)]
+            last = int(np.searchsorted(c[0], c[0][-1]))  # the last run may go on
+            yield from _settle(*[v[:last] for v in c])
+            held = [v[last:] for v in c]
+            if len(held[0]) > 4096:  # a very long run goes on as its first rows, so that it stays a large one
+                yield from _settle(*held)
+                held = [v[: LARGE + 1] for v in held]
+        if held is not None:
+            yield from _settle(*held)
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "large boolean, x long, y long, cell long, band int, spare int, size int").distinct()
+
+
+def _settle(cell, ids, band, spare) -> Iterator[pa.RecordBatch]:
+    if not len(cell):
         return
-    who, place = spread(size)
-    at = first[who] + place
-    rest = place > 0
-    zero = np.zeros(int(rest.sum()), np.int64)
-    out[0].append(np.column_stack([i[at[rest]], i[first[who[rest]]], zero]))
-    big = size[who] > LARGE
-    if big.any():
-        out[2].append(np.column_stack([i[at[big]], np.zeros(int(big.sum()), np.int64), c[at[big]]]))
-    for p in range(1, LARGE):
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[first, len(cell)])
+    pairs = []
+    for p in range(LARGE):
         for q in range(p + 1, LARGE):
             f = first[(size <= LARGE) & (size > q)]
             if len(f):
-                out[1].append(np.column_stack([i[f + q], i[f + p], np.zeros(len(f), np.int64)]))
+                pairs.append(np.column_stack([np.maximum(ids[f + p], ids[f + q]), np.minimum(ids[f + p], ids[f + q])]))
+    if pairs:
+        r = np.unique(np.concatenate(pairs), axis=0)
+        zero = np.zeros(len(r), np.int32)
+        yield _found(np.zeros(len(r), bool), r[:, 0], r[:, 1], zero, zero, zero, zero)
+    big = np.flatnonzero(np.repeat(size > LARGE, size))
+    if len(big):
+        yield _found(np.ones(len(big), bool), ids[big], np.zeros(len(big), np.int64), cell[big], band[big], spare[big], np.repeat(size, size)[big])
+
+
+def _found(large, x, y, cell, band, spare, size) -> pa.RecordBatch:
+    c = [pa.array(large), *[pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in (x, y, cell)], *[pa.array(v.astype(np.int32)) for v in (band, spare, size)]]
+    return pa.record_batch(c, names=["large", "x", "y", "cell", "band", "spare", "size"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -214,6 +202,13 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     if pairs.isEmpty():
         return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
     need = cut(pairs.select(F.explode(F.array("x", "y")).alias("need")).distinct())
+    # the bit sketches drop most pairs that don't link, before texts are moved
+    few = cut(sketches(docs.join(sized(need), docs["id"] == need["need"], "left_semi"), k))
+    left, right = (few.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")) for side in ("x", "y"))
+    pairs = cut(_near(pairs.join(left, "x").join(right, "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num), num, den).distinct())
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    need = cut(pairs.select(F.explode(F.array("x", "y")).alias("need")).distinct())
     texts = docs.join(sized(need), docs["id"] == need["need"], "left_semi")
     one = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x")
     both = one.join(texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
@@ -234,6 +229,25 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     return cut(both.mapInArrow(run, "a long, b long"))
 
 
+def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(x, y, nx, ny, bx, by) -> x, y whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nx, ny = np.asarray(b.column(2)), np.asarray(b.column(3))
+            p, q = (flat(b.column(i))[0].view(np.uint64).reshape(-1, SKETCH) for i in (4, 5))
+            ok = pa.array(_allowed(np.bitwise_count(p ^ q).sum(1), np.minimum(nx, ny), num, den))
+            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["x", "y"])
+
+    return pairs.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(run, "x long, y long")
+
+
+def _allowed(gap, smaller, num: int, den: int):
+    """Whether sets with so many different bits may link: |A xor B| is at most (den - num) / den of the union, and the
+    union at most den / num of the smaller set."""
+    return gap * num <= (den - num) * smaller
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """docs(id, text) -> id, n, bits: parity of 2048 bits, each element in one."""
 
@@ -263,29 +277,47 @@ def near_in_tiles(members: DataFrame, docs: DataFrame, comp: DataFrame, k: int,
     spread_out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread_out = spread_out.select("cell", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "x", "component", "n", "bits")
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        left, right = g[g.tile == g.p.iloc[0]], g[g.tile == g.q.iloc[0]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"x": [], "y": []}, dtype="int64")
-        bits = lambda d: np.frombuffer(b"".join(d.bits), np.uint64).reshape(len(d), SKETCH)
-        a, b, out = bits(left), bits(right), []
-        lx, rx, lc, rc, ln, rn = left.x.to_numpy(), right.x.to_numpy(), left.component.to_numpy(), right.component.to_numpy(), left.n.to_numpy(), right.n.to_numpy()
-        for i in range(len(left)):
-            least, most = np.minimum(ln[i], rn), np.maximum(ln[i], rn)
-            ok = np.flatnonzero((lc[i] != rc) & (lx[i] > rx) & (den * least >= num * most))
-            if len(ok):
-                gap = np.bitwise_count(a[i] ^ b[ok]).sum(1)
-                ok = ok[gap * den <= (den - num) * (least[ok] * den // num)]
-                out.append(np.column_stack([np.full(len(ok), lx[i]), rx[ok]]))
-            ok = np.flatnonzero((lc[i] != rc) & (lx[i] < rx) & (den * least >= num * most)) if g.p.iloc[0] != g.q.iloc[0] else []
-            if len(ok):
-                gap = np.bitwise_count(a[i] ^ b[ok]).sum(1)
-                ok = ok[gap * den <= (den - num) * (least[ok] * den // num)]
-                out.append(np.column_stack([rx[ok], np.full(len(ok), lx[i])]))
-        r = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"x": r[:, 0], "y": r[:, 1]})
-
-    return spread_out.groupBy("cell", "p", "q").applyInPandas(compare, "x long, y long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            group = np.asarray(t.column("group"))
+            last = int(np.searchsorted(group, group[-1]))  # the last tile may go on; it has at most two TILEs of rows
+            if last:
+                yield _compare(t.slice(0, last), num, den)
+            held = t.slice(last)
+        if held is not None:
+            yield _compare(held, num, den)
+
+    group = F.xxhash64("cell", "p", "q").alias("group")
+    dealt = spread_out.select(group, (F.col("p") != F.col("q")).alias("cross"), "tile", "x", "component", "n", "bits").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(compare, "x long, y long").distinct()
+
+
+def _compare(t: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """x > y of different components in each group of rows, where the sketches allow a link."""
+    group, tile, x, comp, n = (np.asarray(t.column(c)) for c in ("group", "tile", "x", "component", "n"))
+    cross, bits = np.asarray(t.column("cross").cast(pa.int8())) > 0, flat(t.column("bits"))[0].view(np.uint64).reshape(-1, SKETCH)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    out = []
+    for i, j in zip(first, np.r_[first[1:], len(group)]):
+        c, m, ids = comp[i:j], n[i:j], x[i:j]
+        if (c == c[0]).all():
+            continue
+        ok = (c[:, None] != c[None, :]) & (ids[:, None] > ids[None, :]) & (den * np.minimum(m[:, None], m[None, :]) >= num * np.maximum(m[:, None], m[None, :]))
+        if cross[i]:
+            ok &= tile[i:j, None] != tile[None, i:j]
+        a, b = np.nonzero(ok)
+        for k in range(0, len(a), 1 << 14):
+            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            gap = np.bitwise_count(bits[i + p] ^ bits[i + q]).sum(1)
+            use = _allowed(gap, np.minimum(m[p], m[q]), num, den)
+            out.append(np.column_stack([ids[p[use]], ids[q[use]]]))
+    r = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    r = np.unique(r, axis=0)
+    return pa.record_batch([pa.array(np.ascontiguousarray(r[:, 0])), pa.array(np.ascontiguousarray(r[:, 1]))], names=["x", "y"])
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
@@ -297,15 +329,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     same = full.join(sized(rep), ["n", "a", "b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     real = d.filter(F.col("id").isNotNull())
     found = cut(candidates(cells(real, k, num, den)))
-    links = cut(same.filter("a <> b").unionByName(verify(found.filter("kind = 0").select("x", "y"), real, k, num, den)))
+    rank = F.row_number().over(Window.partitionBy("x", "band").orderBy(F.desc("size"), "cell"))
+    large = cut(found.filter("large").withColumn("rank", rank).filter("rank > spare").select("cell", "x").distinct())
+    lead = cut(large.groupBy("cell").agg(F.min("x").alias("y")))
+    star = large.join(sized(lead), "cell").select("x", "y").distinct()
+    links = cut(same.filter("a <> b").unionByName(verify(star, real, k, num, den)))
     comp = components(links)
     c = sized(comp)
-    rest = found.filter("kind = 1").select("x", "y")
+    rest = found.filter("not large").select("x", "y")
     for side in ("x", "y"):
         of = c.select(F.col("id").alias("i"), F.col("component").alias(f"c{side}"))
         rest = rest.join(of, rest[side] == of["i"], "left").drop("i").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     rest = rest.filter("cx <> cy").select("x", "y")
-    more = verify(rest.unionByName(near_in_tiles(found.filter("kind = 2").select("cell", "x"), real, c, k, num, den)), real, k, num, den)
+    more = verify(rest.unionByName(near_in_tiles(large, real, c, k, num, den)), real, k, num, den)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
         c = sized(comp)
