@@ -11,8 +11,9 @@ a corpus would move every byte many times over, so refinement is sparse:
    earlier steps are used again at every place. All windows with one anchor travel as one short string.
 3. The least document of each refined bucket keeps its bytes; windows of others are marked, and texts are cut.
 
-Buckets of over HOT documents are refined by window, spread by the window's own identifier, and each task passes on only
-its least document of equal strings; so a passage in very many documents makes no large bucket. Identifiers are hashes
+Buckets of over HOT documents are spread: by the strings of windows first, and the windows of the least document of each
+string by themselves. Each task passes on only its least document of equal strings, so a passage in very many documents
+makes no large bucket. Identifiers are hashes
 of 128 bits where equality decides, and of 40 bits and more where they only drop buckets.
 
 Null texts are empty. Texts of under LENGTH bytes lose nothing. Rows with equal ids are one document and don't shorten
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,9 @@ LENGTH, Q = 50, 20
 #: Windows that share an anchor at most: the Q-grams of a window.
 W = LENGTH - Q + 1
 #: Documents of a bucket beyond which its windows are spread.
-HOT = 64
+HOT = 2048
 #: Anchors that a task gathers before it passes them on.
-GATHER = 2_000_000
+GATHER = 1_000_000
 PAIR = np.uint64(0xA0761D6478BD642F)
 
 
@@ -129,7 +131,7 @@ def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
                 k, d, p, c = k[order], d[order], p[order], c[order]
                 edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
                 for i, j in zip(edge, [*edge[1:], len(p)]):
-                    rows.append((int(p[i]), kind, _planes(k[i:j], 5 if kind == 0 else 8), _planes(np.diff(d[i:j], prepend=0), 8), _planes(np.minimum(c[i:j], HOT + 1), 1)))
+                    rows.append((int(p[i]), kind, _planes(k[i:j], 5 if kind == 0 else 8), _planes(np.diff(d[i:j], prepend=0), 8), _planes(np.minimum(c[i:j], HOT + 1), 2)))
             return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "docs", "counts"])
 
         for x in text_batches(batches, "text"):
@@ -168,7 +170,7 @@ def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
                     yield settle()
                     got = []
                 part = r["part"]
-                got.append((_unplanes(r["keys"], 5), doc, _unplanes(r["counts"], 1)))
+                got.append((_unplanes(r["keys"], 5), doc, _unplanes(r["counts"], 2)))
         if got:
             yield settle()
 
@@ -217,7 +219,7 @@ def _first_docs(a, b, doc):
     return out
 
 
-MARKS = ["id", "name", "mask"]
+COLUMNS = ["at", "kind", "other", "id", "name", "bit", "text"]
 
 
 def marks(texts: DataFrame, parts: int) -> DataFrame:
@@ -225,7 +227,7 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
     windows (bits) that a smaller document has too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text", 1 << 22):
+        for x in text_batches(batches, "text"):
             buf, off = flat(x.column(1))
             ids = np.asarray(x.column(0))
             lists = x.column(2)
@@ -238,55 +240,55 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
             # equal strings of this batch: the least document goes on, the others are settled
             low = _first_docs(a, b, doc)
             done = low < doc
-            yield _out(3, doc[done], a[done].view(np.int64), (np.int64(1) << n[done]) - 1)
+            yield _out(3, doc[done], doc[done], a[done].view(np.int64), bit=(np.int64(1) << n[done]) - 1)
             go = ~done
             _, once = np.unique(np.column_stack([a[go], doc[go].view(np.uint64)]), axis=0, return_index=True)
             k = np.flatnonzero(go)[once]
             cold, warm = k[~hot[k]], k[hot[k]]
             raw = buf.tobytes()
-            yield _out(0, doc[cold], a[cold].view(np.int64), key[cold], text=[raw[i:j] for i, j in zip(first[cold], end[cold])])
-            if len(warm):
-                who, number, wa, wb = _windows([raw[i:j] for i, j in zip(first[warm], end[warm])])
-                d, name = doc[warm][who], a[warm][who]
-                low = _first_docs(wa, wb, d)
-                bit = np.int64(1) << number
-                done = low < d
-                yield _out(3, d[done], name[done].view(np.int64), bit[done])
-                go = ~done
-                yield _out(1, d[go], name[go].view(np.int64), wa[go].view(np.int64), wb[go].view(np.int64), bit[go])
-
-    def _out(kind, doc, name, key, other=None, bit=None, text=None):
-        """kind 0: key is the bucket, text the string; 1: key and other name a window; 3: settled, key is the mask."""
+            yield _out(0, doc[cold], key[cold], a[cold].view(np.int64), text=[raw[i:j] for i, j in zip(first[cold], end[cold])])
+            yield _out(1, doc[warm], a[warm].view(np.int64), None, b[warm].view(np.int64), text=[raw[i:j] for i, j in zip(first[warm], end[warm])])
+
+    def _out(kind, doc, at, name, other=None, bit=None, text=None):
+        """at brings together: 0, strings of one bucket; 1, equal strings (at and other) of a hot bucket; 2, equal windows
+        (at and other). 3 is settled: bit has the mask. name is the string's, for 1 it is at."""
         m = len(doc)
-        where = mix64(key.view(np.uint64) + np.uint64(kind)) if kind < 3 else mix64(doc.view(np.uint64))
-        none = pa.nulls(m, pa.int64())
-        return pa.record_batch(
-            [pa.array(where.view(np.int64)), pa.array(np.full(m, kind, np.int32)), pa.array(key), pa.array(other) if other is not None else none, pa.array(doc), pa.array(name), pa.array(bit) if bit is not None else none, pa.array(text, pa.binary()) if text is not None else pa.nulls(m, pa.binary())],
-            names=["at", "kind", "key", "other", "id", "name", "bit", "text"],
-        )
+        longs = [pa.array(v) if v is not None else pa.nulls(m, pa.int64()) for v in (other, doc, name, bit)]
+        return pa.record_batch([pa.array(at), pa.array(np.full(m, kind, np.int32)), *longs, pa.array(text, pa.binary()) if text is not None else pa.nulls(m, pa.binary())], names=COLUMNS)
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole buckets of either round; what remains to be done comes out as windows, the rest as masks."""
+        kind, at, doc = (np.asarray(t.column(c)) for c in ("kind", "at", "id"))
+        some = lambda c, use: t.column(c).take(pa.array(use))
+        longs = lambda c, use: np.asarray(some(c, use))
+        use = np.flatnonzero(kind == 3)
+        yield _out(3, doc[use], at[use], longs("name", use), bit=longs("bit", use))
+        use = np.flatnonzero(kind == 2)
+        if len(use):
+            use = use[_first_docs(at[use], longs("other", use), doc[use]) < doc[use]]
+            yield _out(3, doc[use], doc[use], longs("name", use), bit=longs("bit", use))
+        use = np.flatnonzero(kind == 1)
+        if len(use):
+            # the least document of equal strings goes on by window, the others lose the whole string
+            done = _first_docs(at[use], longs("other", use), doc[use]) < doc[use]
+            size = np.asarray(pc.binary_length(some("text", use))).astype(np.int64) - LENGTH + 1
+            yield _out(3, doc[use][done], doc[use][done], at[use][done], bit=(np.int64(1) << size[done]) - 1)
+            go = use[~done]
+            if len(go):
+                who, number, a, b = _windows(some("text", go).to_pylist())
+                yield _out(2, doc[go][who], a.view(np.int64), at[go][who], b.view(np.int64), np.int64(1) << number)
+        use = np.flatnonzero(kind == 0)
+        if len(use):
+            who, number, a, b = _windows(some("text", use).to_pylist())
+            d = doc[use][who]
+            done = _first_docs(a, b, d) < d
+            mask = np.zeros(len(use), np.int64)
+            np.bitwise_or.at(mask, who[done], np.int64(1) << number[done])
+            use, mask = use[mask != 0], mask[mask != 0]
+            yield _out(3, doc[use], doc[use], longs("name", use), bit=mask)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            kind, key, doc, name = (np.asarray(t.column(c)) for c in ("kind", "key", "id", "name"))
-            use = kind == 3
-            yield _marks(doc[use], name[use], key[use])
-            use = np.flatnonzero(kind == 1)
-            if len(use):
-                other, bit = np.asarray(t.column("other").take(pa.array(use))), np.asarray(t.column("bit").take(pa.array(use)))
-                done = _first_docs(key[use], other, doc[use]) < doc[use]
-                yield _marks(doc[use][done], name[use][done], bit[done])
-            use = np.flatnonzero(kind == 0)
-            if len(use):
-                who, number, a, b = _windows(t.column("text").take(pa.array(use)).to_pylist())
-                d = doc[use][who]
-                done = _first_docs(a, b, d) < d
-                mask = np.zeros(len(use), np.int64)
-                np.bitwise_or.at(mask, who[done], np.int64(1) << number[done])
-                use, mask = use[mask != 0], mask[mask != 0]
-                yield _marks(doc[use], name[use], mask)
-
         for x in batches:
             if not x.num_rows:
                 continue
@@ -299,18 +301,18 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from settle(held)
 
-    def _marks(doc, name, mask):
-        return pa.record_batch([pa.array(doc), pa.array(name), pa.array(mask)], names=MARKS)
-
-    sent = texts.mapInArrow(emit, "at long, kind int, key long, other long, id long, name long, bit long, text binary")
-    return sent.repartition("at").sortWithinPartitions("at").mapInArrow(resolve, "id long, name long, mask long")
+    schema = "at long, kind int, other long, id long, name long, bit long, text binary"
+    rows = texts.mapInArrow(emit, schema)
+    for _ in range(2):  # strings, then windows of hot buckets
+        rows = rows.repartition("at").sortWithinPartitions("at").mapInArrow(resolve, schema)
+    return rows.select("id", "name", F.col("bit").alias("mask"))
 
 
 def _cut_texts(marked: DataFrame, parts: int, characters: bool) -> DataFrame:
     """marked(row, text, names, masks) -> row, kept, n_removed, n_spans, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text", 1 << 22):
+        for x in text_batches(batches, "text"):
             buf, off = flat(x.column(1))
             text, _, first, n, _, a, _ = _super(buf, off, parts)
             names, masks = x.column(2), np.asarray(x.column(3).flatten())

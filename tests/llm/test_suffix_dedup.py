@@ -68,7 +68,8 @@ def test_equals_all_strings(spark, seed):
     assert run(df) == brute(rows)
 
 
-def test_hot_passage_with_own_surroundings(spark):
+def test_hot_passage_with_own_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 16)
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
     rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(90)) + passage[: rng.randint(100, 130)] + "".join(rng.choice("qrstu ") for _ in range(90))) for i in range(400)]
