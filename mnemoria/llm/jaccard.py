@@ -262,8 +262,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, bits binary")
 
 
-def near_in_tiles(members: DataFrame, docs: DataFrame, comp: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """members(cell, x) of large cells -> x, y: pairs in different components that the bit sketches allow to link."""
+def near_in_tiles(members: DataFrame, docs: DataFrame, comp: DataFrame, k: int, num: int, den: int, nearest: bool = False) -> DataFrame:
+    """members(cell, x) of large cells -> x, y: pairs in different components that the bit sketches allow to link.
+
+    nearest: of each row only the pair with the nearest sketch, so that components of near copies grow together before
+    all that is left is compared."""
     ids = cut(members.select("x").distinct())
     c = comp.select(F.col("id").alias("i"), "component")
     named = members.join(c, members["x"] == c["i"], "left").select("cell", "x", F.coalesce("component", "x").alias("component"))
@@ -286,17 +289,17 @@ def near_in_tiles(members: DataFrame, docs: DataFrame, comp: DataFrame, k: int,
             group = np.asarray(t.column("group"))
             last = int(np.searchsorted(group, group[-1]))  # the last tile may go on; it has at most two TILEs of rows
             if last:
-                yield _compare(t.slice(0, last), num, den)
+                yield _compare(t.slice(0, last), num, den, nearest)
             held = t.slice(last)
         if held is not None:
-            yield _compare(held, num, den)
+            yield _compare(held, num, den, nearest)
 
     group = F.xxhash64("cell", "p", "q").alias("group")
     dealt = spread_out.select(group, (F.col("p") != F.col("q")).alias("cross"), "tile", "x", "component", "n", "bits").repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(compare, "x long, y long").distinct()
 
 
-def _compare(t: pa.Table, num: int, den: int) -> pa.RecordBatch:
+def _compare(t: pa.Table, num: int, den: int, nearest: bool) -> pa.RecordBatch:
     """x > y of different components in each group of rows, where the sketches allow a link."""
     group, tile, x, comp, n = (np.asarray(t.column(c)) for c in ("group", "tile", "x", "component", "n"))
     cross, bits = np.asarray(t.column("cross").cast(pa.int8())) > 0, flat(t.column("bits"))[0].view(np.uint64).reshape(-1, SKETCH)
@@ -310,11 +313,21 @@ def _compare(t: pa.Table, num: int, den: int) -> pa.RecordBatch:
         if cross[i]:
             ok &= tile[i:j, None] != tile[None, i:j]
         a, b = np.nonzero(ok)
+        near = []
         for k in range(0, len(a), 1 << 14):
             p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-            gap = np.bitwise_count(bits[i + p] ^ bits[i + q]).sum(1)
+            gap = np.bitwise_count(bits[i + p] ^ bits[i + q]).sum(1).astype(np.int64)
             use = _allowed(gap, np.minimum(m[p], m[q]), num, den)
-            out.append(np.column_stack([ids[p[use]], ids[q[use]]]))
+            near.append(np.column_stack([p, q, gap])[use])
+        near = np.concatenate(near) if near else np.zeros((0, 3), np.int64)
+        if nearest and len(near):
+            best = []
+            for side in (0, 1):
+                order = np.lexsort((near[:, 2], near[:, side]))
+                rows = near[order, side]
+                best.append(order[np.r_[True, rows[1:] != rows[:-1]]])
+            near = near[np.unique(np.concatenate(best))]
+        out.append(np.column_stack([ids[near[:, 0]], ids[near[:, 1]]]))
     r = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     r = np.unique(r, axis=0)
     return pa.record_batch([pa.array(np.ascontiguousarray(r[:, 0])), pa.array(np.ascontiguousarray(r[:, 1]))], names=["x", "y"])
@@ -335,6 +348,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     star = large.join(sized(lead), "cell").select("x", "y").distinct()
     links = cut(same.filter("a <> b").unionByName(verify(star, real, k, num, den)))
     comp = components(links)
+    grown = verify(near_in_tiles(large, real, sized(comp), k, num, den, nearest=True), real, k, num, den)
+    if not grown.isEmpty():
+        links = cut(links.unionByName(grown))
+        comp = components(links)
     c = sized(comp)
     rest = found.filter("not large").select("x", "y")
     for side in ("x", "y"):
