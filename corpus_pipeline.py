@@ -12,13 +12,31 @@ from mnemoria.llm import jaccard, langid, mixing, pieces, queries, suffix_dedup
 from mnemoria.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least score of a verdict that corrects a given lang.
+SURE = 0.999
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, or no letter); a missing lang becomes the predicted one."""
-    rows = docs.withColumn("row", F.struct(*COLUMNS))
-    got = langid.predict(rows.select("row", "text"), langid.train(docs, F.lit(True)), "row")
-    return got.filter("lang_pred <> 'und'").select("row.doc_id", "row.text", F.coalesce("row.lang", "lang_pred").alias("lang"), "row.source", "row.n_chars")
+    """Drops texts without a language (null, or no letter) and those that the decoding flags ambiguous: mixed and foreign
+    texts whatever their lang, and texts that are close to two languages unless their lang is one of the two, which
+    settles it. So a short text without a lang goes where its few letters fit two languages alike; one with a lang stays.
+    A missing lang becomes the predicted one, and so does one that a sure verdict (`SURE`) contradicts.
+
+    Each half of the texts is judged by a model of the other half, so that none is evidence for itself; copies are in one
+    half. A lang that the other half doesn't have can't be judged and stays, as all do where the other half has none."""
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    rows, out = docs.withColumn("row", F.struct(*COLUMNS)), []
+    models = [langid.train(docs, half == 1 - h) for h in (0, 1)]
+    for h, m in enumerate(models):
+        m = m if m.languages else models[1 - h]
+        got = langid.predict(rows.filter(half == h).select("row", "text"), m, "row")
+        given = F.col("row.lang")
+        known = F.coalesce(given.isin(m.languages), F.lit(True))
+        settled = ~F.col("unlike") & F.coalesce(given.isin(F.col("lang_pred"), F.col("runner_up")), F.lit(False))
+        kept = got.filter((F.col("lang_pred") != "und") & (~known | ~F.col("ambiguous") | settled))
+        lang = F.when(known & ~F.col("ambiguous") & (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.coalesce(given, "lang_pred"))
+        out.append(kept.select("row.doc_id", "row.text", lang.alias("lang"), "row.source", "row.n_chars"))
+    return out[0].unionByName(out[1])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

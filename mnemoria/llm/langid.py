@@ -2,8 +2,12 @@
 
 Every language gets a codeword of bits. For each bit a binary classifier of byte 3-grams (log odds of the 3-gram between
 the languages whose bit is 1 and those whose bit is 0) predicts the bit from a whole text; the codeword with the least
-weighted loss wins, and a text whose two best codewords are close is flagged ambiguous. The 3-gram counts come from all
-learning rows, summed in the tasks; the model has a fixed size (feature space x languages).
+weighted loss wins. A text is flagged ambiguous if its two best codewords are close, or if it is unlike its best one: its
+evidence a 3-gram is below `least` of what the language's learning rows have on average (half in another language leaves
+about half of it, a foreign language under a fifth), by over 3 standard errors. Few 3-grams have large errors, so a short
+text is seldom unlike; a text of a few letters is flagged only where its codewords are close. Learning rows whose languages
+hardly differ (under `LEAST_USUAL` a 3-gram) can't tell what is unlike. The 3-gram counts come from
+all learning rows, summed in the tasks; the model has a fixed size (feature space x languages).
 
 Null texts and texts without a letter are `und` with score 0. Very long texts are read whole. Learning rows with a null
 language or text are left out; with no learning rows everything is `und`. Repeated rows get equal results.
@@ -27,6 +31,8 @@ CLASS[65:91] = CLASS[97:123] = np.arange(1, 27)
 CLASS[128:] = 32 + (np.arange(128, 256) & 31)
 GRAMS = 1 << 18
 LETTER = r"\p{L}"
+#: Least mean evidence of a 3-gram, in nats, of a language that texts can be unlike; the given four have 3 to 6.
+LEAST_USUAL = 0.5
 
 
 def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +64,8 @@ class Model:
     code: np.ndarray  # language x bit
     weights: np.ndarray  # 3-gram x bit
     value: np.ndarray  # weight of each bit's loss
+    usual: np.ndarray  # evidence of a 3-gram for its own language, mean by language
+    error: np.ndarray  # and its standard deviation
 
 
 def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
@@ -88,7 +96,7 @@ def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
     sums = sums.groupBy("lang").agg(F.sum("n").alias("t"), F.collect_list(F.struct("gram", "n")).alias("g")).orderBy(F.desc("t"), "lang").limit(most_languages)
     got = sorted((r["lang"], r["g"]) for r in sums.collect())
     if not got:
-        return Model([], np.zeros((0, 0), np.int64), np.zeros((GRAMS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((0, 0), np.int64), np.zeros((GRAMS, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
     n = np.zeros((len(got), GRAMS))
     for i, (_, g) in enumerate(got):
         n[i, [x["gram"] for x in g]] = [x["n"] for x in g]
@@ -99,19 +107,25 @@ def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
     odds = np.log(one / zero).T if code.shape[1] else np.zeros((GRAMS, 0))
     odds[0] = 0
     value = ((one - zero).T * odds).sum(0) / 2  # mean margin of a bit: how well its languages differ
-    return Model([x for x, _ in got], code, np.ascontiguousarray(odds, np.float32), value / value.sum() if len(value) else value)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float = 0.6) -> DataFrame:
-    """docs(id, text) -> id, lang_pred, score (share of the best codeword's evidence, 0 to 1), runner_up, ambiguous
-    (the best has less than `close` of the two best)."""
+    value = value / value.sum() if len(value) else value
+    share = n / np.maximum(n.sum(1, keepdims=True), 1)
+    own = [odds @ (value * (2 * c - 1)) for c in code]
+    usual = np.array([q @ x for q, x in zip(share, own)])
+    # 3-grams overlap, so a text's independent ones are a third
+    error = np.sqrt(np.array([3 * (q @ (x - u) ** 2) for q, x, u in zip(share, own, usual)]))
+    return Model([x for x, _ in got], code, np.ascontiguousarray(odds, np.float32), value, usual, error)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float = 0.6, least: float = 0.6) -> DataFrame:
+    """docs(id, text) -> id, lang_pred, score (share of the best codeword's evidence, 0 to 1), runner_up, unlike (mixed or
+    foreign: see above), ambiguous (unlike, or the best has less than `close` of the two best)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # GRAMS x bits floats, whatever the input
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        for b in text_batches(batches, "text", 1 << 22):
+        for b in text_batches(batches, "text"):
             g, ends = _grams(*flat(b.column(1)))
             used = np.maximum(1, np.add.reduceat((g != 0).astype(np.int64), ends[:-1]))
             k = len(m.languages)
@@ -127,6 +141,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float
                 score = p[np.arange(len(p)), best]
                 p[np.arange(len(p)), best] = -1
                 second, next_score = p.argmax(1), p.max(1)
+                fit = (margin * (2 * m.code[best] - 1)) @ m.value
+                unlike = (m.usual[best] >= LEAST_USUAL) & (fit < least * m.usual[best]) & (m.usual[best] - fit > 3 * m.error[best] / np.sqrt(used))
             letters = np.array(b.column(2).to_pylist(), bool)
             known = letters & (k > 0)
             names = m.languages or ["und"]
@@ -136,10 +152,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float
                     pa.array([names[best[i]] if known[i] else "und" for i in range(b.num_rows)], pa.string()),
                     pa.array(np.where(known, score if k else 0.0, 0.0), pa.float64()),
                     pa.array([names[second[i]] if known[i] and k > 1 else None for i in range(b.num_rows)], pa.string()),
-                    pa.array(known & (score < close * (score + np.maximum(next_score, 0))) if k else known, pa.bool_()),
+                    pa.array(known & unlike if k else known, pa.bool_()),
+                    pa.array(known & (unlike | (score < close * (score + np.maximum(next_score, 0)))) if k else known, pa.bool_()),
                 ],
-                names=[id_col, "lang_pred", "score", "runner_up", "ambiguous"],
+                names=[id_col, "lang_pred", "score", "runner_up", "unlike", "ambiguous"],
             )
 
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    return docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"), letters.alias("letters")).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, runner_up string, ambiguous boolean")
+    return docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"), letters.alias("letters")).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, runner_up string, unlike boolean, ambiguous boolean")

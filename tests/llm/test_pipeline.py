@@ -69,3 +69,20 @@ def test_ids_for_every_row_and_run_agrees(spark, outputs):
     assert out[4].count() == out[3].count() and out[4].filter("n_tokens <> size(ids) or n_tokens = 0").count() == 0
     whole = P.run(spark, d)
     assert sorted((r["doc_id"], r["ids"]) for r in whole.collect()) == sorted((r["doc_id"], r["ids"]) for r in out[4].collect())
+
+
+def test_language_rejects_mixed_and_foreign_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*P.COLUMNS)
+    have = [r for r in docs.filter("n_chars between 600 and 3000").orderBy("doc_id").collect()]
+    of = lambda lang: [r["text"] for r in have if r["lang"] == lang][:3]
+    half = [a[: min(len(a), len(b))] + " " + b[: min(len(a), len(b))] for x, y in (("de", "es"), ("es", "fr"), ("fr", "en")) for a, b in zip(of(x), of(y))]
+    foreign = ["Kaikki ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu j\u00e4rki ja omatunto, ja heid\u00e4n on toimittava toisiaan kohtaan veljeyden hengess\u00e4.", "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f \u0441\u0432\u043e\u0431\u043e\u0434\u043d\u044b\u043c\u0438 \u0438 \u0440\u0430\u0432\u043d\u044b\u043c\u0438 " * 3]
+    swapped = of("fr")[0][:500] + " \u00e9"
+    extra = [(-1 - i, t, ["de", "es", "fr"][i // 3], "s", 0) for i, t in enumerate(half)] + [(-1001 - i, t, "en", "s", 0) for i, t in enumerate(foreign)] + [(-2001, swapped, "de", "s", 0), (-2002, "ok", None, "s", 0), (-2003, "ok", "es", "s", 0)]
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = {r["doc_id"]: r["lang"] for r in P.language(spark, rows, "").collect()}
+    assert not {-1001, -1002, -2002} & set(got)
+    assert len(half) == 9 and sum(-1 - i in got for i in range(9)) <= 1
+    assert got[-2001] == "fr" and got[-2003] == "es"
+    clean = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert len(clean & set(got)) >= 0.995 * len(clean)
