@@ -12,8 +12,11 @@ verified against the first; pairs of those that remain in different components a
 (whose Hamming distance is a lower bound of |A xor B| too) in tiles. Before texts are moved, all pairs pass the bit
 sketches. So no group's pairs are all written, and no link between components is lost. Equal sets are one class.
 
-m leaves a quarter and 7 more cells than k + 1, so that sets keep over k cells that are not empty: their expected number
-is over k by 9 % of k and 7, which makes a miss less likely than one in 10^9 per pair.
+The pigeonhole needs over k cells that are not empty in one of the two sets. m leaves a quarter and 7 more cells than
+k + 1, which most sets fill by far, but small sets can crowd into few cells. A set that fills no more than k cells of a
+band therefore also gives its least hashes there, as keys under names of their own: sets that link share at least
+ceil(num / den * n) of n hashes, so of the n - ceil(num / den * n) + 1 least ones of each, one is common. A pair that
+shares no cell fills at most k cells on both sides, so both give these keys, and no link is lost but for equal 64-bit hashes.
 
 Null or empty texts have no shingles and link with nothing. Very long texts are taken whole. Rows with equal ids are one
 document that has the links of all its texts; a null id links with nothing and has a null component. An empty table
@@ -110,7 +113,8 @@ def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """docs(id, text) -> cell, id, band, spare: the cells that are not empty, once for equal sets of a batch.
 
     A linking pair shares at least as many cells as one of the two has over k; spare is half of that less one, rounded
-    down: so many cells each of the two may leave out, and they still meet."""
+    down: so many cells each of the two may leave out, and they still meet. Sets with no more than k cells have no spare
+    and give their least hashes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
@@ -141,8 +145,13 @@ def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 filled[at] = True
                 holder, number = spread(count)
                 name = mix64(xor + mix64((band[use][holder] * (1 << 32) + number).astype(np.uint64)))[filled]
-                spare = np.maximum(np.bincount(holder[filled], minlength=len(use)) - top[band[use]] * (den - num) // den - 1, 0) // 2
+                over = np.bincount(holder[filled], minlength=len(use)) - top[band[use]] * (den - num) // den
+                spare = np.maximum(over - 1, 0) // 2
                 at = holder[filled]
+                # the hashes of a text ascend; one of its first few is also among the first few of each partner
+                few = (over[who] <= 0) & (place < (n[use] - -(-n[use] * num // den) + 1)[who])
+                name = np.concatenate([name, mix64(e[few] + mix64((band[use][who[few]] + (1 << 62)).astype(np.uint64)))])
+                at = np.concatenate([at, who[few]])
                 yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[use][at]), pa.array(band[use][at].astype(np.int32)), pa.array(spare[at].astype(np.int32))], names=["cell", "id", "band", "spare"])
 
     return docs.mapInArrow(run, "cell long, id long, band int, spare int")

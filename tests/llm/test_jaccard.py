@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemoria.llm import graph, jaccard
+from mnemoria.llm.common import flat
 
 
 def brute(rows):
@@ -71,6 +74,22 @@ def test_large_cells_lose_no_link(spark):
     assert sorted(map(tuple, jaccard.join(df).collect())) == brute(rows)
 
 
+def test_small_sets_that_crowd_into_few_cells(spark):
+    """4 of 5 shingles are shared, and all fall in one cell of the band: no cell of the two is equal."""
+    band = {low: m for low, _, _, m in jaccard.bands(5, 80, 100)}
+    low = max(x for x in band if x <= 4)
+    part = lambda h: ((jaccard.mix64(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(band[low])) >> np.uint64(32)
+    rng, rows = np.random.default_rng(8), []
+    while len(rows) < 6:
+        texts = [" ".join(f"w{x}" for x in r) for r in rng.integers(0, 10**6, (20000, 9))]
+        owner, h = jaccard.shingles(*flat(pa.array(texts)), 5)
+        cell = part(h).reshape(-1, 5)
+        for i in np.flatnonzero((cell == cell[:, :1]).all(1)):
+            rows += [(len(rows), texts[i]), (len(rows) + 1, texts[i].rsplit(" ", 1)[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df).collect())) == brute(rows)
+
+
 def test_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.join(df).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (None, 2, None)]
