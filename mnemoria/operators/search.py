@@ -44,13 +44,14 @@ def search_chunks(corpus: DataFrame, query: DataFrame, user_id: str, platform: s
     return hits.withColumn("similarity", 1.0 - F.col("distance"))
 
 
-def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, exclude_self: bool = True, block: int = 4096) -> DataFrame:
-    """The k nearest rows of corpus(vec_id, embedding) for each of queries(vec_id, embedding): query_id, rank, vec_id,
-    distance.
+def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, exclude_self: bool = True, block: int = 4096, where: Column | None = None) -> DataFrame:
+    """The k nearest rows of corpus(vec_id, embedding), or of those that pass `where`, for each of queries(vec_id,
+    embedding): query_id, rank, vec_id, distance.
 
     Queries go to the tasks in blocks of bounded size; a task multiplies its rows with a block and keeps the k best of
     each query, so k rows per query and task reach the shuffle."""
     spark = corpus.sparkSession
+    corpus = corpus if where is None else corpus.filter(where)
     base = queries.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     n = base.count()
     blocks = max(1, -(-n // block))
@@ -100,6 +101,14 @@ def _best(held, k: int, threshold: float | None, exclude_self: bool):
     return run
 
 
+def post_filtered_batch(corpus: DataFrame, queries: DataFrame, where: Column, k: int = 5, threshold: float | None = 0.5, limit: int | None = None) -> DataFrame:
+    """The filter after the cut, for each query: of the k nearest, those that pass (at most `limit`), ranked anew."""
+    best = nearest_batch(corpus, queries, k, threshold, exclude_self=False).drop("rank")
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    hits = best.join(corpus.filter(where).select("vec_id"), "vec_id").withColumn("rank", F.row_number().over(order))
+    return (hits if limit is None else hits.filter(F.col("rank") <= limit)).select("query_id", "rank", "vec_id", "distance")
+
+
 def find_similar(corpus: DataFrame, message_id: str, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Nearest rows of a stored row, itself left out before the cut."""
     own = corpus.filter(F.col("message_id") == message_id)

@@ -118,6 +118,58 @@ def advanced_search(spark, sf_dir):
     return rounded(search.advanced(v, _query(v), adapters.EPOCH + 50_000, adapters.EPOCH + 450_000, ("user", "system"), 10, 0.9), "message_id", "role", "timestamp")
 
 
+# The same searches for a set of queries: every row whose id is divisible by 20, against all rows.
+
+
+def _batch_sql(k: int, before: str = "true", after: str = "true", limit: int = 1000) -> str:
+    return f"""WITH {V}, q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, v.*, 1 - list_cosine_similarity(e, qe) AS distance FROM q CROSS JOIN v),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS place FROM d WHERE distance < 0.9 AND {before}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM k WHERE place <= {k} AND {after})
+SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= {limit}"""
+
+
+def _set(v: DataFrame) -> DataFrame:
+    return v.filter("vec_id % 20 = 0")
+
+
+@register("vector_recency_topk_batch", _batch_sql(5, "timestamp < 1700000000000 + 400000 - 120000"))
+def vector_recency_topk_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest_batch(v, _set(v), 5, 0.9, False, where=search.older_than(120, adapters.EPOCH + 400_000)), "query_id", "rank", "vec_id")
+
+
+@register("chat_turn_search_batch", _batch_sql(5, "user_id = '0' AND source = 'chatgpt'"))
+def chat_turn_search_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest_batch(search.for_tenant(v, "0"), _set(v), 5, 0.9, False, where=F.col("source") == "chatgpt"), "query_id", "rank", "vec_id")
+
+
+@register("find_similar_batch", _batch_sql(5, "vec_id <> query_id"))
+def find_similar_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest_batch(v, _set(v), 5, 0.9), "query_id", "rank", "vec_id")
+
+
+@register("search_postfilter_batch", _batch_sql(10, after="role = 'user' AND source = 'chatgpt'"))
+def search_postfilter_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.post_filtered_batch(v, _set(v), (F.col("role") == "user") & (F.col("source") == "chatgpt"), 10, 0.9), "query_id", "rank", "vec_id")
+
+
+@register("search_prefilter_batch", _batch_sql(10, "role = 'user' AND source = 'chatgpt'"))
+def search_prefilter_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    return rounded(search.nearest_batch(v, _set(v), 10, 0.9, False, where=(F.col("role") == "user") & (F.col("source") == "chatgpt")), "query_id", "rank", "vec_id")
+
+
+@register("advanced_search_batch", _batch_sql(20, after="timestamp BETWEEN 1700000050000 AND 1700000450000 AND role IN ('user', 'system')", limit=10))
+def advanced_search_batch(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir)
+    where = F.col("timestamp").between(adapters.EPOCH + 50_000, adapters.EPOCH + 450_000) & F.col("role").isin("user", "system")
+    return rounded(search.post_filtered_batch(v, _set(v), where, 20, 0.9, 10), "query_id", "rank", "vec_id")
+
+
 @register("conversation_context", f"WITH {M}, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, seq)::INT AS rank FROM m) SELECT conversation_id, rank, message_id, role, content FROM r WHERE rank <= 20")
 def conversation_context(spark, sf_dir):
     return search.conversation_context(adapters.messages(spark, sf_dir)).select("conversation_id", "rank", "message_id", "role", "content")
