@@ -1,7 +1,11 @@
-"""Connected components of links between ids, by repeated hooking and contraction."""
+"""Connected components of links between ids, by contraction in the tasks and repeated hooking between them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .common import cut
 
 #: Most rows (of two longs) that are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Links that a task contracts at a time.
+CHUNK = 1_000_000
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -16,35 +22,75 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links as stars: each id but the least of its component, with that least one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    to = list(range(len(ids)))
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while to[i] != i:
+            to[i] = i = to[to[i]]
+        while to[j] != j:
+            to[j] = j = to[to[j]]
+        if i < j:
+            to[j] = i
+        else:
+            to[i] = j
+    for i, p in enumerate(to):  # parents are smaller, so theirs are final
+        to[i] = to[p]
+    root = np.array(to, np.int64)
+    use = root != np.arange(len(ids))
+    return pa.record_batch([pa.array(ids[root[use]]), pa.array(ids[use])], names=["a", "b"])
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> fewer edges (a < b) with the same components: a star for each component of a task's edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
+        for x in batches:
+            got.append((np.asarray(x.column(0)), np.asarray(x.column(1))))
+            held += x.num_rows
+            if held > CHUNK:
+                yield _stars(*map(np.concatenate, zip(*got)))
+                got, held = [], 0
+        if held:
+            yield _stars(*map(np.concatenate, zip(*got)))
+
+    once = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of non-null longs -> id, component (the smallest id that links reach), for ids that have a link to
     another id.
 
-    Each round points every id to its smallest neighbour if that is smaller, follows the pointers to their roots and
-    replaces ids by roots. Ids that are no local minimum vanish, so at least half do, and groups with one centre take
-    one round. Minima are summed in the tasks before the shuffle, so an id with very many links is no hot key."""
-    e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
-    while not e.isEmpty():
-        up = cut(e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
-        # ids without a smaller neighbour are roots; jump until all pointers end there
-        while True:
-            far = sized(up.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
-            moved = cut(up.join(far, up["to"] == far["i2"], "left").select("id", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")))
-            up = moved.select("id", "to")
-            if moved.filter("moved").isEmpty():
-                break
-        far = sized(up)
-        step = far.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
+    Tasks contract their edges to stars. Where all ids have one centre, that is the component. Else each round points
+    every id to its smallest neighbour if that is smaller, follows the pointers to their roots and replaces ids by roots.
+    Ids that are no local minimum vanish, so at least half do. Minima are summed in the tasks before the shuffle, so an id
+    with very many links is no hot key."""
+    e, roots = cut(contract(edges)), None
+    while True:
+        both = e.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("to")))
+        step = cut(both.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("far")))
+        done = step.filter("to < far").isEmpty()
+        if not done:
+            # ids without a smaller neighbour are roots; jump until all pointers end there
+            everyone, up = step.select("id"), step.filter("to < id").select("id", "to")
+            while True:
+                ends = sized(up.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
+                moved = cut(up.join(ends, up["to"] == ends["i2"], "left").select("id", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")))
+                up = moved.select("id", "to")
+                if moved.filter("moved").isEmpty():
+                    break
+            ends = up.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
+            step = cut(everyone.join(sized(ends), F.col("id") == F.col("i2"), "left").select("id", F.coalesce("to2", "id").alias("to")))
         if roots is None:
-            everyone = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            roots = everyone.join(step, everyone["id"] == step["i2"], "left").select("id", F.coalesce("to2", "id").alias("component"))
+            roots = step.select("id", F.col("to").alias("component"))
         else:
-            roots = roots.join(step, roots["component"] == step["i2"], "left").select("id", F.coalesce("to2", "component").alias("component"))
-        roots = cut(roots)
-        one = e.join(step, e["a"] == step["i2"], "left").select(F.coalesce("to2", "a").alias("a"), "b")
-        both = one.join(step, one["b"] == step["i2"], "left").select("a", F.coalesce("to2", "b").alias("b"))
-        e = cut(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if roots is None:
-        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return roots
+            ends = step.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
+            roots = cut(roots.join(sized(ends), F.col("component") == F.col("i2"), "left").select("id", F.coalesce("to2", "component").alias("component")))
+        if done:
+            return roots
+        ends = sized(step.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
+        one = e.join(ends, e["a"] == ends["i2"], "left").select(F.coalesce("to2", "a").alias("a"), "b")
+        e = cut(contract(one.join(ends, one["b"] == ends["i2"], "left").select("a", F.coalesce("to2", "b").alias("b"))))

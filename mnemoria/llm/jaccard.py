@@ -4,23 +4,27 @@ A document is the set of its word shingles, as 64-bit hashes. A set is dealt by
 XOR of its hashes: a parity sketch of 64-bit cells. Two sketches differ in at most |A xor B| cells, and sets that link
 differ in at most k elements, k known from their sizes; so with over k cells that are not empty one of them agrees
 (pigeonhole). m and k are set per band of sizes; a document joins the band of its size and, near the lower end, the band
-below. Cells are joined by value; candidate pairs are verified on the whole sets.
-
-A linking pair shares several cells, so each document leaves out its most common ones as far as it still meets its
-partners: this drops cells of passages that very many documents share. In a cell that is large nevertheless, all are
-verified against the first; pairs of those that remain in different components are compared by 2048-bit parity sketches
-(whose Hamming distance is a lower bound of |A xor B| too) in tiles. Before texts are moved, all pairs pass the bit
-sketches. So no group's pairs are all written, and no link between components is lost. Equal sets are one class.
-
-The pigeonhole needs over k cells that are not empty in one of the two sets. m leaves a quarter and 7 more cells than
-k + 1, which most sets fill by far, but small sets can crowd into few cells. A set that fills no more than k cells of a
-band therefore also gives its least hashes there, as keys under names of their own: sets that link share at least
-ceil(num / den * n) of n hashes, so of the n - ceil(num / den * n) + 1 least ones of each, one is common. A pair that
-shares no cell fills at most k cells on both sides, so both give these keys, and no link is lost but for equal 64-bit hashes.
+below. Of each sketch only the first k + 1 + 2 * SPARE cells that are not empty are joined: in the one of two whose last
+such cell comes first, all but k agree with the other, which gives them too. So each document may leave out its SPARE
+most common cells and still meet its partners; this drops cells of passages that very many documents share.
+
+Documents that share cells are a family: each member of a cell is tied to the cell's first one. Pairs that link are in
+one family, so families are dealt to tiles of bounded size and each tile verifies its pairs on whole texts, unites what
+links and passes on a spanning forest only: less links than rows. The nearest pairs by bit sketches (their Hamming
+distance is a lower bound of |A xor B| too) come first. A family of over one tile goes through one pass in which each
+tile also has the family's first document, and then its largest component so far is compared with the rest, tile by tile,
+by bit sketches before texts are moved. Where that would send more rows than the family's cells have, cells are compared
+instead of families. Both ways find the same components. Equal sets are one class from the start.
+
+The pigeonhole needs over k cells that are not empty in one of the two sets. m leaves more than that, which most sets
+fill by far, but small sets can crowd into few cells. A set that fills no more than k cells of a band therefore also
+gives its least hashes there, as keys under names of their own: sets that link share at least ceil(num / den * n) of n
+hashes, so of the n - ceil(num / den * n) + 1 least ones of each, one is common. A pair that shares no cell fills at most
+k cells on both sides, so both give these keys, and no link is lost but for equal 64-bit hashes.
 
 Null or empty texts have no shingles and link with nothing. Very long texts are taken whole. Rows with equal ids are one
 document that has the links of all its texts; a null id links with nothing and has a null component. An empty table
-gives an empty result.
+gives an empty result. Further columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_A, cut, flat, mix64, span_hash, spread, text_batches
+from .common import BASE_A, cut, flat, mix64, planes, span_hash, spread, text_batches, unplanes
 from .graph import components, sized
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,10 +45,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Odd multipliers for the words of a shingle.
 FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-#: Cells with more documents go the way of large cells.
-LARGE = 6
-#: Rows a side of the tiles in which large cells are compared, and words of the bit sketch.
-TILE, SKETCH = 512, 32
+#: Cells that each of two documents may leave out.
+SPARE = 4
+#: Rows of a cell among GATHER rows of a task beyond which they pass by the task that gathers the cell.
+HOT, GATHER = 128, 500_000
+#: Size given to such a cell: larger than all others.
+HUGE = (1 << 31) - 1
+#: Rows a side of a tile, each of up to ROW shingles (larger ones count as several), and words of the bit sketch.
+TILE, ROW, SKETCH = 512, 2048, 32
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +93,7 @@ def bands(most: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
         high = max(low + 1, low * den * den // (num * num))
         union = (high - 1) * den // num  # of two sets of which the smaller has under high elements
         k = union * (den - num) // den
-        out.append((low, high, union, k + 8 + k // 4))
+        out.append((low, high, union, k + 12 + k // 4))
         low = high
     return out
 
@@ -109,146 +117,134 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, a long, b long")
 
 
-def cells(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs(id, text) -> cell, id, band, spare: the cells that are not empty, once for equal sets of a batch.
+def cells(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
+    """docs(id, text) -> cell, x, y, band, spare, size: the cells with at least two documents x, and their first y.
 
-    A linking pair shares at least as many cells as one of the two has over k; spare is half of that less one, rounded
-    down: so many cells each of the two may leave out, and they still meet. Sets with no more than k cells have no spare
-    and give their least hashes too."""
+    A task packs its cells by part of the cells' names, sorted, and one task gathers a part. Cells that very many of a
+    task's rows have pass by, tied to the task's first document of the cell, which stands for them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for x in text_batches(batches, "text"):
             ids = np.asarray(x.column(0))
-            owner, h = shingles(*flat(x.column(1)), k)
-            n, a, _ = _set_hash(owner, h, len(ids))
-            if not n.any():
-                continue
-            order = np.lexsort((ids, a))
-            once = np.ones(len(ids), bool)
-            once[order[1:]] = a[order[1:]] != a[order[:-1]]
-            first, plan = np.cumsum(n) - n, bands(int(n.max()), num, den)
-            low, high, top, m = (np.array(v, np.int64) for v in zip(*plan))
-            own = np.searchsorted(low, n, "right") - 1
-            for back in range(3):
-                band = own - back
-                use = np.flatnonzero(once & (n > 0) & (band >= 0) & ((back == 0) | (n <= top[np.maximum(band, 0)])))
-                if not len(use):
-                    continue
-                who, place = spread(n[use])
-                e = h[first[use][who] + place]
-                count = m[band[use]]
-                base = np.cumsum(count) - count
-                part = ((mix64(e ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * count[who].astype(np.uint64)) >> np.uint64(32)
-                at = base[who] + part.astype(np.int64)
-                xor, filled = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), bool)
-                np.bitwise_xor.at(xor, at, e)
-                filled[at] = True
-                holder, number = spread(count)
-                name = mix64(xor + mix64((band[use][holder] * (1 << 32) + number).astype(np.uint64)))[filled]
-                over = np.bincount(holder[filled], minlength=len(use)) - top[band[use]] * (den - num) // den
-                spare = np.maximum(over - 1, 0) // 2
-                at = holder[filled]
-                # the hashes of a text ascend; one of its first few is also among the first few of each partner
-                few = (over[who] <= 0) & (place < (n[use] - -(-n[use] * num // den) + 1)[who])
-                name = np.concatenate([name, mix64(e[few] + mix64((band[use][who[few]] + (1 << 62)).astype(np.uint64)))])
-                at = np.concatenate([at, who[few]])
-                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[use][at]), pa.array(band[use][at].astype(np.int32)), pa.array(spare[at].astype(np.int32))], names=["cell", "id", "band", "spare"])
-
-    return docs.mapInArrow(run, "cell long, id long, band int, spare int")
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """rows(cell, id, band, spare) -> large, x, y, cell, band, spare, size. not large: x and y share a cell of up to LARGE
-    ids; large: id x is in a cell of more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+            name, text, band, spare = _own_cells(ids, *flat(x.column(1)), k, num, den)
+            part = ((name >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            key = (part << np.uint64(40)) | (mix64(name) & np.uint64((1 << 40) - 1))
+            got.append((key.view(np.int64), ids[text], (band % 8 * 8 + spare).astype(np.uint8)))
+            held += len(name)
+            if held > GATHER:
+                yield _pack(*map(np.concatenate, zip(*got)), parts)
+                got, held = [], 0
+        if held:
+            yield _pack(*map(np.concatenate, zip(*got)), parts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, got = None, []
         for x in batches:
-            if not x.num_rows:
-                continue
-            c = [np.asarray(x.column(k)).astype(np.int64) for k in range(4)]
-            c = c if held is None else [np.concatenate(v) for v in zip(held, c)]
-            last = int(np.searchsorted(c[0], c[0][-1]))  # the last run may go on
-            yield from _settle(*[v[:last] for v in c])
-            held = [v[last:] for v in c]
-            if len(held[0]) > 4096:  # a very long run goes on as its first rows, so that it stays a large one
-                yield from _settle(*held)
-                held = [v[: LARGE + 1] for v in held]
-        if held is not None:
-            yield from _settle(*held)
-
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "large boolean, x long, y long, cell long, band int, spare int, size int").distinct()
-
-
-def _settle(cell, ids, band, spare) -> Iterator[pa.RecordBatch]:
-    if not len(cell):
-        return
-    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    size = np.diff(np.r_[first, len(cell)])
-    pairs = []
-    for p in range(LARGE):
-        for q in range(p + 1, LARGE):
-            f = first[(size <= LARGE) & (size > q)]
-            if len(f):
-                pairs.append(np.column_stack([np.maximum(ids[f + p], ids[f + q]), np.minimum(ids[f + p], ids[f + q])]))
-    if pairs:
-        r = np.unique(np.concatenate(pairs), axis=0)
-        zero = np.zeros(len(r), np.int32)
-        yield _found(np.zeros(len(r), bool), r[:, 0], r[:, 1], zero, zero, zero, zero)
-    big = np.flatnonzero(np.repeat(size > LARGE, size))
-    if len(big):
-        yield _found(np.ones(len(big), bool), ids[big], np.zeros(len(big), np.int64), cell[big], band[big], spare[big], np.repeat(size, size)[big])
-
-
-def _found(large, x, y, cell, band, spare, size) -> pa.RecordBatch:
-    c = [pa.array(large), *[pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in (x, y, cell)], *[pa.array(v.astype(np.int32)) for v in (band, spare, size)]]
-    return pa.record_batch(c, names=["large", "x", "y", "cell", "band", "spare", "size"])
-
-
-def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs(x, y) -> a, b: those that link, judged on their whole sets."""
-    pairs = cut(pairs.filter("x <> y").distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    need = cut(pairs.select(F.explode(F.array("x", "y")).alias("need")).distinct())
-    # the bit sketches drop most pairs that don't link, before texts are moved
-    few = cut(sketches(docs.join(sized(need), docs["id"] == need["need"], "left_semi"), k))
-    left, right = (few.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")) for side in ("x", "y"))
-    pairs = cut(_near(pairs.join(left, "x").join(right, "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num), num, den).distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    need = cut(pairs.select(F.explode(F.array("x", "y")).alias("need")).distinct())
-    texts = docs.join(sized(need), docs["id"] == need["need"], "left_semi")
-    one = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("s")), "x")
-    both = one.join(texts.select(F.col("id").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for r in range(0, whole.num_rows, 256):
-                x = whole.slice(r, 256)
-                (oa, ha), (ob, hb) = (shingles(*flat(x.column(c)), k) for c in (2, 3))
-                o, h = np.concatenate([oa, ob]), np.concatenate([ha, hb])
-                order = np.lexsort((h, o))
-                o, h = o[order], h[order]
-                same = np.bincount(o[1:][(o[1:] == o[:-1]) & (h[1:] == h[:-1])], minlength=x.num_rows)
-                union = np.bincount(o, minlength=x.num_rows) - same
-                ok = pa.array((den * same >= num * union) & (union > 0))
-                yield pa.record_batch([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
-
-    return cut(both.mapInArrow(run, "a long, b long"))
+            for r in x.to_pylist():
+                ids, code = unplanes(r["ids"], 8), np.frombuffer(r["codes"], np.uint8)
+                if r["kind"] == 1:
+                    yield _members(unplanes(r["keys"], 8), ids, unplanes(r["leads"], 8), code, np.full(len(ids), HUGE, np.int32))
+                    continue
+                if got and r["part"] != part:
+                    yield _shared(part, *map(np.concatenate, zip(*got)))
+                    got = []
+                part = r["part"]
+                got.append((unplanes(r["keys"], 5), ids, code))
+        if got:
+            yield _shared(part, *map(np.concatenate, zip(*got)))
 
+    dealt = docs.mapInArrow(scatter, "part int, kind int, keys binary, ids binary, leads binary, codes binary")
+    return dealt.repartition("part").sortWithinPartitions("kind", "part").mapInArrow(gather, "cell long, x long, y long, band int, spare int, size int")
 
-def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs(x, y, nx, ny, bx, by) -> x, y whose sketches allow a link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nx, ny = np.asarray(b.column(2)), np.asarray(b.column(3))
-            p, q = (flat(b.column(i))[0].view(np.uint64).reshape(-1, SKETCH) for i in (4, 5))
-            ok = pa.array(_allowed(np.bitwise_count(p ^ q).sum(1), np.minimum(nx, ny), num, den))
-            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["x", "y"])
+def _own_cells(ids, buf, off, k: int, num: int, den: int):
+    """(name, text, band, spare) of the cells of some texts, once for equal sets.
 
-    return pairs.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(run, "x long, y long")
+    A linking pair shares at least as many cells as one of the two gives over k; spare is half of that less one, rounded
+    down: so many cells each of the two may leave out, and they still meet. Sets with no more than k cells have no spare
+    and give their least hashes too."""
+    owner, h = shingles(buf, off, k)
+    n, a, _ = _set_hash(owner, h, len(ids))
+    out = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    if n.any():
+        order = np.lexsort((ids, a))
+        once = np.ones(len(ids), bool)
+        # copies under one id are dropped, others too: equal sets are tied by their names
+        once[order[1:]] = a[order[1:]] != a[order[:-1]]
+        first, plan = np.cumsum(n) - n, bands(int(n.max()), num, den)
+        low, _, top, m = (np.array(v, np.int64) for v in zip(*plan))
+        own = np.searchsorted(low, n, "right") - 1
+        for back in range(3):
+            band = own - back
+            use = np.flatnonzero(once & (n > 0) & (band >= 0) & ((back == 0) | (n <= top[np.maximum(band, 0)])))
+            if not len(use):
+                continue
+            who, place = spread(n[use])
+            e = h[first[use][who] + place]
+            count, most = m[band[use]], top[band[use]] * (den - num) // den
+            base = np.cumsum(count) - count
+            part = ((mix64(e ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * count[who].astype(np.uint64)) >> np.uint64(32)
+            at = base[who] + part.astype(np.int64)
+            xor, filled = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), bool)
+            np.bitwise_xor.at(xor, at, e)
+            filled[at] = True
+            holder, number = spread(count)
+            upto = np.cumsum(filled)
+            upto -= (upto - filled)[base][holder]
+            given = filled & (upto <= (most + 1 + 2 * SPARE)[holder])
+            name = mix64(xor + mix64((band[use][holder] * (1 << 32) + number).astype(np.uint64)))[given]
+            at = holder[given]
+            over = np.bincount(at, minlength=len(use)) - most
+            spare = np.maximum(over - 1, 0) // 2
+            # the hashes of a text ascend; one of its first few is also among the first few of each partner
+            few = (over[who] <= 0) & (place < (n[use] - -(-n[use] * num // den) + 1)[who])
+            name = np.concatenate([name, mix64(e[few] + mix64((band[use][who[few]] + (1 << 62)).astype(np.uint64)))])
+            at = np.concatenate([at, who[few]])
+            out.append((name, use[at], band[use][at], spare[at]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _pack(key, ids, code, parts: int) -> pa.RecordBatch:
+    """Rows of cells as one packed row a part: kind 0 goes to the task of the part, kind 1 (all but the first of hot cells)
+    passes by, dealt by id."""
+    order = np.lexsort((ids, key))
+    key, ids, code = key[order], ids[order], code[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    hot, lead = np.repeat(size > HOT, size), np.repeat(first, size)
+    code = np.where(hot, code | 128, code).astype(np.uint8)
+    aside = hot & (lead != np.arange(len(key)))
+    rows = []
+    for kind, use, part in ((0, ~aside, key >> 40), (1, aside, ids % parts)):
+        at = np.flatnonzero(use)
+        at = at[np.argsort(part[at], kind="stable")]
+        p = part[at]
+        edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
+        for i, j in zip(edge, [*edge[1:], len(p)]):
+            rows.append((int(p[i]), kind, planes(key[at[i:j]], 8 if kind else 5), planes(ids[at[i:j]], 8), planes(ids[lead[at[i:j]]], 8) if kind else b"", code[at[i:j]].tobytes()))
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["part", "kind", "keys", "ids", "leads", "codes"])
+
+
+def _members(cell, x, y, code, size) -> pa.RecordBatch:
+    code = code.astype(np.int32)
+    longs = [pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in (cell, x, y)]
+    return pa.record_batch([*longs, pa.array((code >> 3) & 7), pa.array(code & 7), pa.array(size)], names=["cell", "x", "y", "band", "spare", "size"])
+
+
+def _shared(part: int, key, ids, code) -> pa.RecordBatch:
+    """The rows of one part whose cells have several documents, or were hot in a task."""
+    order = np.lexsort((ids, key))
+    key, ids, code = key[order], ids[order], code[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+    hot = np.maximum.reduceat(code, np.flatnonzero(new)) > 127
+    key, ids, code = key[new], ids[new], code[new]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    full = np.where(np.maximum.reduceat(hot, first), HUGE, size)
+    use = np.repeat(full > 1, size)
+    return _members(key[use] | (part << 40), ids[use], np.repeat(ids[first], size)[use], code[use], np.repeat(full, size)[use].astype(np.int32))
 
 
 def _allowed(gap, smaller, num: int, den: int):
@@ -263,83 +259,179 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
             owner, h = shingles(*flat(x.column(1)), k)
-            out = np.zeros((x.num_rows, SKETCH), np.uint64)
-            bit = mix64(h + np.uint64(77))
-            np.bitwise_xor.at(out, (owner, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
+            out = _bits(owner, h, x.num_rows)
             yield pa.record_batch([x.column(0), pa.array(np.bincount(owner, minlength=x.num_rows)), pa.array([v.tobytes() for v in out], pa.binary())], names=["id", "n", "bits"])
 
     return docs.mapInArrow(run, "id long, n long, bits binary")
 
 
-def near_in_tiles(members: DataFrame, docs: DataFrame, comp: DataFrame, k: int, num: int, den: int, nearest: bool = False) -> DataFrame:
-    """members(cell, x) of large cells -> x, y: pairs in different components that the bit sketches allow to link.
-
-    nearest: of each row only the pair with the nearest sketch, so that components of near copies grow together before
-    all that is left is compared."""
-    ids = cut(members.select("x").distinct())
-    c = comp.select(F.col("id").alias("i"), "component")
-    named = members.join(c, members["x"] == c["i"], "left").select("cell", "x", F.coalesce("component", "x").alias("component"))
-    mixed = cut(named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("cell", "size"))
-    if mixed.isEmpty():
-        return ids.select("x", F.col("x").alias("y")).limit(0)
-    rows = cut(named.join(sized(mixed), "cell").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")))
-    need = cut(rows.select(F.col("x").alias("need")).distinct())
-    sk = cut(sketches(docs.join(sized(need), docs["id"] == need["need"], "left_semi"), k))
-    rows = rows.join(sk, rows["x"] == sk["id"]).select("cell", "x", "component", "tiles", "tile", "n", "bits")
-    spread_out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread_out = spread_out.select("cell", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "x", "component", "n", "bits")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            group = np.asarray(t.column("group"))
-            last = int(np.searchsorted(group, group[-1]))  # the last tile may go on; it has at most two TILEs of rows
-            if last:
-                yield _compare(t.slice(0, last), num, den, nearest)
-            held = t.slice(last)
-        if held is not None:
-            yield _compare(held, num, den, nearest)
-
-    group = F.xxhash64("cell", "p", "q").alias("group")
-    dealt = spread_out.select(group, (F.col("p") != F.col("q")).alias("cross"), "tile", "x", "component", "n", "bits").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(compare, "x long, y long").distinct()
-
-
-def _compare(t: pa.Table, num: int, den: int, nearest: bool) -> pa.RecordBatch:
-    """x > y of different components in each group of rows, where the sketches allow a link."""
-    group, tile, x, comp, n = (np.asarray(t.column(c)) for c in ("group", "tile", "x", "component", "n"))
-    cross, bits = np.asarray(t.column("cross").cast(pa.int8())) > 0, flat(t.column("bits"))[0].view(np.uint64).reshape(-1, SKETCH)
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    out = []
-    for i, j in zip(first, np.r_[first[1:], len(group)]):
-        c, m, ids = comp[i:j], n[i:j], x[i:j]
-        if (c == c[0]).all():
-            continue
-        ok = (c[:, None] != c[None, :]) & (ids[:, None] > ids[None, :]) & (den * np.minimum(m[:, None], m[None, :]) >= num * np.maximum(m[:, None], m[None, :]))
-        if cross[i]:
-            ok &= tile[i:j, None] != tile[None, i:j]
-        a, b = np.nonzero(ok)
-        near = []
-        for k in range(0, len(a), 1 << 14):
-            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-            gap = np.bitwise_count(bits[i + p] ^ bits[i + q]).sum(1).astype(np.int64)
-            use = _allowed(gap, np.minimum(m[p], m[q]), num, den)
-            near.append(np.column_stack([p, q, gap])[use])
-        near = np.concatenate(near) if near else np.zeros((0, 3), np.int64)
-        if nearest and len(near):
-            best = []
-            for side in (0, 1):
-                order = np.lexsort((near[:, 2], near[:, side]))
-                rows = near[order, side]
-                best.append(order[np.r_[True, rows[1:] != rows[:-1]]])
-            near = near[np.unique(np.concatenate(best))]
-        out.append(np.column_stack([ids[near[:, 0]], ids[near[:, 1]]]))
-    r = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    r = np.unique(r, axis=0)
-    return pa.record_batch([pa.array(np.ascontiguousarray(r[:, 0])), pa.array(np.ascontiguousarray(r[:, 1]))], names=["x", "y"])
+def dealt(groups: DataFrame) -> DataFrame:
+    """groups(g, x, component, w): rows of weight w -> tile, cross, side, x, component, so that all pairs of a group with
+    different components meet in a tile (where cross: rows of different sides). Tiles hold about 2 * TILE at most.
+
+    The largest component meets the rest only, and the rest meets itself."""
+    weights = groups.groupBy("g", "component").agg(F.sum("w").alias("w"))
+    size = weights.groupBy("g").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("component", F.struct("w", -F.col("component"))).alias("main"))
+    tiles = lambda w: F.ceil(w / TILE).cast("int")
+    size = cut(size.filter("all > most").select("g", "main", (F.col("all") <= 2 * TILE).alias("one"), tiles(F.col("most")).alias("mains"), tiles(F.col("all") - F.col("most")).alias("rests")))
+    main = F.col("component") == F.col("main")
+    rows = groups.join(sized(size), "g").withColumn("t", F.pmod(F.xxhash64("x"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    place = lambda kind, p, q, cross, side: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), cross.alias("cross"), side.alias("side"))
+    no, t, zero = F.lit(False), F.col("t"), F.lit(0)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    others = F.transform(upto("rests"), lambda q: place(1, t, q, F.lit(True), zero))
+    own = F.concat(F.transform(upto("mains"), lambda p: place(1, p, t, F.lit(True), F.lit(1))), F.transform(upto("rests"), lambda q: place(2, F.least(t, q), F.greatest(t, q), t != q, t)))
+    places = F.when(F.col("one"), F.array(place(0, zero, zero, no, zero))).when(main, others).otherwise(own)
+    rows = rows.select("g", "x", "component", F.explode(places).alias("e"))
+    # with its own tile a tile of the rest is compared once
+    return rows.select(F.xxhash64("g", "e.kind", "e.p", "e.q").alias("tile"), "e.cross", "e.side", "x", "component")
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.Table]:
+    """Tables of whole tiles from rows in order of `tile`, with at least so many bytes but for the last."""
+    held: pa.Table | None = None
+    for b in batches:
+        for r in range(0, b.num_rows, 512):
+            t = pa.Table.from_batches([b.slice(r, 512)])
+            t = t if held is None else pa.concat_tables([held, t])
+            tile = t.column("tile")
+            if t.nbytes > least and tile[0] != tile[-1]:
+                t = t.combine_chunks()
+                last = int(np.searchsorted(np.asarray(t.column("tile")), tile[-1].as_py()))  # the last tile may go on
+                yield t.slice(0, last)
+                t = t.slice(last)
+            held = t
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _pairs(t: pa.Table, n, bits, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, distance of the sketches): pairs of a tile in different components that the sketches allow to link, for
+    each run of tiles."""
+    tile, side, x, comp = (np.asarray(t.column(c)) for c in ("tile", "side", "x", "component"))
+    cross = np.asarray(t.column("cross").combine_chunks().cast(pa.int8())) > 0
+    first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    size = np.diff(np.r_[first, len(tile)])
+    stop = 0
+    while stop < len(first):
+        start, room = stop, 1 << 21
+        while stop < len(first) and (stop == start or room > 0):  # some small tiles at once
+            room -= int(size[stop]) ** 2
+            stop += 1
+        g = size[start:stop]
+        who, k = spread(g * g)
+        a, b = first[start:stop][who] + k // g[who], first[start:stop][who] + k % g[who]
+        ok = (a > b) & (comp[a] != comp[b]) & (x[a] != x[b]) & (~cross[a] | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        small = np.minimum(n[a], n[b])
+        ok = (den * small >= num * np.maximum(n[a], n[b])) & (small > 0)
+        a, b, small = a[ok], b[ok], small[ok]
+        gap = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(bits[a[i : i + 16384]] ^ bits[b[i : i + 16384]]).sum(1).astype(np.int64) for i in range(0, len(a), 16384)]])
+        ok = _allowed(gap, small, num, den)
+        yield a[ok], b[ok], gap[ok]
+
+
+def allowed_rows(tiles: DataFrame, sk: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the rows of tiles, those with a partner that the sketches sk(id, n, bits) allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_tiles(batches, 1 << 20):
+            bits = flat(t.column("bits"))[0].view(np.uint64).reshape(-1, SKETCH)
+            use = np.zeros(t.num_rows, bool)
+            for a, b, _ in _pairs(t, np.asarray(t.column("n")), bits, num, den):
+                use[a] = use[b] = True
+            yield from t.select(COLUMNS).filter(pa.array(use)).to_batches()
+
+    rows = tiles.join(sk, tiles["x"] == sk["id"]).select(*COLUMNS, "n", "bits")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, TILES)
+
+
+COLUMNS = ["tile", "cross", "side", "x", "component"]
+TILES = "tile long, cross boolean, side int, x long, component long"
+
+
+def linked_in_tiles(tiles: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of a spanning forest of what links in each tile, judged on whole sets, beside what has one component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_tiles(batches, 1 << 20):
+            owner, h = shingles(*flat(t.column("text")), k)
+            n = np.bincount(owner, minlength=t.num_rows)
+            end = np.cumsum(n)
+            bits = _bits(owner, h, t.num_rows)
+            x = np.asarray(t.column("x")).tolist()
+            comp = np.asarray(t.column("component"))
+            # rows of one component in one tile start united
+            _, root = np.unique(np.column_stack([np.asarray(t.column("tile")), comp]), axis=0, return_inverse=True)
+            root, to = root.reshape(-1).tolist(), list(range(t.num_rows))
+
+            def find(i: int) -> int:
+                while to[i] != i:
+                    to[i] = i = to[to[i]]
+                return i
+
+            out = []
+            for a, b, gap in _pairs(t, n, bits, num, den):
+                order = np.argsort(gap, kind="stable")
+                for i, j in zip(a[order].tolist(), b[order].tolist()):
+                    p, q = find(root[i]), find(root[j])
+                    if p != q:
+                        same = len(np.intersect1d(h[end[i] - n[i] : end[i]], h[end[j] - n[j] : end[j]], assume_unique=True))
+                        if den * same >= num * (n[i] + n[j] - same):
+                            to[max(p, q)] = min(p, q)
+                            out.append((x[i], x[j]))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    few = cut(tiles)
+    texts = docs.join(sized(few), docs["id"] == few["x"]).select(*COLUMNS, "text")
+    return texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def _bits(owner: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    out = np.zeros((rows, SKETCH), np.uint64)
+    bit = mix64(h + np.uint64(77))
+    np.bitwise_xor.at(out, (owner, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _with(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows(x, ...) with their component: their own id where they have none."""
+    c = comp.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    return rows.join(c, rows["x"] == c["i"], "left").withColumn("component", F.coalesce("c", "x")).drop("i", "c")
+
+
+def family_links(members: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """members(cell, x, y), sizes(id, n) -> links (a, b) that connect what links among documents that share cells."""
+    ties = cut(members.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    fam = components(ties)
+    weight = (1 + F.floor(F.col("n") / ROW)).cast("int")
+    fam = cut(fam.join(sizes.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select(F.col("id").alias("x"), F.col("component").alias("g"), weight.alias("w")))
+    tiles = cut(fam.groupBy("g").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles")).filter("tiles > 1"))
+    # first pass: each row once, and the first of a family of several tiles in all of them
+    rows = fam.join(sized(tiles), "g", "left").withColumn("t", F.pmod(F.xxhash64("x"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    here = rows.filter(F.col("tiles").isNull() | (F.col("x") != F.col("g"))).select("g", "t", "x")
+    lead = tiles.select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.col("g").alias("x"))
+    first = here.unionByName(lead).select(F.xxhash64("g", F.lit(-1), "t").alias("tile"), F.lit(False).alias("cross"), F.lit(0).alias("side"), "x", F.col("x").alias("component"))
+    links = cut(linked_in_tiles(first, docs, k, num, den))
+    if tiles.isEmpty():
+        return links
+    # second pass: families of several tiles, or their cells
+    wide = cut(_with(rows.filter("tiles > 1").select("g", "x", "w", "tiles"), components(links)))
+    cells_of = members.join(sized(cut(wide.select("x", F.col("g").alias("f"), "w", "component"))), "x").select(F.col("cell").alias("g"), "x", "component", "w", "f")
+    main = wide.groupBy("g", "component").agg(F.sum("w").alias("w")).groupBy("g").agg(F.sum("w").alias("all"), F.max("w").alias("most"))
+    rows_of_cells = cells_of.groupBy("f").agg(F.count("*").alias("n"))
+    count = wide.groupBy("g").agg(F.count("*").alias("rows"))
+    plan = main.join(count, "g").join(rows_of_cells, F.col("g") == F.col("f"), "left")
+    by_cells = cut(plan.filter(F.ceil((F.col("all") - F.col("most")) / TILE) * F.col("rows") > F.col("n")).select(F.col("g").alias("f")))
+    groups = wide.join(sized(by_cells), F.col("g") == F.col("f"), "left_anti").select("g", "x", "component", "w")
+    if not by_cells.isEmpty():
+        groups = groups.unionByName(cells_of.join(sized(by_cells), "f", "left_semi").select("g", "x", "component", "w"))
+    spread_out = cut(dealt(cut(groups)))
+    need = cut(spread_out.select(F.col("x").alias("need")).distinct())
+    sk = sketches(docs.join(sized(need), docs["id"] == need["need"], "left_semi"), k)
+    near = allowed_rows(spread_out, sk, num, den).distinct()
+    return cut(links.unionByName(linked_in_tiles(near, docs, k, num, den)))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
@@ -348,28 +440,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     known = cut(sets(d, k))
     full = known.filter("n > 0 and id is not null")
     rep = cut(full.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
-    same = full.join(sized(rep), ["n", "a", "b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    real = d.filter(F.col("id").isNotNull())
-    found = cut(candidates(cells(real, k, num, den)))
+    same = cut(full.join(sized(rep), ["n", "a", "b"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    # a copy has the links of its first; ids with several texts stay, as only one of them is a copy
+    several = full.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("a"))
+    copies = cut(same.join(several, "a", "left_anti").select(F.col("a").alias("copy")).distinct())
+    real = d.filter(F.col("id").isNotNull()).join(sized(copies), F.col("id") == F.col("copy"), "left_anti")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.row_number().over(Window.partitionBy("x", "band").orderBy(F.desc("size"), "cell"))
-    large = cut(found.filter("large").withColumn("rank", rank).filter("rank > spare").select("cell", "x").distinct())
-    lead = cut(large.groupBy("cell").agg(F.min("x").alias("y")))
-    star = large.join(sized(lead), "cell").select("x", "y").distinct()
-    links = cut(same.filter("a <> b").unionByName(verify(star, real, k, num, den)))
-    comp = components(links)
-    grown = verify(near_in_tiles(large, real, sized(comp), k, num, den, nearest=True), real, k, num, den)
-    if not grown.isEmpty():
-        links = cut(links.unionByName(grown))
-        comp = components(links)
-    c = sized(comp)
-    rest = found.filter("not large").select("x", "y")
-    for side in ("x", "y"):
-        of = c.select(F.col("id").alias("i"), F.col("component").alias(f"c{side}"))
-        rest = rest.join(of, rest[side] == of["i"], "left").drop("i").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    rest = rest.filter("cx <> cy").select("x", "y")
-    more = verify(rest.unionByName(near_in_tiles(large, real, c, k, num, den)), real, k, num, den)
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
-        c = sized(comp)
-    c = c.select(F.col("id").alias("i"), "component")
+    members = cut(cells(real, k, num, den, parts).withColumn("rank", rank).filter("rank > spare").select("cell", "x", "y"))
+    sizes = full.groupBy("id").agg(F.max("n").alias("n"))
+    comp = components(same.unionByName(family_links(members, real, sizes, k, num, den)))
+    c = sized(comp).select(F.col("id").alias("i"), "component")
     return known.join(c, known["id"] == c["i"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, BASE_B, cut, flat, mix64, span_hash, spread, text_batches
+from .common import BASE_A, BASE_B, cut, flat, mix64, planes, span_hash, spread, text_batches, unplanes
 from .graph import BROADCAST_ROWS, sized
 
 LENGTH, Q = 50, 20
@@ -93,18 +93,6 @@ def bucket_key(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part.astype(np.int64), ((part << np.uint64(40)) | (mix64(ids) & np.uint64((1 << 40) - 1))).astype(np.int64)
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The lowest bytes of 64-bit words, place by place, so that equal high bytes compress."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplanes(b: bytes, width: int) -> np.ndarray:
-    rows = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((rows.shape[1], 8), np.uint8)
-    out[:, :width] = rows.T
-    return out.reshape(-1).view("<i8")
-
-
 def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
     """docs(id, text) -> id, key, hot: the anchors' buckets that hold at least two documents."""
 
@@ -131,7 +119,7 @@ def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
                 k, d, p, c = k[order], d[order], p[order], c[order]
                 edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
                 for i, j in zip(edge, [*edge[1:], len(p)]):
-                    rows.append((int(p[i]), kind, _planes(k[i:j], 5 if kind == 0 else 8), _planes(np.diff(d[i:j], prepend=0), 8), _planes(np.minimum(c[i:j], HOT + 1), 2)))
+                    rows.append((int(p[i]), kind, planes(k[i:j], 5 if kind == 0 else 8), planes(np.diff(d[i:j], prepend=0), 8), planes(np.minimum(c[i:j], HOT + 1), 2)))
             return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "docs", "counts"])
 
         for x in text_batches(batches, "text"):
@@ -162,15 +150,15 @@ def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
 
         for x in batches:
             for r in x.to_pylist():
-                doc = np.cumsum(_unplanes(r["docs"], 8))
+                doc = np.cumsum(unplanes(r["docs"], 8))
                 if r["kind"] == 1:
-                    yield _batch(doc, _unplanes(r["keys"], 8), np.ones(len(doc), bool))
+                    yield _batch(doc, unplanes(r["keys"], 8), np.ones(len(doc), bool))
                     continue
                 if got and r["part"] != part:
                     yield settle()
                     got = []
                 part = r["part"]
-                got.append((_unplanes(r["keys"], 5), doc, _unplanes(r["counts"], 2)))
+                got.append((unplanes(r["keys"], 5), doc, unplanes(r["counts"], 2)))
         if got:
             yield settle()
 
