@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 #: Most rows (of two longs) that are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Links that a task contracts at a time.
-CHUNK = 1_000_000
+#: Links that a task contracts at a time, rows for which a further task is used, and least tasks.
+CHUNK, ROWS, TASKS = 1_000_000, 100_000, 8
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -22,6 +22,11 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of up to so many rows, in tasks in proportion to them: small rounds need not run all shuffle partitions."""
+    return df.coalesce(max(TASKS, -(-rows // ROWS)))
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Links as stars: each id but the least of its component, with that least one."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -42,8 +47,9 @@ def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[root[use]]), pa.array(ids[use])], names=["a", "b"])
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> fewer edges (a < b) with the same components: a star for each component of a task's edges."""
+def contract(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges(a, b) -> fewer edges (a < b) with the same components: a star for each component of a task's edges. rows: at
+    least their number, if it is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
@@ -57,7 +63,7 @@ def contract(edges: DataFrame) -> DataFrame:
             yield _stars(*map(np.concatenate, zip(*got)))
 
     once = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return once.mapInArrow(run, "a long, b long")
+    return (once if rows is None else few(once, rows)).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -68,29 +74,31 @@ def components(edges: DataFrame) -> DataFrame:
     every id to its smallest neighbour if that is smaller, follows the pointers to their roots and replaces ids by roots.
     Ids that are no local minimum vanish, so at least half do. Minima are summed in the tasks before the shuffle, so an id
     with very many links is no hot key."""
-    e, roots = cut(contract(edges)), None
+    e, roots = stored(contract(edges)), None
     while True:
+        n = e.count()
         both = e.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("to")))
-        step = cut(both.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("far")))
-        done = step.filter("to < far").isEmpty()
+        step = cut(few(both.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("far")), 2 * n))
+        done, small = step.filter("to < far").isEmpty(), 2 * n <= BROADCAST_ROWS
+        mark = (lambda x: F.broadcast(x)) if small else (lambda x: x)
         if not done:
             # ids without a smaller neighbour are roots; jump until all pointers end there
             everyone, up = step.select("id"), step.filter("to < id").select("id", "to")
             while True:
-                ends = sized(up.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
-                moved = cut(up.join(ends, up["to"] == ends["i2"], "left").select("id", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")))
+                ends = mark(up.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
+                moved = cut(few(up.join(ends, up["to"] == ends["i2"], "left").select("id", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")), 2 * n))
                 up = moved.select("id", "to")
                 if moved.filter("moved").isEmpty():
                     break
             ends = up.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
-            step = cut(everyone.join(sized(ends), F.col("id") == F.col("i2"), "left").select("id", F.coalesce("to2", "id").alias("to")))
+            step = cut(few(everyone.join(mark(ends), F.col("id") == F.col("i2"), "left").select("id", F.coalesce("to2", "id").alias("to")), 2 * n))
         if roots is None:
-            roots = step.select("id", F.col("to").alias("component"))
+            roots, all_ids = stored(step.select("id", F.col("to").alias("component"))), 2 * n
         else:
             ends = step.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
-            roots = cut(roots.join(sized(ends), F.col("component") == F.col("i2"), "left").select("id", F.coalesce("to2", "component").alias("component")))
+            roots = stored(few(roots.join(mark(ends), F.col("component") == F.col("i2"), "left").select("id", F.coalesce("to2", "component").alias("component")), all_ids))
         if done:
             return roots
-        ends = sized(step.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
+        ends = mark(step.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
         one = e.join(ends, e["a"] == ends["i2"], "left").select(F.coalesce("to2", "a").alias("a"), "b")
-        e = cut(contract(one.join(ends, one["b"] == ends["i2"], "left").select("a", F.coalesce("to2", "b").alias("b"))))
+        e = stored(contract(one.join(ends, one["b"] == ends["i2"], "left").select("a", F.coalesce("to2", "b").alias("b")), n))

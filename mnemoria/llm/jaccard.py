@@ -51,8 +51,8 @@ SPARE = 4
 HOT, GATHER = 128, 500_000
 #: Size given to such a cell: larger than all others.
 HUGE = (1 << 31) - 1
-#: Rows a side of a tile, each of up to ROW shingles (larger ones count as several), and words of the bit sketch.
-TILE, ROW, SKETCH = 512, 2048, 32
+#: Rows a side of a tile, each of up to ROW shingles (larger ones count as several).
+TILE, ROW = 512, 2048
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,17 +254,48 @@ def _allowed(gap, smaller, num: int, den: int):
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """docs(id, text) -> id, n, bits: parity of 2048 bits, each element in one."""
+    """docs(id, text) -> id, n, bits: parity of three or more bits an element, each element in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
-            owner, h = shingles(*flat(x.column(1)), k)
-            out = _bits(owner, h, x.num_rows)
-            yield pa.record_batch([x.column(0), pa.array(np.bincount(owner, minlength=x.num_rows)), pa.array([v.tobytes() for v in out], pa.binary())], names=["id", "n", "bits"])
+            n, bits, start = _bits(*shingles(*flat(x.column(1)), k), x.num_rows)
+            raw, at = bits.tobytes(), (8 * start).tolist()
+            yield pa.record_batch([x.column(0), pa.array(n), pa.array([raw[i:j] for i, j in zip(at, at[1:])], pa.binary())], names=["id", "n", "bits"])
 
     return docs.mapInArrow(run, "id long, n long, bits binary")
 
 
+def _bits(owner: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, words of all sketches end to end, and their starts. A sketch has a power of two words; its halves' XOR is the
+    sketch of half that size."""
+    n = np.bincount(owner, minlength=rows)
+    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(3 * n, 1) / 64)), 3).astype(np.int64)
+    start = np.r_[0, np.cumsum(words)]
+    out, bit = np.zeros(start[-1], np.uint64), mix64(h + np.uint64(77))
+    at = start[owner] + ((bit >> np.uint64(6)).astype(np.int64) & (words[owner] - 1))
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return n, out, start
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, bits: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Distances of the sketches of rows a and b, the longer ones folded."""
+    words = np.diff(start)
+    least, gap = np.minimum(words[a], words[b]), np.zeros(len(a), np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        rows, at = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        folded = np.zeros((len(rows), w), np.uint64)
+        for v in np.unique(words[rows]).tolist():
+            of = np.flatnonzero(words[rows] == v)
+            for i in range(0, len(of), max(1, (1 << 19) // v)):
+                r = of[i : i + max(1, (1 << 19) // v)]
+                folded[r] = np.bitwise_xor.reduce(bits[start[rows[r]][:, None] + np.arange(v)].reshape(len(r), -1, w), axis=1)
+        p, q, step = at[: len(pairs)], at[len(pairs) :], max(1, (1 << 19) // w)
+        for i in range(0, len(pairs), step):
+            gap[pairs[i : i + step]] = np.bitwise_count(folded[p[i : i + step]] ^ folded[q[i : i + step]]).sum(1)
+    return gap
+
+
 def dealt(groups: DataFrame) -> DataFrame:
     """groups(g, x, component, w): rows of weight w -> tile, cross, side, x, component, so that all pairs of a group with
     different components meet in a tile (where cross: rows of different sides). Tiles hold about 2 * TILE at most.
@@ -305,30 +336,30 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[
         yield held.combine_chunks()
 
 
-def _pairs(t: pa.Table, n, bits, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(t: pa.Table, n, bits, start, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, row, distance of the sketches): pairs of a tile in different components that the sketches allow to link, for
-    each run of tiles."""
+    each run of small tiles or block of a large one."""
     tile, side, x, comp = (np.asarray(t.column(c)) for c in ("tile", "side", "x", "component"))
     cross = np.asarray(t.column("cross").combine_chunks().cast(pa.int8())) > 0
     first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
     size = np.diff(np.r_[first, len(tile)])
-    stop = 0
-    while stop < len(first):
-        start, room = stop, 1 << 21
-        while stop < len(first) and (stop == start or room > 0):  # some small tiles at once
-            room -= int(size[stop]) ** 2
-            stop += 1
-        g = size[start:stop]
-        who, k = spread(g * g)
-        a, b = first[start:stop][who] + k // g[who], first[start:stop][who] + k % g[who]
-        ok = (a > b) & (comp[a] != comp[b]) & (x[a] != x[b]) & (~cross[a] | (side[a] != side[b]))
+    # row i meets the rows before it in its tile
+    before = np.arange(len(tile)) - np.repeat(first, size)
+    upto, low = np.cumsum(before), 0
+    while low < len(tile):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + (1 << 18), "right")))
+        who, k = spread(before[low:high])
+        a = low + who
+        b = a - before[a] + k
+        ok = (comp[a] != comp[b]) & (x[a] != x[b]) & (~cross[a] | (side[a] != side[b]))
         a, b = a[ok], b[ok]
         small = np.minimum(n[a], n[b])
         ok = (den * small >= num * np.maximum(n[a], n[b])) & (small > 0)
         a, b, small = a[ok], b[ok], small[ok]
-        gap = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(bits[a[i : i + 16384]] ^ bits[b[i : i + 16384]]).sum(1).astype(np.int64) for i in range(0, len(a), 16384)]])
+        gap = _gaps(a, b, bits, start)
         ok = _allowed(gap, small, num, den)
         yield a[ok], b[ok], gap[ok]
+        low = high
 
 
 def allowed_rows(tiles: DataFrame, sk: DataFrame, num: int, den: int) -> DataFrame:
@@ -336,9 +367,9 @@ def allowed_rows(tiles: DataFrame, sk: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_tiles(batches, 1 << 20):
-            bits = flat(t.column("bits"))[0].view(np.uint64).reshape(-1, SKETCH)
+            bits, start = flat(t.column("bits"))
             use = np.zeros(t.num_rows, bool)
-            for a, b, _ in _pairs(t, np.asarray(t.column("n")), bits, num, den):
+            for a, b, _ in _pairs(t, np.asarray(t.column("n")), np.frombuffer(bits.tobytes(), np.uint64), start // 8, num, den):
                 use[a] = use[b] = True
             yield from t.select(COLUMNS).filter(pa.array(use)).to_batches()
 
@@ -356,9 +387,8 @@ def linked_in_tiles(tiles: DataFrame, docs: DataFrame, k: int, num: int, den: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_tiles(batches, 1 << 20):
             owner, h = shingles(*flat(t.column("text")), k)
-            n = np.bincount(owner, minlength=t.num_rows)
+            n, bits, start = _bits(owner, h, t.num_rows)
             end = np.cumsum(n)
-            bits = _bits(owner, h, t.num_rows)
             x = np.asarray(t.column("x")).tolist()
             comp = np.asarray(t.column("component"))
             # rows of one component in one tile start united
@@ -371,8 +401,8 @@ def linked_in_tiles(tiles: DataFrame, docs: DataFrame, k: int, num: int, den: in
                 return i
 
             out = []
-            for a, b, gap in _pairs(t, n, bits, num, den):
-                order = np.argsort(gap, kind="stable")
+            for a, b, gap in _pairs(t, n, bits, start, num, den):
+                order = np.argsort(gap / np.maximum(n[a], 1), kind="stable")
                 for i, j in zip(a[order].tolist(), b[order].tolist()):
                     p, q = find(root[i]), find(root[j])
                     if p != q:
@@ -388,13 +418,6 @@ def linked_in_tiles(tiles: DataFrame, docs: DataFrame, k: int, num: int, den: in
     return texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def _bits(owner: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, SKETCH), np.uint64)
-    bit = mix64(h + np.uint64(77))
-    np.bitwise_xor.at(out, (owner, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
-    return out
-
-
 def _with(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """rows(x, ...) with their component: their own id where they have none."""
     c = comp.select(F.col("id").alias("i"), F.col("component").alias("c"))
@@ -403,8 +426,7 @@ def _with(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def family_links(members: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """members(cell, x, y), sizes(id, n) -> links (a, b) that connect what links among documents that share cells."""
-    ties = cut(members.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    fam = components(ties)
+    fam = components(members.select(F.col("x").alias("a"), F.col("y").alias("b")))
     weight = (1 + F.floor(F.col("n") / ROW)).cast("int")
     fam = cut(fam.join(sizes.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select(F.col("id").alias("x"), F.col("component").alias("g"), weight.alias("w")))
     tiles = cut(fam.groupBy("g").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles")).filter("tiles > 1"))
@@ -439,12 +461,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = cut(sets(d, k))
     full = known.filter("n > 0 and id is not null")
-    rep = cut(full.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
-    same = cut(full.join(sized(rep), ["n", "a", "b"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    rep = full.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    same = cut(full.join(rep, ["n", "a", "b"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
     # a copy has the links of its first; ids with several texts stay, as only one of them is a copy
-    several = full.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("a"))
-    copies = cut(same.join(several, "a", "left_anti").select(F.col("a").alias("copy")).distinct())
-    real = d.filter(F.col("id").isNotNull()).join(sized(copies), F.col("id") == F.col("copy"), "left_anti")
+    several = full.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("id").alias("a"))
+    copies = same.join(several, "a", "left_anti").select(F.col("a").alias("copy"))
+    real = d.filter(F.col("id").isNotNull()).join(sized(copies, same.count()), F.col("id") == F.col("copy"), "left_anti")
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.row_number().over(Window.partitionBy("x", "band").orderBy(F.desc("size"), "cell"))
     members = cut(cells(real, k, num, den, parts).withColumn("rank", rank).filter("rank > spare").select("cell", "x", "y"))
