@@ -30,6 +30,8 @@ CLASS = np.zeros(256, np.int64)
 CLASS[65:91] = CLASS[97:123] = np.arange(1, 27)
 CLASS[128:] = 32 + (np.arange(128, 256) & 31)
 GRAMS = 1 << 18
+#: Bytes of text that are turned into 3-grams at a time.
+BATCH = 1 << 18
 LETTER = r"\p{L}"
 #: Least mean evidence of a 3-gram, in nats, of a language that texts can be unlike; the given four have 3 to 6.
 LEAST_USUAL = 0.5
@@ -62,20 +64,20 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
 class Model:
     languages: list[str]
     code: np.ndarray  # language x bit
-    weights: np.ndarray  # 3-gram x bit
+    weights: np.ndarray  # bit x 3-gram
     value: np.ndarray  # weight of each bit's loss
     usual: np.ndarray  # evidence of a 3-gram for its own language, mean by language
     error: np.ndarray  # and its standard deviation
 
 
-def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
-    """docs(text, lang), learn: which rows to learn from. most_languages bounds what reaches the driver
-    (GRAMS rows a language); rarer languages are learned only up to that number."""
+def train(docs: DataFrame, learn: Column, most_languages: int = 512) -> Model:
+    """docs(text, lang), learn: which rows to learn from. All languages are learned: GRAMS numbers each reach the driver, so
+    a column with over most_languages values is refused."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in text_batches(batches, "text"):
+        for b in text_batches(batches, "text", BATCH):
             g, ends = _grams(*flat(b.column(0)))
             names, at = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
             of = np.repeat(at, np.diff(ends))
@@ -93,10 +95,12 @@ def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
             yield pa.record_batch([pa.array([name] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(n[i])], names=["lang", "gram", "n"])
 
     sums = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = sums.groupBy("lang").agg(F.sum("n").alias("t"), F.collect_list(F.struct("gram", "n")).alias("g")).orderBy(F.desc("t"), "lang").limit(most_languages)
+    sums = sums.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("g"))
+    if rows.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"lang has over {most_languages} values")
     got = sorted((r["lang"], r["g"]) for r in sums.collect())
     if not got:
-        return Model([], np.zeros((0, 0), np.int64), np.zeros((GRAMS, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros((0, 0), np.int64), np.zeros((0, GRAMS), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
     n = np.zeros((len(got), GRAMS))
     for i, (_, g) in enumerate(got):
         n[i, [x["gram"] for x in g]] = [x["n"] for x in g]
@@ -113,11 +117,11 @@ def train(docs: DataFrame, learn: Column, most_languages: int = 256) -> Model:
     usual = np.array([q @ x for q, x in zip(share, own)])
     # 3-grams overlap, so a text's independent ones are a third
     error = np.sqrt(np.array([3 * (q @ (x - u) ** 2) for q, x, u in zip(share, own, usual)]))
-    return Model([x for x, _ in got], code, np.ascontiguousarray(odds, np.float32), value, usual, error)
+    return Model([x for x, _ in got], code, np.ascontiguousarray(odds.T, np.float32), value, usual, error)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float = 0.6, least: float = 0.6) -> DataFrame:
-    """docs(id, text) -> id, lang_pred, score (share of the best codeword's evidence, 0 to 1), runner_up, unlike (mixed or
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float = 0.6, least: float = 0.6, keep_text: bool = False) -> DataFrame:
+    """docs(id, text) -> id, text (if it is kept), lang_pred, score (share of the best codeword's evidence, 0 to 1), runner_up, unlike (mixed or
     foreign: see above), ambiguous (unlike, or the best has less than `close` of the two best)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # GRAMS x bits floats, whatever the input
@@ -125,13 +129,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        for b in text_batches(batches, "text"):
+        for b in text_batches(batches, "text", BATCH):
             g, ends = _grams(*flat(b.column(1)))
             used = np.maximum(1, np.add.reduceat((g != 0).astype(np.int64), ends[:-1]))
             k = len(m.languages)
             if k:
-                margin = np.add.reduceat(m.weights[g], ends[:-1], axis=0, dtype=np.float64) if m.code.shape[1] else np.zeros((len(used), 0))
-                margin = margin / used[:, None]
+                margin = np.zeros((len(used), m.code.shape[1]))
+                for bit in range(m.code.shape[1]):
+                    margin[:, bit] = np.add.reduceat(m.weights[bit][g], ends[:-1], dtype=np.float64) / used
                 # weighted logistic loss of each codeword; evidence grows with the length, up to 400 3-grams
                 loss = np.logaddexp(0, -8 * margin[:, None, :] * (2 * m.code - 1)[None]) @ m.value
                 p = -loss * np.minimum(used, 400)[:, None] / 20
@@ -149,14 +154,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float
             yield pa.record_batch(
                 [
                     b.column(0),
+                    *([b.column(1)] if keep_text else []),
                     pa.array([names[best[i]] if known[i] else "und" for i in range(b.num_rows)], pa.string()),
                     pa.array(np.where(known, score if k else 0.0, 0.0), pa.float64()),
                     pa.array([names[second[i]] if known[i] and k > 1 else None for i in range(b.num_rows)], pa.string()),
                     pa.array(known & unlike if k else known, pa.bool_()),
                     pa.array(known & (unlike | (score < close * (score + np.maximum(next_score, 0)))) if k else known, pa.bool_()),
                 ],
-                names=[id_col, "lang_pred", "score", "runner_up", "unlike", "ambiguous"],
+                names=[id_col, *(["text"] if keep_text else []), "lang_pred", "score", "runner_up", "unlike", "ambiguous"],
             )
 
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    return docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"), letters.alias("letters")).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, runner_up string, unlike boolean, ambiguous boolean")
+    text = "text string, " if keep_text else ""
+    return docs.select(id_col, "text", letters.alias("letters")).mapInArrow(run, f"{id_col} {kind.simpleString()}, {text}lang_pred string, score double, runner_up string, unlike boolean, ambiguous boolean")
