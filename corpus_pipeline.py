@@ -25,28 +25,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each half of the texts is judged by a model of the other half, so that none is evidence for itself; copies are in one
     half. A lang that the other half doesn't have can't be judged and stays, as all do where the other half has none."""
     half = F.pmod(F.xxhash64("text"), F.lit(2))
-    rows, out = docs.withColumn("row", F.struct(*COLUMNS)), []
+    rows, out = docs.withColumn("row", F.struct("doc_id", "lang", "source", "n_chars")), []
     models = [langid.train(docs, half == 1 - h) for h in (0, 1)]
     for h, m in enumerate(models):
         m = m if m.languages else models[1 - h]
-        got = langid.predict(rows.filter(half == h).select("row", "text"), m, "row")
+        got = langid.predict(rows.filter(half == h).select("row", "text"), m, "row", keep_text=True)
         given = F.col("row.lang")
         known = F.coalesce(given.isin(m.languages), F.lit(True))
         settled = ~F.col("unlike") & F.coalesce(given.isin(F.col("lang_pred"), F.col("runner_up")), F.lit(False))
         kept = got.filter((F.col("lang_pred") != "und") & (~known | ~F.col("ambiguous") | settled))
         lang = F.when(known & ~F.col("ambiguous") & (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.coalesce(given, "lang_pred"))
-        out.append(kept.select("row.doc_id", "row.text", lang.alias("lang"), "row.source", "row.n_chars"))
+        out.append(kept.select("row.doc_id", "text", lang.alias("lang"), "row.source", "row.n_chars"))
     return out[0].unionByName(out[1])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays; rows that repeat an id stay once."""
+    """Of each group of near copies the smallest id stays; rows that repeat an id and its text stay once, with the least
+    of their other values."""
     found = jaccard.join(docs)
     gone = cut(found.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(F.broadcast(gone) if gone.count() <= queries.BROADCAST_IDS else gone, "doc_id", "left_anti")
     if cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is not null and n > 1")).isEmpty():
         return kept.select(*COLUMNS)
-    return kept.filter("doc_id is null").select(*COLUMNS).unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    once = kept.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return kept.filter("doc_id is null").select(*COLUMNS).unionByName(once.select("doc_id", "text", "rest.*").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
