@@ -85,17 +85,18 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark = words.sparkSession
     table = spark.createDataFrame(ranked(pieces), "p string, id long, s double, r long, late boolean")
     n = F.length("w")
-    at = words.select("w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    sub = at.select("w", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + pieces.longest))).alias("j"))
+    # edges leave in order of k, so that grouping by it sorts what is in order
+    at = words.select(F.monotonically_increasing_id().alias("k"), "w").select("k", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    sub = at.select("k", "w", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + pieces.longest))).alias("j"))
     sub = sub.withColumn("p", F.col("w").substr(F.col("i") + 1, F.col("j") - F.col("i")))
     hit = sub.join(F.broadcast(table), "p", "left").filter(F.col("id").isNotNull() | (F.col("j") == F.col("i") + 1))  # the table has the model's size
     bits = F.shiftleft(F.coalesce("r", F.lit(FULL)), 35) + F.shiftleft(F.col("i").cast("long"), 28) + F.shiftleft(F.col("j").cast("long"), 21)
     bits = bits + F.when(F.col("late"), 1 << 20).otherwise(0) + F.coalesce("id", F.lit(FULL))
     if pieces.bpe:
-        got = hit.groupBy("w").agg(F.sort_array(F.collect_list(bits)).alias("x"))
+        got = hit.groupBy("k", "w").agg(F.sort_array(F.collect_list(bits)).alias("x"))
         e = lambda x: (x, F.lit(0.0))
     else:
-        got = hit.groupBy("w").agg(F.sort_array(F.collect_list(F.struct(bits.alias("b"), F.coalesce("s", F.lit(-1e12)).alias("s")))).alias("x"))
+        got = hit.groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct(bits.alias("b"), F.coalesce("s", F.lit(-1e12)).alias("s")))).alias("x"))
         e = lambda x: (x["b"], x["s"])
 
     def edge(x):
@@ -203,8 +204,20 @@ def merge_long(word: str, rank: dict[str, tuple[int, int]], bytes_at: int) -> li
     return [x for s in sym if s is not None for x in ([rank[s][1]] if s in rank else [bytes_at + v for v in s.encode()])]
 
 
-def _cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded bytes (each text that is not empty after one blank), starts and ends of words, words per text."""
+def neighbours(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of characters stand side by side in a piece: of ASCII as a table, and all as sorted numbers."""
+    pairs = {(ord(a) << 21) | ord(b) for p, _, _ in pieces.rows for a, b in zip(p.replace(BLANK, " "), p.replace(BLANK, " ")[1:])}
+    every = np.array(sorted(pairs), np.int64)
+    a, b = every >> 21, every & ((1 << 21) - 1)
+    ascii_ = np.zeros(1 << 14, bool)
+    ascii_[((a << 7) | b)[(a < 128) & (b < 128)]] = True
+    return ascii_, every
+
+
+def _cut_words(buf: np.ndarray, off: np.ndarray, beside: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Padded bytes (each text that is not empty after one blank), starts and ends of words, words per text.
+
+    A word ends before a blank, and between two characters that no piece has side by side: no edge crosses there."""
     n = np.diff(off)
     full = n > 0
     out = np.full(len(buf) + int(full.sum()), 32, np.uint8)
@@ -215,6 +228,14 @@ def _cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = blank.copy()
     first[1:] &= ~blank[:-1]
     first[begins] = True
+    at = np.flatnonzero((out & 0xC0) != 0x80)
+    code = np.frombuffer(out.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    x, y = code[:-1], code[1:]
+    known = beside[0][((x << 7) | y) & 0x3FFF]
+    wide = np.flatnonzero((x | y) > 127)
+    pair = (x[wide] << 21) | y[wide]
+    known[wide] = beside[1][np.minimum(np.searchsorted(beside[1], pair), len(beside[1]) - 1)] == pair if len(beside[1]) else False
+    first[at[1:][~known]] = True
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], len(out))
     per = np.zeros(len(n), np.int64)
@@ -227,15 +248,16 @@ def _keys(buf, starts, ends):
     return a, (span_hash(buf, starts, ends, BASE_B) >> np.uint64(32)).astype(np.uint32)
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
+def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs(text) -> w: every distinct word of up to LONGEST characters, blanks as U+2581.
 
     Words are dealt to more partitions than usual, as a word becomes many substrings and edges there."""
+    beside = neighbours(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # a task passes each word on once
         for x in text_batches(batches, "text"):
-            buf, starts, ends, _ = _cut_words(*flat(x.column(0)))
+            buf, starts, ends, _ = _cut_words(*flat(x.column(0)), beside)
             name, first = np.unique(_keys(buf, starts, ends)[0], return_index=True)
             at = np.searchsorted(seen, name)
             new = np.ones(len(name), bool) if not len(seen) else seen[np.minimum(at, len(seen) - 1)] != name
@@ -296,23 +318,17 @@ def _index(packed: DataFrame, pieces: int) -> tuple[np.ndarray, ...]:
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs(id, text) -> id, ids array<int>."""
     d = docs.select(id_col, F.translate(F.coalesce("text", F.lit("")), BLANK, " ").alias("text"))
-    # a task groups the edges of all its words by hash: past a few keys Spark would sort the edges instead
-    conf, key = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = conf.get(key)
-    conf.set(key, str(1 << 20))
-    try:
-        packed = cut(_packed(encode_words(distinct_words(d), pieces)))
-    finally:
-        conf.set(key, before)
+    packed = cut(_packed(encode_words(distinct_words(d, pieces), pieces)))
     if (packed.agg(F.sum(F.length("n"))).first()[0] or 0) > broadcast_words:
         return encode_joined(d, packed, pieces, id_col)
     held = docs.sparkSession.sparkContext.broadcast(_index(packed, len(pieces.blobs)))
+    beside = neighbours(pieces)
     rank, bytes_at, kind = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n, start, ids = held.value
         for x in text_batches(batches, "text"):
-            buf, starts, ends, per = _cut_words(*flat(x.column(1)))
+            buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
             ha, hb = _keys(buf, starts, ends)
             distinct, inverse = np.unique(ha, return_inverse=True)
             at = np.minimum(np.searchsorted(a, distinct), max(len(a) - 1, 0))[inverse] if len(a) else np.zeros(len(ha), np.int64)
@@ -337,11 +353,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
 def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str) -> DataFrame:
     """The way for vocabularies too large to broadcast: occurrences of words joined to the encoded words by their
     hashes. Long words bring their ids with them."""
-    rank, bytes_at = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at
+    rank, bytes_at, beside = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, neighbours(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
-            buf, starts, ends, per = _cut_words(*flat(x.column(1)))
+            buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
             a, b = _keys(buf, starts, ends)
             owner, place = spread(per)
             own = [None] * len(a)
