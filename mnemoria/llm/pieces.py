@@ -256,7 +256,7 @@ def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # a task passes each word on once
-        for x in text_batches(batches, "text"):
+        for x in text_batches(batches, "text", 1 << 19):
             buf, starts, ends, _ = _cut_words(*flat(x.column(0)), beside)
             name, first = np.unique(_keys(buf, starts, ends)[0], return_index=True)
             at = np.searchsorted(seen, name)
@@ -300,39 +300,43 @@ def _unpacked(packed: DataFrame) -> DataFrame:
 
 
 def _index(packed: DataFrame, pieces: int) -> tuple[np.ndarray, ...]:
-    """a in order, with b, numbers and places of ids, and ids; gathered part by part, so that the driver holds it once."""
-    kinds = {"a": np.uint64, "b": np.uint32, "n": np.uint8, "ids": np.uint16 if pieces <= 1 << 16 else np.uint32}
+    """a in order, with numbers and places of ids, and ids; gathered part by part, so that the driver holds it once."""
+    kinds = {"a": np.uint64, "n": np.uint8, "ids": np.uint16 if pieces <= 1 << 16 else np.uint32}
     size = packed.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in kinds]).first()
     got = {c: np.empty(size[c] // np.dtype(np.uint32 if c == "ids" else k).itemsize, k) for c, k in kinds.items()}
     at = dict.fromkeys(kinds, 0)
-    for r in packed.toLocalIterator():
+    for r in packed.select(*kinds).toLocalIterator():
         for c, k in kinds.items():
             v = np.frombuffer(r[c], np.uint32 if c == "ids" else k)
             got[c][at[c] : at[c] + len(v)] = v
             at[c] += len(v)
     start = (np.cumsum(got["n"], dtype=np.uint32) - got["n"]).astype(np.uint32)
     order = np.argsort(got["a"]).astype(np.uint32)
-    return (*(got[c][order] for c in "abn"), start[order], got["ids"])
+    return got["a"][order], got["n"][order], start[order], got["ids"]
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """docs(id, text) -> id, ids array<int>."""
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
+    """docs(id, text) -> id, ids array<int>, text (if decoded: what the ids decode to, in the same pass)."""
     d = docs.select(id_col, F.translate(F.coalesce("text", F.lit("")), BLANK, " ").alias("text"))
     packed = cut(_packed(encode_words(distinct_words(d, pieces), pieces)))
     if (packed.agg(F.sum(F.length("n"))).first()[0] or 0) > broadcast_words:
-        return encode_joined(d, packed, pieces, id_col)
+        got = encode_joined(d, packed, pieces, id_col)
+        if not decoded:
+            return got
+        back = decode(got.select(F.struct(id_col, "ids").alias("row"), "ids"), pieces, "row")
+        return back.select(f"row.{id_col}", "row.ids", "text")
     held = docs.sparkSession.sparkContext.broadcast(_index(packed, len(pieces.blobs)))
     beside = neighbours(pieces)
     rank, bytes_at, kind = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, n, start, ids = held.value
-        for x in text_batches(batches, "text"):
+        a, n, start, ids = held.value
+        for x in text_batches(batches, "text", 1 << 19):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
-            ha, hb = _keys(buf, starts, ends)
+            ha = _keys(buf, starts, ends)[0]
             distinct, inverse = np.unique(ha, return_inverse=True)
             at = np.minimum(np.searchsorted(a, distinct), max(len(a) - 1, 0))[inverse] if len(a) else np.zeros(len(ha), np.int64)
-            known = (a[at] == ha) & (b[at] == hb) if len(a) else np.zeros(len(ha), bool)
+            known = a[at] == ha if len(a) else np.zeros(len(ha), bool)
             count = np.where(known, n[at] if len(a) else 0, 0).astype(np.int64)
             long = {int(k): merge_long(bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK), rank, bytes_at) for k in np.flatnonzero(~known)}
             for k, v in long.items():
@@ -345,9 +349,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
             for k, v in long.items():
                 out[first[k] : first[k] + len(v)] = v
             off = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(per)]]
-            yield pa.record_batch([x.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out))], names=[id_col, "ids"])
+            text = [_decoded(out, off, *pieces_of.value)] if decoded else []
+            yield pa.record_batch([x.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out)), *text], names=[id_col, "ids", "text"][: 2 + decoded])
 
-    return d.mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    pieces_of = docs.sparkSession.sparkContext.broadcast(_blobs(pieces))  # the model's size
+    return d.mapInArrow(run, f"{id_col} {kind}, ids array<int>{', text string' if decoded else ''}")
 
 
 def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str) -> DataFrame:
@@ -356,7 +362,7 @@ def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str)
     rank, bytes_at, beside = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, neighbours(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text"):
+        for x in text_batches(batches, "text", 1 << 19):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
             a, b = _keys(buf, starts, ends)
             owner, place = spread(per)
@@ -374,28 +380,37 @@ def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str)
     return rows.join(got, "row", "left").select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def _blobs(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of all ids end to end, their sizes and starts."""
+    size = np.array([len(x) for x in pieces.blobs], np.int64)
+    return np.frombuffer(b"".join(pieces.blobs), np.uint8), size, np.cumsum(size) - size
+
+
+def _decoded(ids: np.ndarray, off: np.ndarray, blob: np.ndarray, size: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The texts of ids[off[k] : off[k + 1]]."""
+    owner, place = spread(size[ids])
+    raw = blob[start[ids[owner]] + place].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size[ids])])[off].tolist()
+    texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
+    return pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())
+
+
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:
     """encoded(id, ids) -> id, text: the pieces' texts end to end without the leading blank; bytes that are not UTF-8
     become U+FFFD."""
-    size = np.array([len(x) for x in pieces.blobs], np.int64)
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces.blobs), np.uint8), size, np.cumsum(size) - size))  # the model's size
+    held = encoded.sparkSession.sparkContext.broadcast(_blobs(pieces))  # the model's size
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, size, start = held.value
         for x in batches:
             for k in range(0, x.num_rows, 512):
                 part = x.slice(k, 512)
                 col = part.column(1)
                 if col.null_count:
                     col = pa.array([v or [] for v in col.to_pylist()], pa.list_(pa.int32()))
-                ids, off = np.asarray(col.flatten()).astype(np.int64), np.asarray(col.offsets).astype(np.int64)
-                off = off - off[0]
-                owner, place = spread(size[ids])
-                raw = blob[start[ids[owner]] + place].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size[ids])])[off].tolist()
-                texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
-                yield pa.record_batch([part.column(0), pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())], names=[id_col, "text"])
+                off = np.asarray(col.offsets).astype(np.int64)
+                text = _decoded(np.asarray(col.flatten()).astype(np.int64), off - off[0], *held.value)
+                yield pa.record_batch([part.column(0), text], names=[id_col, "text"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, text string")
 

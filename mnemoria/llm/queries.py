@@ -34,10 +34,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them."""
     docs = table(spark, sf_dir, "documents")
     p = pieces.session_pieces(spark)
-    got = pieces.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), p)
-    got = got.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash")).alias("doc_id"), "ids")
-    back = pieces.decode(got, p)
-    return back.select("doc_id.*", F.length("text").cast("long").alias("n_chars_decoded"), F.xxhash64("text").alias("decoded_hash"))
+    got = pieces.encode(docs.select("doc_id", "text"), p, decoded=True)
+    ids, text = F.col("ids"), F.col("text")
+    return got.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.xxhash64(ids).alias("ids_hash"), F.length(text).cast("long").alias("n_chars_decoded"), F.xxhash64(text).alias("decoded_hash"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ def test_round_trip(docs, encoded, model):
     assert back == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
 
 
+def test_decoded_in_the_same_pass(docs, encoded, model):
+    want = {r["doc_id"]: (list(r["ids"]), t) for r, t in zip(encoded.orderBy("doc_id").collect(), [r["text"] or "" for r in docs.orderBy("doc_id").collect()])}
+    for words in (M.BROADCAST_WORDS, 0):
+        got = M.encode(docs, model, broadcast_words=words, decoded=True)
+        assert {r["doc_id"]: (list(r["ids"]), r["text"]) for r in got.collect()} == want
+
+
 def test_joined_way_is_equal(docs, encoded, model):
     other = {r["doc_id"]: list(r["ids"]) for r in M.encode(docs, model, broadcast_words=0).collect()}
     assert other == {r["doc_id"]: list(r["ids"]) for r in encoded.collect()}
