@@ -27,32 +27,45 @@ def context_blocks(hits: DataFrame, least_distance: float = 0.0, debug: bool = F
     return g.select("query_id", n.alias("items"), F.concat(head, F.array_join(F.transform("x", item), ""), F.lit("[End of Memory Context]\n\n")).alias("block"))
 
 
-BODY = "struct<conversation_id:string,model:string,messages:array<string>,prompt:string>"
+MEMBERS = "map<string,variant>"
+
+
+def _set(members: Column, name: str, value: Column) -> Column:
+    """An object's members (variants) with another value for one that it has."""
+    return F.transform_values(members, lambda k, v: F.when(k == name, value.cast("variant")).otherwise(v))
 
 
 def inject(body: Column, block: Column, mode: str = "prepend") -> Column:
-    """The body (JSON text) with the block; unchanged if there is no block or nothing to insert it in.
+    """The body (JSON text) with the block, and all its other members, those of the last message and of its content as they
+    are (in order of their names); unchanged if there is no block or nothing to insert it in.
 
-    prepend: before the last message's first part or text; system: as a system message before the last one;
-    prompt: before the prompt."""
-    b = F.from_json(body, BODY)
+    prepend: before the last message's first part, which becomes its only one, or its text; system: as a system message
+    before the last one; prompt: before the prompt."""
+    v = F.try_parse_json(body)
+    top = F.try_variant_get(v, "$", MEMBERS)
     if mode == "prompt":
-        new = F.when(F.coalesce(b["prompt"], F.lit("")) != "", F.to_json(F.struct(b["conversation_id"].alias("conversation_id"), b["model"].alias("model"), F.concat(block, F.lit("\n\n---\n\n"), b["prompt"]).alias("prompt"))))
+        prompt = F.try_variant_get(v, "$.prompt", "string")
+        new = F.when(F.coalesce(prompt, F.lit("")) != "", F.to_json(_set(top, "prompt", F.concat(block, F.lit("\n\n---\n\n"), prompt))))
         return F.when(block.isNull(), body).otherwise(F.coalesce(new, body))
-    last = F.try_element_at(b["messages"], F.lit(-1))
-    before = F.slice(b["messages"], 1, F.greatest(F.size(b["messages"]) - 1, F.lit(0)))
+    messages = F.try_variant_get(v, "$.messages", "array<variant>")
+    last = F.try_element_at(messages, F.lit(-1))
+    before = F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0)))
     if mode == "system":
-        extra = F.to_json(F.struct(F.struct(F.lit("system").alias("role")).alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(block).alias("parts")).alias("content")))
-        messages = F.concat(before, F.array(extra), F.array(last))
+        content = F.struct(F.lit("text").alias("content_type"), F.array(block).alias("parts"))
+        extra = F.parse_json(F.to_json(F.struct(F.struct(F.lit("system").alias("role")).alias("author"), content.alias("content"))))
+        changed = F.concat(before, F.array(extra), F.array(last))
     else:
-        m = F.from_json(last, "struct<author:struct<role:string>,role:string,content:string>")
-        parts = F.from_json(m["content"], "struct<content_type:string,parts:array<string>>")
-        of_parts = F.to_json(F.struct(m["author"].alias("author"), m["role"].alias("role"), F.struct(parts["content_type"].alias("content_type"), F.array(F.concat(block, F.get(parts["parts"], F.lit(0)))).alias("parts")).alias("content")))
-        of_text = F.to_json(F.struct(m["author"].alias("author"), m["role"].alias("role"), F.concat(block, m["content"]).alias("content")))
-        messages = F.concat(before, F.array(F.when(F.size(parts["parts"]) > 0, of_parts).otherwise(of_text)))
-    rest = F.to_json(F.struct(b["conversation_id"].alias("conversation_id"), b["model"].alias("model")))
-    new = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.when(F.length(rest) > 2, ",").otherwise(""), F.lit('"messages":['), F.array_join(messages, ","), F.lit("]}"))
-    return F.when(block.isNull() | F.coalesce(F.size(b["messages"]) < 1, F.lit(True)), body).otherwise(new)
+        message, content = F.try_variant_get(last, "$", MEMBERS), F.try_variant_get(last, "$.content", MEMBERS)
+        parts = F.try_variant_get(content["parts"], "$", "array<variant>")
+        first = F.try_variant_get(F.get(parts, F.lit(0)), "$", "string")
+        with_part = F.parse_json(F.to_json(_set(content, "parts", F.parse_json(F.to_json(F.array(F.concat(block, first)))))))
+        of_parts = F.when(first.isNotNull(), F.parse_json(F.to_json(_set(message, "content", with_part))))
+        text = F.when(content.isNull() & (F.schema_of_variant(message["content"]) == "STRING"), F.try_variant_get(last, "$.content", "string"))
+        of_text = F.when(text.isNotNull(), F.parse_json(F.to_json(_set(message, "content", F.concat(block, text)))))
+        changed = F.concat(before, F.array(F.coalesce(of_parts, of_text)))
+        changed = F.when(of_parts.isNotNull() | of_text.isNotNull(), changed)
+    new = F.when(changed.isNotNull(), F.to_json(_set(top, "messages", F.parse_json(F.to_json(changed)))))
+    return F.when(block.isNull() | F.coalesce(F.size(messages) < 1, F.lit(True)), body).otherwise(F.coalesce(new, body))
 
 
 def prepend_text(prompt: Column, block: Column) -> Column:

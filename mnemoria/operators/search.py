@@ -46,25 +46,29 @@ def search_chunks(corpus: DataFrame, query: DataFrame, user_id: str, platform: s
 
 def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, exclude_self: bool = True, block: int = 4096, where: Column | None = None) -> DataFrame:
     """The k nearest rows of corpus(vec_id, embedding), or of those that pass `where`, for each of queries(vec_id,
-    embedding): query_id, rank, vec_id, distance.
+    embedding): query_id, rank, vec_id, distance. Rows of other lengths than a query's are not near it; null and zero vectors
+    are near nothing, as query or row.
 
     Queries go to the tasks in blocks of bounded size; a task multiplies its rows with a block and keeps the k best of
     each query, so k rows per query and task reach the shuffle."""
     spark = corpus.sparkSession
     corpus = corpus if where is None else corpus.filter(where)
+    size = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)
     base = queries.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    n = base.count()
-    blocks = max(1, -(-n // block))
+    # a zero vector, or one with null or non-finite components, is near nothing
+    base = base.filter((size > 0) & (size < float("inf"))).withColumn("dim", F.size("embedding"))
+    rows_of = corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = []
-    for b in range(blocks):
-        mine = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else base
-        rows = mine.collect()  # about `block` rows
-        if not rows:
-            continue
-        ids = np.array([r["vec_id"] for r in rows], np.int64)
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        held = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-        parts.append(corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_best(held, k, threshold, exclude_self), "query_id long, vec_id long, distance double"))
+    for dim, n in sorted(map(tuple, base.groupBy("dim").count().collect())):  # a row per length of vector
+        blocks = max(1, -(-n // block))
+        for b in range(blocks):
+            rows = base.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()  # about `block` rows
+            if not rows:
+                continue
+            ids = np.array([r["vec_id"] for r in rows], np.int64)
+            q = np.array([r["embedding"] for r in rows], np.float64)
+            held = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+            parts.append(rows_of.mapInArrow(_best(held, k, threshold, exclude_self), "query_id long, vec_id long, distance double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
     found = parts[0]

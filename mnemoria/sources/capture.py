@@ -37,9 +37,9 @@ def chatgpt_messages(raw: DataFrame, body: str = "body") -> DataFrame:
     """The last message of each body: its first part or its text; nothing where there is none, or the body is no JSON."""
     b = F.from_json(F.col(body), "struct<conversation_id:string,model:string,messages:array<string>>")
     m = F.from_json(F.try_element_at(b["messages"], F.lit(-1)), "struct<author:struct<role:string>,role:string,content:string>")
-    kind = F.substring(F.ltrim(m["content"]), 1, 1)
-    parts = F.from_json(m["content"], "struct<parts:array<string>>")["parts"]
-    text = trim(F.when((kind == "{") & parts.isNotNull(), F.get(parts, F.lit(0))).when(kind != "{", m["content"]))
+    # a content that is an object, not a text that looks like one, can be read as such
+    content = F.from_json(F.try_element_at(b["messages"], F.lit(-1)), "struct<content:struct<parts:array<string>>>")["content"]
+    text = trim(F.when(content.isNotNull(), F.get(content["parts"], F.lit(0))).otherwise(m["content"]))
     rows = raw.select(
         "*", text.alias("content"), or_else(m["author"]["role"], or_else(m["role"], F.lit("user"))).alias("role"), or_else(b["conversation_id"], F.lit("unknown")).alias("conversation_id"),
         or_else(b["model"], F.lit("unknown")).alias("model"), F.lit("chatgpt").alias("platform"),

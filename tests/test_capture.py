@@ -62,3 +62,12 @@ def test_cli_notes(spark):
     df = spark.createDataFrame([("note", " piped \n", 1), ("hi", None, 2), (None, "x" * 9000, 3), ("abc", "", 4)], "description string, body string, timestamp long")
     got = sorted((r["timestamp"], r["content"][:12], len(r["content"])) for r in C.cli_notes(df).collect())
     assert got == [(1, "note\n\npiped", 11), (3, "x" * 12, 8000), (4, "abc", 3)]
+
+
+def test_texts_that_look_like_json(spark):
+    import json
+
+    texts = ['{"a": 1} why', "{hello}", "plain", "[1,2]", '{"parts":["x"]}']
+    bodies = [json.dumps({"messages": [{"content": t}]}) for t in texts] + [json.dumps({"messages": [{"content": {"parts": [t]}}]}) for t in texts] + [json.dumps({"messages": [{"content": {"n": 1}}]})]
+    got = C.chatgpt_messages(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert [r["content"] for r in got.collect()] == texts * 2

@@ -207,3 +207,30 @@ def test_statistics_and_audits(spark):
     bad = [r["column"] for r in audits.contract(m, struct(MESSAGES)).collect() if not r["ok"]]
     assert "embedding" in bad and "content" not in bad
     assert m.select(audits.rewrite_quality(F.lit("supabase rls policy"), F.array(F.lit("RLS")))).first()[0]
+
+
+def test_injection_keeps_other_members(spark):
+    import json
+
+    one = {"action": "next", "parent_message_id": "p", "timezone": -60, "flag": True, "none": None, "messages": [{"id": "a", "content": "{first}"}, {"id": "b", "create_time": 1.5, "metadata": {"x": [1, "2"]}, "author": {"role": "user"}, "content": {"content_type": "text", "lang": "é", "parts": ['{"a": 1} why']}}]}
+    two = {"model": "m", "messages": [{"id": 7, "role": "user", "content": "{hello}"}]}
+    three = {"temperature": 0.5, "attachments": [{"n": "f"}], "prompt": 'say "x"'}
+    four = {"messages": [{"content": {"parts": []}}, {"content": {"other": 1}}]}
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate((one, two, three, four))], "i int, b string").orderBy("i")
+    got = {mode: [json.loads(r[0]) for r in df.select(context.inject(F.col("b"), F.lit("C "), mode)).collect()] for mode in ("prepend", "system", "prompt")}
+    want = json.loads(json.dumps([one, two, three, four]))
+    want[0]["messages"][1]["content"]["parts"] = ['C {"a": 1} why']
+    want[1]["messages"][0]["content"] = "C {hello}"
+    assert got["prepend"] == want
+    extra = {"author": {"role": "system"}, "content": {"content_type": "text", "parts": ["C "]}}
+    want = json.loads(json.dumps([one, two, three, four]))
+    for k in (0, 1, 3):
+        want[k]["messages"].insert(-1, extra)
+    assert got["system"] == want
+    assert got["prompt"] == [one, two, three | {"prompt": 'C \n\n---\n\nsay "x"'}, four]
+
+
+def test_batch_search_of_odd_queries(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.1]), (5, [float("nan"), 1.0]), (6, None), (7, [None, 1.0])], "vec_id long, embedding array<double>")
+    got = search.nearest_batch(df, df, k=3, exclude_self=True).select("query_id", "vec_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 1), (3, 4), (4, 3)]
