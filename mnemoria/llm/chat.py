@@ -6,6 +6,8 @@ are context for all and have no perspective. Rendering is by turn: each row carr
 the whole, so a conversation of any length is spread over tasks; `assemble` joins the pieces of conversations that fit
 in a row.
 
+Neither texts nor names can forge a turn: markers in them are broken up, and a name's control characters become blanks.
+
 Turns are ordered by turn, then role and text; repeated rows are repeated turns. A null turn comes first, a null text is
 empty, a null role is the speaker `unknown`, and rows with a null conversation form one conversation. A conversation with
 only system turns has no perspective and no rows.
@@ -25,9 +27,10 @@ BLOCK = 256
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """turns -> conv, perspective, seq (0, 1, ...), role, name, rendered, mask (learn from it), start and end (characters
     in the dialogue), mask_start (where the learned part of a masked turn begins)."""
+    plain = lambda c: F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "<| $1 |>")
     t = turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
-        F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<\|(im_start|im_end)\|>", "<| $1 |>").alias("text"),
+        plain(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     )
     people = t.filter(F.col("speaker") != system).select("conv", F.col("speaker").alias("perspective")).distinct()
     # place within a block of turn numbers, then the number of turns in all blocks before
@@ -37,7 +40,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     mine = t.join(people, t["conv"].eqNullSafe(people["conv"])).select(t["*"], "perspective")
     role = F.when(F.col("speaker") == system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     mine = mine.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), plain(F.regexp_replace("name", r"[\x00-\x1F\x7F\u0085\u2028\u2029]+", " "))), F.lit("")), F.lit("\n"))
     mine = mine.withColumn("head", F.length(head)).withColumn("rendered", F.concat(head, "text", F.lit(END))).withColumn("n", F.length("rendered").cast("long"))
     upto = Window.partitionBy("conv", "block", "perspective").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     mine = mine.withColumn("upto", F.sum("n").over(upto))
