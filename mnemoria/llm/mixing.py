@@ -8,7 +8,7 @@ No source is sorted as a whole: keys are dealt to equal slices of their range, s
 within one slice of one source is a window. A source with a third of all rows has as many slices as any other.
 
 Null texts count as empty (size 0, taken 0). Null sources form one source, last in the order. Repeated rows are separate
-documents with equal keys. An empty table gives an empty result. Columns other than those named are ignored.
+documents with equal keys, in order of size and text. An empty table gives an empty result. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, shar
     times: how often the mix takes the document (complete epochs, and one more if sampled); taken = times * size.
     quality(doc_id, weight double): positive weights of documents; 1 where absent, null or not positive.
     slice_rows: documents per slice of keys that are ordered together, on average."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     if quality is not None:
         best = quality.filter(F.col("weight") > 0).groupBy("doc_id").agg(F.max("weight").alias("weight"))
         sized = sized.join(best, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, shar
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     starts = starts.join(F.broadcast(want) if want.count() < 10_000 else want, starts["source"].eqNullSafe(want["source"])).select(starts["source"].alias("s"), starts["slice"].alias("k"), "start", "source_size", "target", "epochs", "left")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("size").over(inside))
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["slice"] == starts["k"]))
     middle = F.col("start") + F.col("upto") - F.col("size") / 2.0
