@@ -25,8 +25,10 @@ def n_words(text: Column) -> Column:
 
 def shared(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster names its shared folder in spark.checkpoint.dir; only where
-    that is unset (tests, one machine) a temporary folder serves."""
+    that is unset a temporary folder serves on one machine, and a cluster is an error."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 

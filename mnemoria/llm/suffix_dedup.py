@@ -353,7 +353,8 @@ def _copies(plain: DataFrame) -> DataFrame | None:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, characters: bool = False) -> DataFrame:
-    """docs -> its columns without the text, and n_bytes, kept (the remaining bytes), n_removed, n_spans, spans.
+    """docs -> its columns without the text, and n_bytes, kept (the remaining bytes), n_removed, n_spans, spans, which take
+    the place of columns of these names.
 
     characters: also leave out of `kept` what remains of characters of which a byte went, so that it is text.
     parts: into which Q-gram buckets are dealt; a task holds one at a time. Four for each shuffle partition unless
@@ -361,7 +362,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "n_bytes", *RESULT)]
     every = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     copies = _copies(every.filter(F.col("id").isNotNull()).select("id", "text"))
     if copies is None:

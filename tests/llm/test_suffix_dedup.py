@@ -83,3 +83,9 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(df) == brute(rows)
     assert run(df.limit(0)) == []
+
+
+def test_columns_of_the_results_names(spark):
+    docs = spark.createDataFrame([(1, "a" * 60, 5, "k", 7), (2, "a" * 60, 6, "l", 8)], "doc_id long, text string, n_bytes int, kept string, other int")
+    got = S.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "other").collect()
+    assert sorted(map(tuple, got)) == [(1, 60, 0, 7), (2, 60, 60, 8)]
