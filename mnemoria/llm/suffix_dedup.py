@@ -23,7 +23,6 @@ empty result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BASE_A, BASE_B, cut, flat, mix64, planes, span_hash, spread, text_batches, unplanes
-from .graph import BROADCAST_ROWS, sized
+from .graph import BROADCAST_ROWS
 
 LENGTH, Q = 50, 20
 #: Windows that share an anchor at most: the Q-grams of a window.
@@ -42,7 +41,9 @@ W = LENGTH - Q + 1
 #: Documents of a bucket beyond which its windows are spread.
 HOT = 2048
 #: Anchors that a task gathers before it passes them on.
-GATHER = 1_000_000
+GATHER = 400_000
+#: Bytes of text that a task takes at a time; its arrays need some hundred bytes for each.
+BATCH = 1 << 18
 PAIR = np.uint64(0xA0761D6478BD642F)
 
 
@@ -122,7 +123,7 @@ def shared_buckets(docs: DataFrame, parts: int) -> DataFrame:
                     rows.append((int(p[i]), kind, planes(k[i:j], 5 if kind == 0 else 8), planes(np.diff(d[i:j], prepend=0), 8), planes(np.minimum(c[i:j], HOT + 1), 2)))
             return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "docs", "counts"])
 
-        for x in text_batches(batches, "text"):
+        for x in text_batches(batches, "text", BATCH):
             buf, off = flat(x.column(1))
             name = gram_ids(buf, BASE_A)
             text, place, _, _ = anchors(buf, off, name)
@@ -211,11 +212,11 @@ COLUMNS = ["at", "kind", "other", "id", "name", "bit", "text"]
 
 
 def marks(texts: DataFrame, parts: int) -> DataFrame:
-    """texts(id, text, keys, hots) -> id, name, mask: of the strings of windows that have `name` in document id, the
+    """texts(id, text, keys, hots, ...) -> id, name, mask: of the strings of windows that have `name` in document id, the
     windows (bits) that a smaller document has too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text"):
+        for x in text_batches(batches, "text", BATCH):
             buf, off = flat(x.column(1))
             ids = np.asarray(x.column(0))
             lists = x.column(2)
@@ -296,11 +297,24 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
     return rows.select("id", "name", F.col("bit").alias("mask"))
 
 
+def _whole(x: pa.RecordBatch) -> pa.RecordBatch:
+    """Results of texts that lose nothing."""
+    none = pa.array(np.zeros(x.num_rows, np.int64))
+    empty = pa.ListArray.from_arrays(pa.array(np.zeros(x.num_rows + 1, np.int32)), pa.array([], SPAN))
+    return pa.record_batch([x.column(0), x.column(1).cast(pa.binary()), none, none, empty], names=["row", *RESULT])
+
+
 def _cut_texts(marked: DataFrame, parts: int, characters: bool) -> DataFrame:
-    """marked(row, text, names, masks) -> row, kept, n_removed, n_spans, spans."""
+    """marked(row, text, names, masks) -> row, kept, n_removed, n_spans, spans. Without names a text is kept whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text"):
+        for x in text_batches(batches, "text", BATCH):
+            some = pc.is_valid(x.column(2))
+            if not pc.all(some).as_py():
+                yield _whole(x.filter(pc.invert(some)))
+                x = x.filter(some)
+            if not x.num_rows:
+                continue
             buf, off = flat(x.column(1))
             text, _, first, n, _, a, _ = _super(buf, off, parts)
             names, masks = x.column(2), np.asarray(x.column(3).flatten())
@@ -327,7 +341,7 @@ def _cut_texts(marked: DataFrame, parts: int, characters: bool) -> DataFrame:
                 step = np.diff(np.r_[0, g.astype(np.int8), 0])
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
                 out.append((t.tobytes(), int(g.sum()), len(spans), spans))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(SPAN))
             yield pa.record_batch([x.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]], names=["row", *RESULT])
 
     schema = T.StructType([T.StructField("row", marked.schema["row"].dataType), *T._parse_datatype_string("kept binary, n_removed long, n_spans long, spans array<struct<start:long,end:long>>").fields])
@@ -335,21 +349,19 @@ def _cut_texts(marked: DataFrame, parts: int, characters: bool) -> DataFrame:
 
 
 RESULT = ["kept", "n_removed", "n_spans", "spans"]
-
-
-def _release(df: DataFrame) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that made them; ask for it between the large steps."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _copies(plain: DataFrame) -> DataFrame | None:
     """(copy, copy_sha) of texts that a smaller document has whole, if they are few enough to broadcast. All their
     strings are in that document; where they are too many they just take part."""
     names = plain.filter(F.octet_length("text") >= LENGTH).select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    first = names.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    found = cut(names.join(first, "sha").filter("id > first").select(F.col("id").alias("copy"), F.col("sha").alias("copy_sha")).distinct())
-    return found if found.count() <= BROADCAST_ROWS else None
+    first = cut(names.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    if (first.agg(F.sum(F.col("n") - 1)).first()[0] or 0) > BROADCAST_ROWS:
+        return None
+    # no more rows than copies, so it is broadcast, and no text with very many copies is one task's
+    found = names.join(F.broadcast(first.select("sha", "first")), "sha").filter("id > first")
+    return cut(found.select(F.col("id").alias("copy"), F.col("sha").alias("copy_sha")).distinct())
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, characters: bool = False) -> DataFrame:
@@ -370,16 +382,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         is_copy = (F.col("id") == F.col("copy")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("copy_sha"))
         every = every.join(F.broadcast(copies), is_copy, "left").select("row", "id", "text", F.col("copy").isNotNull().alias("copy"))
-    short = every.filter(F.col("id").isNotNull() & ~F.col("copy")).select("id", "text")
-    buckets = shared_buckets(short, parts).groupBy(F.col("id").alias("i")).agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hots"))
-    texts = short.join(buckets, F.col("id") == F.col("i")).select("id", "text", "keys", "hots")
-    found = cut(marks(texts, parts).groupBy(F.col("id").alias("i")).agg(F.collect_list("name").alias("names"), F.collect_list("mask").alias("masks")))
-    _release(docs)
-    touched = sized(cut(found.select(F.col("i").alias("t"))))
-    marked = every.filter(~F.col("copy")).join(touched, F.col("id") == F.col("t"), "left_semi").join(found, F.col("id") == F.col("i"))
-    changed = _cut_texts(marked.withColumn("n_bytes", F.octet_length("text").cast("long")).select(F.struct("row", "n_bytes").alias("row"), "text", "names", "masks"), parts, characters)
+    # texts move once: both joins by id read one exchange, for which they take the same columns of the same rows
+    moved = every.filter(F.col("id").isNotNull() & ~F.col("copy")).select("row", "id", "text")
+    buckets = shared_buckets(moved.select("id", "text"), parts).groupBy(F.col("id").alias("i")).agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hots"))
+    texts = moved.join(buckets, F.col("id") == F.col("i")).select("id", "text", "keys", "hots", "row")
+    found = marks(texts, parts).groupBy(F.col("id").alias("i")).agg(F.collect_list("name").alias("names"), F.collect_list("mask").alias("masks"))
+    marked = moved.join(found, F.col("id") == F.col("i"), "left")
+    changed = _cut_texts(marked.select(F.struct("row", F.octet_length("text").cast("long").alias("n_bytes")).alias("row"), "text", "names", "masks"), parts, characters)
     changed = changed.select("row.row", "row.n_bytes", *RESULT)
-    same = every.join(touched, F.col("id") == F.col("t"), "left").filter(F.col("copy") | F.col("t").isNull())
+    same = every.filter(F.col("copy") | F.col("id").isNull())
     gone = F.col("copy")
     size, empty = F.octet_length("text").cast("long"), F.array().cast("array<struct<start:long,end:long>>")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
