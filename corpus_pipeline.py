@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoria.llm import jaccard, langid, mixing, pieces, queries, suffix_dedup
-from mnemoria.llm.common import cut, table
+from mnemoria.llm.common import cut, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least score of a verdict that corrects a given lang.
@@ -86,7 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage but the last is written to the shared folder and read again: the next ones read it several times, and
+    must see the same rows each time, whatever executors are lost."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
