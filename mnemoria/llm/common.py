@@ -74,8 +74,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_batches(batches, column: str, most: int = 1 << 20):
-    """Split Arrow batches so that each holds about `most` bytes of text (one longer text stands alone)."""
+def text_batches(batches, column: str, most: int = 1 << 18):
+    """Split Arrow batches so that each holds about `most` bytes of text (one longer text stands alone). The arrays of an
+    operator take some hundred bytes for each, and a worker keeps what its largest batch took."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -88,6 +89,8 @@ def text_batches(batches, column: str, most: int = 1 << 20):
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps; those of longer texts are made for them alone.
+KEPT_POWERS = 1 << 19
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +100,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         m = 1 << max(16, int(n - 1).bit_length())
         up, down = np.full(m, base, np.uint64), np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+        have = (np.cumprod(up), np.cumprod(down))
+        if m <= KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 

@@ -366,7 +366,7 @@ def allowed_rows(tiles: DataFrame, sk: DataFrame, num: int, den: int) -> DataFra
     """Of the rows of tiles, those with a partner that the sketches sk(id, n, bits) allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_tiles(batches, 1 << 20):
+        for t in _whole_tiles(batches, 1 << 18):
             bits, start = flat(t.column("bits"))
             use = np.zeros(t.num_rows, bool)
             for a, b, _ in _pairs(t, np.asarray(t.column("n")), np.frombuffer(bits.tobytes(), np.uint64), start // 8, num, den):
@@ -385,7 +385,7 @@ def linked_in_tiles(tiles: DataFrame, docs: DataFrame, k: int, num: int, den: in
     """Links (a, b) of a spanning forest of what links in each tile, judged on whole sets, beside what has one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_tiles(batches, 1 << 20):
+        for t in _whole_tiles(batches, 1 << 18):
             owner, h = shingles(*flat(t.column("text")), k)
             n, bits, start = _bits(owner, h, t.num_rows)
             end = np.cumsum(n)
