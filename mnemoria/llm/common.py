@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -74,10 +75,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers wait for later tasks beside the executor, which needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_batches(batches, column: str, most: int = 1 << 18):
     """Split Arrow batches so that each holds about `most` bytes of text (one longer text stands alone). The arrays of an
     operator take some hundred bytes for each, and a worker keeps what its largest batch took."""
     for b in batches:
+        give_back()
         if not b.num_rows:
             continue
         _, off = flat(b.column(b.schema.get_field_index(column)))
@@ -86,6 +96,7 @@ def text_batches(batches, column: str, most: int = 1 << 18):
             end = max(start + 1, int(np.searchsorted(off, off[start] + most, "right")) - 1)
             yield b.slice(start, end - start)
             start = end
+    give_back()
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -100,7 +111,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         m = 1 << max(16, int(n - 1).bit_length())
         up, down = np.full(m, base, np.uint64), np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = (np.cumprod(up), np.cumprod(down))
+        have = (np.cumprod(up, out=up), np.cumprod(down, out=down))
         if m <= KEPT_POWERS:
             _POWERS[base] = have
     return have
@@ -110,7 +121,11 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     """64-bit hashes of buf[start:end] for all spans: differences of one polynomial prefix sum modulo 2^64 (base odd)."""
     up, down = _powers(base, len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    terms = sums[1:]  # summed in place, as a long text's arrays are what a worker needs most
+    terms += buf
+    terms += np.uint64(1)
+    terms *= up[: len(buf)]
+    np.cumsum(terms, out=terms)
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -221,19 +221,20 @@ def _cut_words(buf: np.ndarray, off: np.ndarray, beside: tuple[np.ndarray, np.nd
     n = np.diff(off)
     full = n > 0
     out = np.full(len(buf) + int(full.sum()), 32, np.uint8)
-    shift = np.cumsum(full)
-    out[np.arange(len(buf)) + np.repeat(shift, n)] = buf
-    begins = (off[:-1] + shift - full)[full]
+    begins = (off[:-1] + np.cumsum(full) - full)[full]
+    own = np.ones(len(out), bool)
+    own[begins] = False
+    out[own] = buf
     blank = out == 32
     first = blank.copy()
     first[1:] &= ~blank[:-1]
     first[begins] = True
     at = np.flatnonzero((out & 0xC0) != 0x80)
-    code = np.frombuffer(out.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.frombuffer(out.tobytes().decode().encode("utf-32-le"), np.uint32)
     x, y = code[:-1], code[1:]
-    known = beside[0][((x << 7) | y) & 0x3FFF]
+    known = beside[0][((x << np.uint32(7)) | y) & np.uint32(0x3FFF)]
     wide = np.flatnonzero((x | y) > 127)
-    pair = (x[wide] << 21) | y[wide]
+    pair = (x[wide].astype(np.int64) << 21) | y[wide]
     known[wide] = beside[1][np.minimum(np.searchsorted(beside[1], pair), len(beside[1]) - 1)] == pair if len(beside[1]) else False
     first[at[1:][~known]] = True
     starts = np.flatnonzero(first)
@@ -256,9 +257,9 @@ def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # a task passes each word on once
-        for x in text_batches(batches, "text", 1 << 19):
+        for x in text_batches(batches, "text"):
             buf, starts, ends, _ = _cut_words(*flat(x.column(0)), beside)
-            name, first = np.unique(_keys(buf, starts, ends)[0], return_index=True)
+            name, first = np.unique(span_hash(buf, starts, ends, BASE_A), return_index=True)
             at = np.searchsorted(seen, name)
             new = np.ones(len(name), bool) if not len(seen) else seen[np.minimum(at, len(seen) - 1)] != name
             seen = np.insert(seen, at[new], name[new])
@@ -331,9 +332,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, start, ids = held.value
-        for x in text_batches(batches, "text", 1 << 19):
+        for x in text_batches(batches, "text"):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
-            ha = _keys(buf, starts, ends)[0]
+            ha = span_hash(buf, starts, ends, BASE_A)
             distinct, inverse = np.unique(ha, return_inverse=True)
             at = np.minimum(np.searchsorted(a, distinct), max(len(a) - 1, 0))[inverse] if len(a) else np.zeros(len(ha), np.int64)
             known = a[at] == ha if len(a) else np.zeros(len(ha), bool)
@@ -362,7 +363,7 @@ def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str)
     rank, bytes_at, beside = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, neighbours(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in text_batches(batches, "text", 1 << 19):
+        for x in text_batches(batches, "text"):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
             a, b = _keys(buf, starts, ends)
             owner, place = spread(per)
