@@ -35,6 +35,11 @@ def for_tenant(df: DataFrame, user_id: str, anonymous: bool = False) -> DataFram
     return df.filter(own | (F.col("user_id") == "00000000-0000-0000-0000-000000000000") if anonymous else own)
 
 
+def having(df: DataFrame, column: str, *values: str) -> DataFrame:
+    """Rows whose array (topics, questions) has one of the values; a null array has none."""
+    return df.filter(F.arrays_overlap(F.col(column), F.array(*[F.lit(v) for v in values])))
+
+
 def search_chunks(corpus: DataFrame, query: DataFrame, user_id: str, platform: str | None = None, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """Similarity search within a tenant: similarity > threshold, highest first."""
     rows = for_tenant(corpus, user_id)

@@ -186,6 +186,16 @@ def latest_messages(spark, sf_dir):
     return stats.newest(m, 10, "timestamp", "message_id").select("message_id", "platform", F.length("content").alias("n_chars"), F.substring("content", 1, 100).alias("preview"))
 
 
+@register("message_ages", f"WITH {M} SELECT message_id, floor((1700000500500 - timestamp) / 1000.0)::BIGINT AS age_seconds FROM m")
+def message_ages(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", T.age_seconds(F.col("timestamp"), adapters.EPOCH + 500_500).alias("age_seconds"))
+
+
+@register("event_times", "SELECT event_id, epoch_us(ts::TIMESTAMP) // 1000 AS ts_ms FROM events")
+def event_times(spark, sf_dir):
+    return adapters.read(spark, sf_dir, "events").select("event_id", T.epoch_ms(F.col("ts")).alias("ts_ms"))
+
+
 @register(
     "cross_platform_pairs",
     f"""WITH {M}, p AS (SELECT *, ['chatgpt', 'claude', 'cli'][((seq + timestamp // 86400000) % 3 + 1)::INT] AS place FROM m)
@@ -246,6 +256,18 @@ def topics(spark, sf_dir):
     return d.select("doc_id", F.array_join(T.topics(F.col("text"), WORDS), ",").alias("topics"))
 
 
+@register("topic_members", f"WITH a AS (SELECT doc_id, {_topics_sql('text', WORDS)} AS f FROM documents) SELECT doc_id FROM a WHERE list_contains({_first_seen('f')}, 'que')")
+def topic_members(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents")
+    return search.having(d.select("doc_id", T.topics(F.col("text"), WORDS).alias("topics")), "topics", "que").select("doc_id")
+
+
+@register("question_members", f"WITH {M} SELECT message_id FROM m WHERE list_contains(list_transform(string_split(content, ' '), lambda x: lower(x)), 'the')")
+def question_members(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).withColumn("hypothetical_questions", F.transform(F.split("content", " "), F.lower))
+    return search.having(m, "hypothetical_questions", "the").select("message_id")
+
+
 @register("topic_histogram", f"WITH a AS (SELECT {_topics_sql('text', WORDS)} AS f FROM documents), b AS (SELECT unnest({_first_seen('f')}) AS topic FROM a) SELECT topic, count(*) AS n FROM b GROUP BY 1")
 def topic_histogram(spark, sf_dir):
     d = adapters.read(spark, sf_dir, "documents")
@@ -436,27 +458,27 @@ def token_estimate(spark, sf_dir):
     return d.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.length(T.truncate_tokens(F.col("text"), 4000)).alias("kept_chars"))
 
 
-@register(
-    "token_batches",
-    """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 1000 AS span, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS k FROM documents),
+TOKEN_BATCHES = """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 1000 AS span, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS k FROM documents),
 r AS (SELECT doc_id, span, tokens, k, 0 AS batch, CASE WHEN tokens > 4000 THEN NULL ELSE tokens END AS total FROM d WHERE k = 1 UNION ALL
   SELECT d.doc_id, d.span, d.tokens, d.k, CASE WHEN d.tokens > 4000 OR r.total IS NULL OR r.total + d.tokens > 4000 THEN r.batch + 1 ELSE r.batch END,
     CASE WHEN d.tokens > 4000 THEN NULL WHEN r.total IS NULL OR r.total + d.tokens > 4000 THEN d.tokens ELSE r.total + d.tokens END FROM r JOIN d ON d.span = r.span AND d.k = r.k + 1)
-SELECT doc_id, span, batch::INT AS batch, tokens FROM r""",
-)
+SELECT doc_id, span, batch::INT AS batch, tokens FROM r"""
+
+
+@register("token_batches", TOKEN_BATCHES)
 def token_batches(spark, sf_dir):
     d = adapters.read(spark, sf_dir, "documents").select("doc_id", "text")
     return enrich.token_batches(d, "doc_id", "text").select("doc_id", "span", F.col("batch").cast("int").alias("batch"), "tokens")
 
 
-@register("batch_totals", None)
+@register("batch_totals", f"SELECT span, batch, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM ({TOKEN_BATCHES}) GROUP BY ALL")
 def batch_totals(spark, sf_dir):
     return token_batches(spark, sf_dir).groupBy("span", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 @register(
     "question_prompts",
-    f"""WITH {CHUNKS} SELECT conversation_id, chunk_idx, 'Generate 3 hypothetical questions a user might ask to find this conversation.' || chr(10) || chr(10) || 'Conversation:' || chr(10) ||
+    f"""WITH {CHUNKS} SELECT conversation_id, chunk_idx, 'Write 3 questions to which the conversation below would be a good answer.' || chr(10) || chr(10) || 'Conversation:' || chr(10) ||
   CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10) || chr(10) || {quote(P.QUESTION_RULES.format(k=3))} AS prompt FROM c""",
 )
 def question_prompts(spark, sf_dir):
