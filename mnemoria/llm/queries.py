@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, hard_negatives, jaccard, langid, mixing, pieces, quality_rules, suffix_dedup, token_counts, toxicity
+from . import chat, embedding_dedup, hard_negatives, jaccard, langid, mixing, pieces, quality_rules, repair, suffix_dedup, token_counts, toxicity
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def damage(turns: DataFrame) -> DataFrame:
+    """Of twenty turns one each is dropped, emptied, cut of its full stops, said twice, or given to the user."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fate, text = F.crc32(key.cast("binary")) % 20, F.coalesce("text", blank)
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fate == 4, "user").otherwise(F.coalesce("role", blank))
+    kept = turns.filter(fate != 0)
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(fate == 3, 2).otherwise(1))).alias("time")).drop("time")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    got = repair.digests(repair.repair(damage(turns))).withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct().join(got, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *repair.COUNTS, "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are a hundredth of the rows; each seventh label is moved by one."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
@@ -104,6 +123,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op12_structure_repair": op12_structure_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
