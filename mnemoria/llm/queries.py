@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, hard_negatives, jaccard, langid, mixing, pieces, quality_rules, repair, suffix_dedup, token_counts, toxicity
+from . import chat, embedding_dedup, hard_negatives, jaccard, langid, mixing, passages, pieces, quality_rules, repair, suffix_dedup, token_counts, toxicity
 from .common import table
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = passages.cut_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def damage(turns: DataFrame) -> DataFrame:
     """Of twenty turns one each is dropped, emptied, cut of its full stops, said twice, or given to the user."""
     blank = F.lit(" ")
@@ -123,6 +128,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_repeated_passages": op11_repeated_passages,
     "op12_structure_repair": op12_structure_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -147,6 +153,14 @@ p AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, e.target - e.e
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, round(target, 3) AS target,
   (size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+    "op11_repeated_passages": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w FROM documents),
+i AS (SELECT r, unnest(range(1, len(w) + 1)) AS k FROM d),
+n AS (SELECT i.r, k, w[k] AS word, CASE WHEN k <= len(w) - 34 THEN md5(array_to_string(w[k:k + 34], ' ')) END AS name FROM i JOIN d ON i.r = d.r),
+c AS (SELECT name FROM n WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1),
+g AS (SELECT n.r, k, word, coalesce(max(CASE WHEN c.name IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY n.r ORDER BY k ROWS 34 PRECEDING), 0) AS gone FROM n LEFT JOIN c ON n.name = c.name),
+a AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON d.r = a.r""",
     "op13_hard_negatives": """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
