@@ -35,10 +35,20 @@ def message_rules() -> dict[str, Column]:
     }
 
 
-def out_of_order(messages: DataFrame) -> DataFrame:
-    """Messages whose timestamp is before the one that arrived before them in their conversation."""
-    arrival = Window.partitionBy("conversation_id").orderBy("seq")
-    return messages.withColumn("previous", F.lag("timestamp").over(arrival)).filter(F.col("timestamp") < F.col("previous"))
+def out_of_order(messages: DataFrame, rows: int = 4096) -> DataFrame:
+    """Messages whose timestamp is before the one that arrived before them in their conversation.
+
+    A conversation of any length is compared within runs of `rows` arrival numbers, whose first message is compared with
+    the last one of the run before."""
+    m = messages.withColumn("_run", F.coalesce(F.floor(F.col("seq") / rows), F.lit(-(1 << 62))))
+    place = F.struct("seq", "timestamp")
+    inside = Window.partitionBy("conversation_id", "_run").orderBy("seq", "timestamp")
+    ends = m.groupBy(F.col("conversation_id").alias("_c"), F.col("_run").alias("_r")).agg(F.max_by("timestamp", place).alias("_end"))
+    ends = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy("_c").orderBy("_r")))
+    m = m.withColumn("_first", F.row_number().over(inside) == 1).withColumn("previous", F.lag("timestamp").over(inside))
+    m = m.join(ends, F.col("conversation_id").eqNullSafe(F.col("_c")) & (F.col("_run") == F.col("_r")))
+    m = m.withColumn("previous", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("previous")))
+    return m.filter(F.col("timestamp") < F.col("previous")).drop("_run", "_c", "_r", "_end", "_carried", "_first")
 
 
 def known_conversations(messages: DataFrame, least: float = 0.8) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chains import token_batches
 
 
 def greedy_batches(lengths: list[int], most: int) -> list[int]:
@@ -27,20 +28,6 @@ def greedy_batches(lengths: list[int], most: int) -> list[int]:
     return out
 
 
-def token_batches(df: DataFrame, key: str, content: str = "content", most: int = 4000, spans: int = 1000) -> DataFrame:
-    """Adds tokens, batch and truncated content. Rows are batched in order of `key` within spans of `spans` values of
-    it, so batches are built in parallel and don't depend on how the rows are partitioned."""
-    d = df.withColumn("span", F.floor(F.col(key) / spans)).withColumn("tokens", T.estimate_tokens(F.col(content)))
-    d = d.withColumn(content, T.truncate_tokens(F.col(content), most))
-    out = d.withColumn("batch", F.lit(0)).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return pdf.assign(batch=greedy_batches(pdf["tokens"].tolist(), most))
-
-    return d.groupBy("span").applyInPandas(run, out)
-
-
 def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], content: str = "content", most: int = 4000) -> DataFrame:
     """Adds embedding. Each task sends its rows to the model in token-bounded batches, in order; a failing model fails
     the task, which Spark retries."""

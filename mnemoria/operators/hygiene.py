@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chains import first_of_window
 
 
 def classify(df: DataFrame, content: str = "content") -> DataFrame:
@@ -45,35 +43,3 @@ def split_captures(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_last(errors: DataFrame, n: int = 100, by: str = "timestamp") -> DataFrame:
     """The newest rows; ties by all other columns."""
     return errors.orderBy(F.desc(by), *[c for c in errors.columns if c != by]).limit(n)
-
-
-def first_of_window(df: DataFrame, keys: list[str], ts: str, seconds: float, tie: str) -> DataFrame:
-    """Rows that are kept when repeats of a key within `seconds` of the last kept row are dropped; a repeat doesn't
-    extend the window, and exactly `seconds` later is still a repeat.
-
-    Whether a row is kept depends on all before it, but only back to the last gap of over `seconds`, where a new row is
-    always kept: rows are grouped by these bursts, so a busy key is spread over its bursts. Each burst is folded in one
-    pass over its times in order."""
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    t = F.col(ts).cast("double") if dict(df.dtypes)[ts].startswith("timestamp") else F.col(ts) / 1000.0
-    d = df.withColumn("_t", t)
-    d = d.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(order) > seconds).cast("int"), F.lit(1)))
-    d = d.withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = Window.partitionBy(*keys, "_burst")
-    d = d.withColumn("_n", F.count("*").over(alone))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, kept = None, None
-        for pdf in batches:
-            use = []
-            for key, at in zip(pdf[[*keys, "_burst"]].itertuples(index=False, name=None), pdf["_t"]):
-                if key != last or at - kept > seconds:
-                    last, kept = key, at
-                    use.append(True)
-                else:
-                    use.append(False)
-            yield pdf[use]
-
-    several = d.filter("_n > 1").repartition(*keys, "_burst").sortWithinPartitions(*keys, "_burst", ts, tie)
-    both = d.filter("_n = 1").unionByName(several.mapInPandas(fold, d.schema))
-    return both.drop("_t", "_new", "_burst", "_n")

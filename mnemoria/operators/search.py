@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
+from .knn import nearest_batch
 
 ORDER = ["distance", "message_id"]
 
@@ -21,7 +18,7 @@ def nearest(corpus: DataFrame, query: DataFrame, k: int = 5, threshold: float |
     rows = corpus if where is None else corpus.filter(where)
     q = query.select(F.col("embedding").alias("_q")).limit(1)
     rows = rows.join(F.broadcast(q)).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_q"))).drop("_q")
-    rows = rows.filter(F.col("distance").isNotNull() if threshold is None else F.col("distance") < threshold)
+    rows = rows.filter(F.col("distance").isNotNull() & ~F.isnan("distance") if threshold is None else F.col("distance") < threshold)
     return rows.orderBy(*ORDER).limit(k)
 
 
@@ -49,67 +46,6 @@ def search_chunks(corpus: DataFrame, query: DataFrame, user_id: str, platform: s
     return hits.withColumn("similarity", 1.0 - F.col("distance"))
 
 
-def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, exclude_self: bool = True, block: int = 4096, where: Column | None = None) -> DataFrame:
-    """The k nearest rows of corpus(vec_id, embedding), or of those that pass `where`, for each of queries(vec_id,
-    embedding): query_id, rank, vec_id, distance. Rows of other lengths than a query's are not near it; null and zero vectors
-    are near nothing, as query or row.
-
-    Queries go to the tasks in blocks of bounded size; a task multiplies its rows with a block and keeps the k best of
-    each query, so k rows per query and task reach the shuffle."""
-    spark = corpus.sparkSession
-    corpus = corpus if where is None else corpus.filter(where)
-    size = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)
-    base = queries.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    # a zero vector, or one with null or non-finite components, is near nothing
-    base = base.filter((size > 0) & (size < float("inf"))).withColumn("dim", F.size("embedding"))
-    rows_of = corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    parts = []
-    for dim, n in sorted(map(tuple, base.groupBy("dim").count().collect())):  # a row per length of vector
-        blocks = max(1, -(-n // block))
-        for b in range(blocks):
-            rows = base.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()  # about `block` rows
-            if not rows:
-                continue
-            ids = np.array([r["vec_id"] for r in rows], np.int64)
-            q = np.array([r["embedding"] for r in rows], np.float64)
-            held = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
-            parts.append(rows_of.mapInArrow(_best(held, k, threshold, exclude_self), "query_id long, vec_id long, distance double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
-
-
-def _best(held, k: int, threshold: float | None, exclude_self: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = held.value
-        for x in batches:
-            size = np.diff(np.asarray(x.column(1).offsets))
-            use = size == q.shape[1]
-            if not use.any():
-                continue
-            own = np.asarray(x.column(0))[use]
-            v = np.asarray(x.column(1).filter(pa.array(use)).flatten()).reshape(-1, q.shape[1])
-            length = np.linalg.norm(v, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = 1.0 - (q @ v.T) / length[None, :]
-            d = np.where(length[None, :] > 0, d, np.inf)
-            if exclude_self:
-                d[ids[:, None] == own[None, :]] = np.inf
-            if threshold is not None:
-                d[d >= threshold] = np.inf
-            m = min(k, d.shape[1])
-            top = np.argpartition(d, m - 1, axis=1)[:, :m]
-            edge = np.take_along_axis(d, top, 1).max(1)  # ties at the edge all go on
-            row, col = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-            yield pa.record_batch([pa.array(ids[row]), pa.array(own[col]), pa.array(d[row, col])], names=["query_id", "vec_id", "distance"])
-
-    return run
-
-
 def post_filtered_batch(corpus: DataFrame, queries: DataFrame, where: Column, k: int = 5, threshold: float | None = 0.5, limit: int | None = None) -> DataFrame:
     """The filter after the cut, for each query: of the k nearest, those that pass (at most `limit`), ranked anew."""
     best = nearest_batch(corpus, queries, k, threshold, exclude_self=False).drop("rank")

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+#: Buckets in which a conversation is scanned: of time, and of rows where there is no time.
+BUCKET_MS, BUCKET_ROWS = 3_600_000, 4096
+
+
+def bucket() -> Column:
+    """Consecutive messages of a conversation by timestamp (0: none) and seq. One conversation may hold very many, as all
+    messages without an id are one."""
+    t = F.col("timestamp")
+    rows = F.coalesce(F.floor(F.col("seq") / BUCKET_ROWS), F.lit(-(1 << 62)))
+    return F.struct(F.signum(t).cast("int").alias("sign"), F.floor(t / BUCKET_MS).alias("hour"), F.when(t == 0, rows).otherwise(0).alias("rows"))
+
+
 def with_turns(messages: DataFrame) -> DataFrame:
-    """Adds turn_idx (0, 1, ...) to the user and assistant messages of each conversation, ordered by timestamp and seq.
+    """Adds turn_idx (0, 1, ...) to the user and assistant messages of each conversation, ordered by timestamp, seq and role.
 
-    A user message opens a turn; an assistant message closes the open one or is a turn of its own."""
+    A user message opens a turn; an assistant message closes the open one or is a turn of its own. Buckets of a
+    conversation are scanned by themselves; a scan over the buckets carries the last role and the turns so far."""
     m = messages.withColumn("conversation_id", T.or_else(F.col("conversation_id"), F.lit("unknown"))).withColumn("role", F.lower("role")).withColumn("timestamp", F.coalesce("timestamp", F.lit(0)))
-    m = m.filter(F.col("role").isin("user", "assistant"))
-    order = Window.partitionBy("conversation_id").orderBy("timestamp", "seq")
-    opens = (F.col("role") == "user") | F.coalesce(F.lag("role").over(order) != "user", F.lit(True))
-    m = m.withColumn("_opens", opens.cast("int"))
-    return m.withColumn("turn_idx", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_opens")
+    m = m.filter(F.col("role").isin("user", "assistant")).withColumn("_bucket", bucket())
+    place = ["timestamp", "seq", "role"]
+    inside = Window.partitionBy("conversation_id", "_bucket").orderBy(*place)
+    before = F.lag("role").over(inside)
+    # whether a bucket's first message opens a turn may depend on the buckets before it: null
+    m = m.withColumn("_opens", F.when(F.col("role") == "user", 1).when(before.isNotNull(), (before != "user").cast("int")))
+    sums = m.groupBy("conversation_id", "_bucket").agg(
+        F.coalesce(F.sum("_opens"), F.lit(0)).alias("_sure"), F.max(F.col("_opens").isNull()).alias("_unsure"), F.max_by("role", F.struct(*place)).alias("_last"),
+    )
+    across = Window.partitionBy("conversation_id").orderBy("_bucket")
+    carried = F.coalesce(F.lag("_last").over(across) != "user", F.lit(True))
+    sums = sums.withColumn("_first", (F.col("_unsure") & carried).cast("int"))
+    total = F.sum(F.col("_sure") + F.col("_first")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("conversation_id", "_bucket", (F.coalesce(total, F.lit(0)) + F.col("_first") - 1).alias("_base"))
+    m = m.withColumn("_upto", F.coalesce(F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return m.join(sums, ["conversation_id", "_bucket"]).withColumn("turn_idx", F.col("_base") + F.col("_upto")).drop("_bucket", "_opens", "_upto", "_base")
 
 
 def turns(messages: DataFrame) -> DataFrame:

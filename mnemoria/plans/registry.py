@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import audits, context, enrich, hygiene, search, stats, sync, turns
+from ..operators import audits, context, enrich, hygiene, knn, search, stats, sync, turns
 from ..sources import adapters, capture
+from ..sources.scratch import materialised
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -170,6 +171,22 @@ def advanced_search_batch(spark, sf_dir):
     return rounded(search.post_filtered_batch(v, _set(v), where, 20, 0.9, 10), "query_id", "rank", "vec_id")
 
 
+@register("knn_cells")
+def knn_cells(spark, sf_dir):
+    """The five nearest rows among those of the nearest cells."""
+    v = adapters.vectors(spark, sf_dir)
+    cells = materialised(knn.learn_cells(v))
+    return rounded(knn.nearest_in_cells(v, _set(v), cells), "query_id", "rank", "vec_id")
+
+
+@register("knn_recall")
+def knn_recall(spark, sf_dir):
+    """How many of the exact five nearest the search in cells finds."""
+    v = adapters.vectors(spark, sf_dir)
+    cells = materialised(knn.learn_cells(v))
+    return knn.recall(knn.nearest_in_cells(v, _set(v), cells), knn.nearest_batch(v, _set(v)))
+
+
 @register("conversation_context", f"WITH {M}, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, seq)::INT AS rank FROM m) SELECT conversation_id, rank, message_id, role, content FROM r WHERE rank <= 20")
 def conversation_context(spark, sf_dir):
     return search.conversation_context(adapters.messages(spark, sf_dir)).select("conversation_id", "rank", "message_id", "role", "content")
@@ -458,22 +475,21 @@ def token_estimate(spark, sf_dir):
     return d.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.length(T.truncate_tokens(F.col("text"), 4000)).alias("kept_chars"))
 
 
-TOKEN_BATCHES = """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 1000 AS span, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS k FROM documents),
-r AS (SELECT doc_id, span, tokens, k, 0 AS batch, CASE WHEN tokens > 4000 THEN NULL ELSE tokens END AS total FROM d WHERE k = 1 UNION ALL
-  SELECT d.doc_id, d.span, d.tokens, d.k, CASE WHEN d.tokens > 4000 OR r.total IS NULL OR r.total + d.tokens > 4000 THEN r.batch + 1 ELSE r.batch END,
-    CASE WHEN d.tokens > 4000 THEN NULL WHEN r.total IS NULL OR r.total + d.tokens > 4000 THEN d.tokens ELSE r.total + d.tokens END FROM r JOIN d ON d.span = r.span AND d.k = r.k + 1)
-SELECT doc_id, span, batch::INT AS batch, tokens FROM r"""
+TOKEN_BATCHES = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, ceil(coalesce(length(text), 0) / 4.0)::BIGINT AS tokens, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT doc_id, tokens, k, 0 AS batch, CASE WHEN tokens > 4000 THEN NULL ELSE tokens END AS total FROM d WHERE k = 1 UNION ALL
+  SELECT d.doc_id, d.tokens, d.k, CASE WHEN d.tokens > 4000 OR r.total IS NULL OR r.total + d.tokens > 4000 THEN r.batch + 1 ELSE r.batch END,
+    CASE WHEN d.tokens > 4000 THEN NULL WHEN r.total IS NULL OR r.total + d.tokens > 4000 THEN d.tokens ELSE r.total + d.tokens END FROM r JOIN d ON d.k = r.k + 1)
+SELECT doc_id, batch::BIGINT AS batch, tokens FROM r"""
 
 
 @register("token_batches", TOKEN_BATCHES)
 def token_batches(spark, sf_dir):
-    d = adapters.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return enrich.token_batches(d, "doc_id", "text").select("doc_id", "span", F.col("batch").cast("int").alias("batch"), "tokens")
+    return enrich.token_batches(adapters.read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "batch", "tokens")
 
 
-@register("batch_totals", f"SELECT span, batch, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM ({TOKEN_BATCHES}) GROUP BY ALL")
+@register("batch_totals", f"SELECT batch, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM ({TOKEN_BATCHES}) GROUP BY ALL")
 def batch_totals(spark, sf_dir):
-    return token_batches(spark, sf_dir).groupBy("span", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    return token_batches(spark, sf_dir).groupBy("batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 @register(

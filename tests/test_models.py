@@ -180,7 +180,7 @@ def test_model_stages(spark):
     def model(p):
         if '"boom"' in p:
             raise RuntimeError
-        return " better terms " if "Recent conversation topics: rls" in p else ""
+        return " better terms " if "Lately discussed: rls" in p else ""
 
     got = {r["query"]: (r["rewritten"], r["transformed"], r["success"]) for r in enrich.rewrite_queries(q, model).collect()}
     assert got == {"python api error": ("python api error", False, True), "that thing": ("better terms", True, True), "boom": ("boom", False, False)}
