@@ -39,7 +39,7 @@ def inject(body: Column, block: Column, mode: str = "prepend") -> Column:
     """The body (JSON text) with the block, and all its other members, those of the last message and of its content as they
     are (in order of their names); unchanged if there is no block or nothing to insert it in.
 
-    prepend: before the last message's first part, which becomes its only one, or its text; system: as a system message
+    prepend: before the last message's first part, which becomes its only one, or its text, where that is a text; system: as a system message
     before the last one; prompt: before the prompt."""
     v = F.try_parse_json(body)
     top = F.try_variant_get(v, "$", MEMBERS)
@@ -57,7 +57,8 @@ def inject(body: Column, block: Column, mode: str = "prepend") -> Column:
     else:
         message, content = F.try_variant_get(last, "$", MEMBERS), F.try_variant_get(last, "$.content", MEMBERS)
         parts = F.try_variant_get(content["parts"], "$", "array<variant>")
-        first = F.try_variant_get(F.get(parts, F.lit(0)), "$", "string")
+        part = F.get(parts, F.lit(0))
+        first = F.when(F.schema_of_variant(F.coalesce(part, F.parse_json(F.lit("null")))) == "STRING", F.try_variant_get(part, "$", "string"))
         with_part = F.parse_json(F.to_json(_set(content, "parts", F.parse_json(F.to_json(F.array(F.concat(block, first)))))))
         of_parts = F.when(first.isNotNull(), F.parse_json(F.to_json(_set(message, "content", with_part))))
         text = F.when(content.isNull() & (F.schema_of_variant(message["content"]) == "STRING"), F.try_variant_get(last, "$.content", "string"))
@@ -67,6 +68,3 @@ def inject(body: Column, block: Column, mode: str = "prepend") -> Column:
     new = F.when(changed.isNotNull(), F.to_json(_set(top, "messages", F.parse_json(F.to_json(changed)))))
     return F.when(block.isNull() | F.coalesce(F.size(messages) < 1, F.lit(True)), body).otherwise(F.coalesce(new, body))
 
-
-def prepend_text(prompt: Column, block: Column) -> Column:
-    return F.when(block.isNull(), prompt).otherwise(F.concat(block, prompt))

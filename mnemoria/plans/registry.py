@@ -558,6 +558,33 @@ def chatgpt_requests(spark, sf_dir):
     return capture.chatgpt_messages(capture.chatgpt_calls(b)).select("conversation_id", "role", "content", "model", "platform")
 
 
+ODD = f"WITH {M}, l AS (SELECT conversation_id, conversation_id::BIGINT % 6 AS shape, arg_max(content, seq) AS content FROM m GROUP BY 1)"
+
+
+def _odd_bodies(spark, sf_dir) -> DataFrame:
+    """Bodies whose last message has an image, a number, several parts, no text at all, or repeated members."""
+    m = adapters.messages(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("content", "seq").alias("text"))
+    j = F.to_json(F.array("text"))
+    said = F.substring(j, F.lit(2), F.length(j) - 2)  # as a JSON string
+    shapes = ['{"parts":[{"img":1},%s]}', '{"parts":[5,%s]}', "123", '{"parts":[%s,"more"]}', '%s,"content":{"parts":[%s,{"img":1}]}', '{"parts":[]}']
+    built = F.element_at(F.array(*[F.concat(*[x for k, part in enumerate(t.split("%s")) for x in ([said] if k else []) + [F.lit(part)]]) for t in shapes]), (F.col("conversation_id").cast("long") % 6 + 1).cast("int"))
+    return m.select("conversation_id", F.concat(F.lit('{"conversation_id":"'), "conversation_id", F.lit('","messages":[{"role":"user","content":'), built, F.lit("}]}")).alias("body"))
+
+
+@register("odd_requests", f"{ODD} SELECT conversation_id, content FROM l WHERE shape IN (3, 4)")
+def odd_requests(spark, sf_dir):
+    b = _odd_bodies(spark, sf_dir).withColumnRenamed("conversation_id", "own")
+    return capture.chatgpt_messages(b).select("conversation_id", "content")
+
+
+@register("inject_odd", f"{ODD} SELECT conversation_id, shape = 3 AS changed, CASE WHEN shape = 3 THEN 'CTX ' || content END AS first_part FROM l")
+def inject_odd(spark, sf_dir):
+    """Only a first part that is a text gets a block; bodies with repeated members are left alone."""
+    b = _odd_bodies(spark, sf_dir).withColumn("new", context.inject(F.col("body"), F.lit("CTX ")))
+    changed = F.col("new") != F.col("body")
+    return b.select("conversation_id", changed.alias("changed"), F.when(changed, F.get_json_object("new", "$.messages[0].content.parts[0]")).alias("first_part"))
+
+
 @register("claude_requests", f"{LAST} SELECT conversation_id, 'user' AS role, content, 'claude-3-opus' AS model, 'claude' AS platform FROM l")
 def claude_requests(spark, sf_dir):
     m = adapters.messages(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("content", "seq").alias("prompt"))
@@ -601,6 +628,16 @@ def sse_assemble(spark, sf_dir):
     return capture.assemble_responses(_lines(spark, sf_dir)).select("message_id", "content", "role")
 
 
+@register("sse_from_chunks", f"WITH {M} SELECT message_id, regexp_replace(content, '^\\s+|\\s+\\z', '', 'g') AS content FROM m WHERE role = 'assistant'")
+def sse_from_chunks(spark, sf_dir):
+    """The same answers, cut every 37 bytes as a network might."""
+    lines = _lines(spark, sf_dir).groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("x"))
+    data = F.encode(F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n")), "UTF-8")
+    cut = lines.select("response_id", data.alias("d")).select("response_id", "d", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("d") / 37).cast("int"))).alias("seq"))
+    chunks = cut.select("response_id", F.col("seq").cast("long").alias("seq"), F.substring("d", F.col("seq") * 37 + 1, F.lit(37)).alias("data"))
+    return capture.assemble_responses(capture.lines_of_chunks(chunks)).select("message_id", "content")
+
+
 # -- statistics and health ----------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import message_key, or_else, trim
@@ -33,13 +33,29 @@ def claude_calls(raw: DataFrame, strict: bool = True) -> DataFrame:
     return raw.filter(path & F.col("url").contains("claude.ai/api/") & _posted(F.col("method"), F.col("body")) if strict else path)
 
 
+def _kind(json: Column) -> Column:
+    """The type of a variant: STRING, BIGINT, OBJECT<...> and so on; null for none."""
+    return F.when(json.isNotNull(), F.schema_of_variant(json))
+
+
+def _text(json: Column) -> Column:
+    """A variant that is a JSON string."""
+    return F.when(_kind(json) == "STRING", F.try_variant_get(json, "$", "string"))
+
+
 def chatgpt_messages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """The last message of each body: its first part or its text; nothing where there is none, or the body is no JSON."""
+    """The last message of each body: its first part, or its content, where that is a text; nothing where it is an image, a
+    number or another value, where there is no message, or the body is no JSON. Of a member that is repeated the last
+    counts."""
     b = F.from_json(F.col(body), "struct<conversation_id:string,model:string,messages:array<string>>")
-    m = F.from_json(F.try_element_at(b["messages"], F.lit(-1)), "struct<author:struct<role:string>,role:string,content:string>")
-    # a content that is an object, not a text that looks like one, can be read as such
-    content = F.from_json(F.try_element_at(b["messages"], F.lit(-1)), "struct<content:struct<parts:array<string>>>")["content"]
-    text = trim(F.when(content.isNotNull(), F.get(content["parts"], F.lit(0))).otherwise(m["content"]))
+    last = F.try_element_at(b["messages"], F.lit(-1))
+    m = F.from_json(last, "struct<author:struct<role:string>,role:string>")
+    # the content by its own text, as a body with a repeated member is no variant
+    json = F.try_parse_json(F.from_json(F.concat(F.lit('{"m":'), last, F.lit("}")), "struct<m:struct<content:string>>")["m"]["content"])
+    typed = F.try_parse_json(last)
+    content = F.when(typed.isNotNull(), F.try_variant_get(typed, "$.content", "variant")).otherwise(json)
+    parts = F.try_variant_get(content, "$.parts", "array<variant>")
+    text = trim(F.when(parts.isNotNull(), _text(F.get(parts, F.lit(0)))).otherwise(_text(content)))
     rows = raw.select(
         "*", text.alias("content"), or_else(m["author"]["role"], or_else(m["role"], F.lit("user"))).alias("role"), or_else(b["conversation_id"], F.lit("unknown")).alias("conversation_id"),
         or_else(b["model"], F.lit("unknown")).alias("model"), F.lit("chatgpt").alias("platform"),
@@ -61,7 +77,6 @@ def claude_messages(raw: DataFrame, body: str = "body", shipped: bool = False) -
 
 
 
-
 def _string(json: Column, path: str) -> Column:
     """A member's value where it is a JSON string."""
     v = F.try_variant_get(json, path, "string")
@@ -136,3 +151,17 @@ def cli_notes(notes: DataFrame, most: int = 8000) -> DataFrame:
 def by_ids(messages: DataFrame, ids: DataFrame) -> DataFrame:
     """Point reads in bulk: the embedding and content of the given ids."""
     return messages.join(ids.select("message_id"), "message_id").select("message_id", "embedding", "content")
+
+
+def lines_of_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks(response_id, seq, data binary), as they came from the network -> response_id, seq (of the line), line. Lines
+    and characters may be cut anywhere between chunks: a piece of a line belongs to the line whose number is that of the
+    line ends before it, and pieces are joined before they are decoded. Null data is empty; a last line needs no end."""
+    raw = F.decode(F.coalesce("data", F.lit(b"")), "ISO-8859-1")  # a character for each byte
+    ends = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("response_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = chunks.select("response_id", "seq", raw.alias("raw"), F.coalesce(F.sum(ends).over(before), F.lit(0)).alias("_before"))
+    pieces = pieces.select("response_id", "seq", "_before", F.posexplode(F.split("raw", "\n")).alias("k", "piece"))
+    g = pieces.groupBy("response_id", (F.col("_before") + F.col("k")).alias("line_no")).agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("x"))
+    line = F.decode(F.encode(F.array_join(F.transform("x", lambda p: p["piece"]), ""), "ISO-8859-1"), "UTF-8")
+    return g.select("response_id", F.col("line_no").cast("long").alias("seq"), F.regexp_replace(line, "\r\\z", "").alias("line")).filter("line <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
-from ..operators.sync import upsert
+from ..operators.hygiene import split_captures
+from ..operators.keyed import KeyedTable
+from ..operators.knn import nearest_batch
+from ..operators.search import older_than
 from ..sources.capture import events
 
 MINUTES = "5 minutes"
@@ -27,30 +32,53 @@ def keep_valid(stream: DataFrame) -> DataFrame:
     return t.filter(F.coalesce(F.col("content"), F.lit("")) != "")
 
 
-def sync_to(stream: DataFrame, target: str, checkpoint: str, key: str = "message_id", version: str = "timestamp", once: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch into a keyed table: generations of parquet, of which the newest is complete.
+def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=MINUTES)).start()
 
-    A batch writes the generation of its number, so a batch that is run again writes the same one."""
-    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = current(spark, target, number)
-        fresh = upsert(batch.limit(0) if before is None else before, batch, key, version)
-        fresh.write.mode("overwrite").parquet(f"{target}/gen={number:010d}")
+def sync_to(stream: DataFrame, target: str, checkpoint: str, key: str = "message_id", version: str = "timestamp", once: bool = True, buckets: int = 64, last_wins: bool = True) -> StreamingQuery:
+    """Upserts each micro-batch into a keyed table: it rewrites the buckets of its keys, and nothing if it is run again."""
+    table = KeyedTable(stream.sparkSession, target, key, version, buckets)
+    return _run(stream, lambda batch, number: table.upsert(batch, checkpoint, number, last_wins), checkpoint, once)
 
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=MINUTES)).start()
+
+def current(spark, target: str) -> DataFrame | None:
+    """The rows of a keyed table."""
+    return KeyedTable(spark, target, "", "").read()
+
+
+def save_captures(stream: DataFrame, target: str, errors: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Captured messages into a keyed table, with the time of saving (captured_at, epoch milliseconds), and those that
+    can't be saved into a folder of errors, one of each micro-batch. Both sinks take a batch that is run again once."""
+    table = KeyedTable(stream.sparkSession, target, "message_id", "timestamp")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        valid, failed = split_captures(batch)
+        now = F.unix_millis(F.current_timestamp())
+        failed.withColumn("captured_at", now).write.mode("overwrite").parquet(f"{errors}/batch={number:010d}")
+        table.upsert(valid.withColumn("captured_at", now), checkpoint, number)
+        batch.unpersist()
+
+    return _run(stream, save, checkpoint, once)
 
 
-def current(spark, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete generation (of those before a number)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    names = [n for n in names if n.startswith("gen=") and (before is None or int(n[4:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{target}/{max(names)}") if names else None
+def search_stream(prompts: DataFrame, target: str, out: str, checkpoint: str, k: int = 5, threshold: float | None = 0.5, recent_seconds: int = 120, as_of: Callable[[], int] | None = None, once: bool = True) -> StreamingQuery:
+    """The nearest stored messages of each prompt(vec_id, embedding), without those of the last `recent_seconds` before the
+    micro-batch: its time is the limit (as_of: epoch milliseconds, the clock unless given). The store (a keyed table with
+    vec_id, embedding, timestamp) is read anew by each batch, so that it may grow meanwhile."""
+    spark = prompts.sparkSession
+
+    def answer(batch: DataFrame, number: int) -> None:
+        store = current(spark, target)
+        if store is None:
+            return
+        now = as_of() if as_of else int(time.time() * 1000)
+        hits = nearest_batch(store, batch, k, threshold, exclude_self=False, where=older_than(recent_seconds, now))
+        hits.withColumn("as_of", F.lit(now)).write.mode("overwrite").parquet(f"{out}/batch={number:010d}")
+
+    return _run(prompts, answer, checkpoint, once)
 
 
 def dedup(stream: DataFrame, keys: list[str], ts: str, seconds: float, late: str = "1 hour") -> DataFrame:
@@ -76,6 +104,68 @@ def dedup(stream: DataFrame, keys: list[str], ts: str, seconds: float, late: str
     return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(step, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def dedup_in_order(stream: DataFrame, keys: list[str], ts: str, seconds: float, late: str = "1 hour", tie: str | None = None) -> DataFrame:
+    """As dedup, but rows wait in state until the watermark has passed them and are then taken in order of time (and tie),
+    so that rows that come late, by up to `late`, give what the batch form gives. Rows without a time are dropped."""
+    names = stream.columns
+    width = int(seconds * 1_000_000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        for pdf in [] if state.hasTimedOut else batches:
+            rank = pdf[tie] if tie else [0] * len(pdf)
+            waiting += [pickle.dumps((t.value // 1000, n, tuple(row))) for t, n, row in zip(pdf[ts], rank, pdf.itertuples(index=False, name=None))]
+        limit = state.getCurrentWatermarkMs() * 1000
+        rows = sorted((pickle.loads(w) for w in waiting), key=lambda r: r[:2])
+        kept = []
+        for at, _, row in (r for r in rows if r[0] < limit):
+            if last is None or at - last > width:
+                last = at
+                kept.append(row)
+        rest = [r for r in rows if r[0] >= limit]
+        if rest or (last is not None and last + width >= limit):
+            state.update((last, [pickle.dumps(r) for r in rest]))
+            state.setTimeoutTimestamp(max((rest[0][0] if rest else last + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame(kept, columns=names)
+
+    timed = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, late)
+    return timed.groupBy(*keys).applyInPandasWithState(step, stream.schema, "last long, waiting array<binary>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lines_of_chunks(chunks: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """chunks(response_id, seq, data binary, ts) -> response_id, seq, line, ts, as in capture.lines_of_chunks. A chunk waits
+    in state for those before it (seq counts from 0), and what follows its last line end waits for the next. What is left
+    when nothing came for `late` is a line."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due, line, rest, waiting = state.get if state.exists else (0, 0, b"", [])
+        waiting = {s: d for s, d in (pickle.loads(w) for w in waiting)}
+        out, rest, last = [], bytes(rest), state.getCurrentWatermarkMs()
+        for pdf in [] if state.hasTimedOut else batches:
+            waiting |= {int(s): bytes(d) if d is not None else b"" for s, d in zip(pdf["seq"], pdf["data"]) if s >= due}
+            last = max(last, int(pdf["ts"].max().value // 1_000_000))
+        while due in waiting:
+            *whole, rest = (rest + waiting.pop(due)).split(b"\n")
+            out += [(line + k, x) for k, x in enumerate(whole)]
+            line, due = line + len(whole), due + 1
+        if state.hasTimedOut:
+            out.append((line, rest))
+            state.remove()
+        else:
+            state.update((due, line, rest, [pickle.dumps(w) for w in waiting.items()]))
+            state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        rows = [(key[0], k, x.decode("utf-8", "replace").removesuffix("\r")) for k, x in out]
+        rows = [r for r in rows if r[2]]
+        if rows:
+            yield pd.DataFrame(rows, columns=["response_id", "seq", "line"]).assign(ts=pd.Timestamp(last, unit="ms"))
+
+    wait = int(pd.Timedelta(late).total_seconds() * 1000)
+    return chunks.withWatermark("ts", late).groupBy("response_id").applyInPandasWithState(step, "response_id string, seq long, line string, ts timestamp", "due long, line long, rest binary, waiting array<binary>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def responses(lines: DataFrame, platform: str = "chatgpt", idle: str = "10 minutes") -> DataFrame:
     """lines(response_id, seq, line, ts): texts of a response are gathered in state and come out as one message at its
     end marker, or when nothing came for `idle`."""
@@ -112,6 +202,12 @@ def health(stream: DataFrame, width: str = MINUTES, late: str = "10 minutes") ->
     return g.select(F.col("w.start").alias("start"), "n", "errors")
 
 
+def usage_alerts(sizes: DataFrame, quota: int = 10_485_760, percent: float = 80) -> DataFrame:
+    """sizes(ts, bytes): states of a store that use over so much of its quota."""
+    used = F.col("bytes") * 100.0 / quota
+    return sizes.filter(used > percent).withColumn("percent", F.round(used, 1))
+
+
 def silence_alerts(stream: DataFrame, key: str, minutes: float = 10, late: str = "1 minute") -> DataFrame:
     """(key, since) where nothing came for so many minutes of event time."""
 
@@ -127,8 +223,3 @@ def silence_alerts(stream: DataFrame, key: str, minutes: float = 10, late: str =
 
     kind = dict(stream.dtypes)[key]
     return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, since timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_now(df: DataFrame, write: Callable, checkpoint: str) -> None:
-    """Process what is there through foreachBatch and stop."""
-    df.writeStream.foreachBatch(lambda b, n: write(b)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
