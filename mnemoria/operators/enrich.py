@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import files
+from ..sources.scratch import materialised
 from .chains import token_batches
 
 
@@ -67,20 +69,46 @@ def call_model(df: DataFrame, prompt: str, answer: str, model: Callable[[str], s
     return df.mapInPandas(run, schema)
 
 
-def rewrite_queries(queries: DataFrame, model: Callable[[str], str]) -> DataFrame:
+def call_remembering(df: DataFrame, prompt: str, answer: str, model: Callable[[str], str], memory: str, slices: int = 8) -> DataFrame:
+    """As call_model, with a memory of answers in a folder: a prompt is asked once, however many rows have it and however
+    often this is called. Prompts are known by a hash. New ones are asked in `slices` by their hash, each written before the
+    next is asked, so that a call that fails goes on where it stopped. Failures are not remembered. Runs jobs."""
+    spark = df.sparkSession
+    key = lambda c: F.sha2(F.col(c), 256)
+    schema = "_k string, _answer string, slice int"
+
+    def known() -> DataFrame:
+        there = [n for n in files.names(spark, memory) if n.startswith("slice=")]
+        return spark.read.schema(schema).parquet(memory) if there else spark.createDataFrame([], schema)
+
+    rows = df.withColumn("_k", key(prompt))
+    wanted = rows.filter(F.col(prompt).isNotNull()).groupBy("_k").agg(F.first(prompt).alias("_p"))
+    fresh = materialised(wanted.join(known().select("_k"), "_k", "left_anti").withColumn("slice", F.pmod(F.xxhash64("_k"), F.lit(slices)).cast("int")))
+    for r in fresh.groupBy("slice").count().orderBy("slice").collect():  # at most `slices` rows
+        some = call_model(fresh.filter(F.col("slice") == r["slice"]), "_p", "_answer", model).filter(F.col("_answer").isNotNull())
+        some.select("_k", "_answer", "slice").write.mode("append").partitionBy("slice").parquet(memory)
+    got = known().groupBy(F.col("_k").alias("_k2")).agg(F.min("_answer").alias(answer))
+    return rows.join(got, F.col("_k") == F.col("_k2"), "left").drop("_k", "_k2")
+
+
+def _ask(df: DataFrame, prompt: str, answer: str, model: Callable[[str], str], memory: str | None) -> DataFrame:
+    return call_model(df, prompt, answer, model) if memory is None else call_remembering(df, prompt, answer, model, memory)
+
+
+def rewrite_queries(queries: DataFrame, model: Callable[[str], str], memory: str | None = None) -> DataFrame:
     """queries(query, topics, context) + rewritten, transformed, success. Specific queries are left as they are; only
-    the rest reach the model, and keep their text if it fails."""
+    the rest reach the model, and keep their text if it fails. memory: a folder of answers (call_remembering)."""
     specific = T.is_specific(F.col("query"))
     as_is = queries.filter(specific).withColumn("rewritten", F.col("query")).withColumn("transformed", F.lit(False)).withColumn("success", F.lit(True))
-    asked = call_model(queries.filter(~specific).withColumn("_p", T.rewrite_prompt(F.col("query"), F.col("topics"), F.col("context"))), "_p", "_a", model)
+    asked = _ask(queries.filter(~specific).withColumn("_p", T.rewrite_prompt(F.col("query"), F.col("topics"), F.col("context"))), "_p", "_a", model, memory)
     ok = F.coalesce(F.trim("_a"), F.lit("")) != ""
     asked = asked.withColumn("rewritten", F.when(ok, F.trim("_a")).otherwise(F.col("query"))).withColumn("transformed", ok).withColumn("success", ok).drop("_p", "_a")
     return as_is.unionByName(asked)
 
 
-def generate_questions(chunks: DataFrame, model: Callable[[str], str], k: int = 5) -> DataFrame:
-    """Sets hypothetical_questions from the model's answers; none where it fails."""
-    asked = call_model(chunks.withColumn("_p", T.question_prompt(F.col("content"), F.col("topics"), k)), "_p", "_a", model)
+def generate_questions(chunks: DataFrame, model: Callable[[str], str], k: int = 5, memory: str | None = None) -> DataFrame:
+    """Sets hypothetical_questions from the model's answers; none where it fails. memory: a folder of answers."""
+    asked = _ask(chunks.withColumn("_p", T.question_prompt(F.col("content"), F.col("topics"), k)), "_p", "_a", model, memory)
     q = F.coalesce(T.parse_questions(F.col("_a"), k), F.array().cast("array<string>"))
     return asked.withColumn("hypothetical_questions", q).drop("_p", "_a")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 from .knn import nearest_batch
+from .substrings import ilike
 
 ORDER = ["distance", "message_id"]
 
@@ -85,13 +86,23 @@ def conversation_context(messages: DataFrame, limit: int = 20) -> DataFrame:
 
 def keyword(messages: DataFrame, q: str, limit: int = 5) -> DataFrame:
     """Messages that hold q in any case, newest first."""
-    plain = q.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_")
-    return messages.filter(F.col("content").ilike(f"%{plain}%")).orderBy(F.desc("timestamp"), "message_id").limit(limit)
+    return messages.filter(ilike(F.col("content"), q)).orderBy(F.desc("timestamp"), "message_id").limit(limit)
 
 
 def cross_platform_pairs(messages: DataFrame, limit: int = 5) -> DataFrame:
-    """User and assistant messages of one conversation from different platforms, newest first."""
+    """User and assistant messages of one conversation from different platforms, newest first.
+
+    Pairs go by the user's time and id, then by the assistant's id, so only the `limit` first user messages that have a
+    partner count, and of their conversations' assistants the `limit` least ids of each platform: no conversation's pairs
+    are written out."""
     u = messages.filter("role = 'user'").select("conversation_id", F.col("message_id").alias("user_id"), F.col("platform").alias("user_platform"), F.col("timestamp").alias("t"))
-    a = messages.filter("role = 'assistant'").select("conversation_id", F.col("message_id").alias("assistant_id"), F.col("platform").alias("assistant_platform"), F.col("timestamp").alias("ta"))
-    pairs = u.join(a, "conversation_id").filter("user_platform <> assistant_platform")
+    a = messages.filter("role = 'assistant'").select("conversation_id", F.col("message_id").alias("assistant_id"), F.col("platform").alias("assistant_platform"))
+    # the least and the greatest platform say whether there is one other than the user's
+    sides = a.groupBy(F.col("conversation_id").alias("_c")).agg(F.min("assistant_platform").alias("_low"), F.max("assistant_platform").alias("_high"))
+    other = (F.col("user_platform") != F.col("_low")) | (F.col("user_platform") != F.col("_high"))
+    first = u.join(sides, (F.col("conversation_id") == F.col("_c")) & other).drop("_c", "_low", "_high").orderBy(F.desc("t"), "user_id").limit(limit)
+    few = F.broadcast(first.select(F.col("conversation_id").alias("_c")).distinct())  # at most `limit` rows
+    order = Window.partitionBy("conversation_id", "assistant_platform").orderBy("assistant_id")
+    a = a.join(few, F.col("conversation_id") == F.col("_c"), "left_semi").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).drop("_k")
+    pairs = F.broadcast(first).join(a, "conversation_id").filter("user_platform <> assistant_platform")
     return pairs.orderBy(F.desc("t"), "user_id", "assistant_id").limit(limit)

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialised
 from . import turns
 
+if TYPE_CHECKING:
+    from .keyed import KeyedTable
+
 
 def unsynced(captured: DataFrame, stored_ids: DataFrame) -> DataFrame:
     """Captured messages whose id is not stored."""
@@ -45,6 +50,19 @@ def backfill_source(messages: DataFrame, value: str = "chatgpt") -> DataFrame:
     return messages.fillna({"source": value})
 
 
+FREE = ["id", "turn_range", "conversation_id", "platform", "content", "speakers", "turn_count", "start_timestamp", "end_timestamp", "topics", "hypothetical_questions", "embedding", "created_at"]
+
+
+def free_tier(chunks: DataFrame, user_id: str, platform: str = "chatgpt") -> DataFrame:
+    """What a user of the free tier sees of the chunks: their own, of one platform, without tenant and times of storing."""
+    return chunks.filter((F.col("platform") == platform) & (F.col("user_id") == user_id)).select(*FREE)
+
+
+def without_ids(messages: DataFrame, key: str = "message_id") -> DataFrame:
+    """One row: rows and those without an id, which no keyed table can take."""
+    return messages.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.col(key), F.lit("")) == "").alias("without_id"))
+
+
 def set_questions(chunks: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """New questions where there are any, else the old ones."""
     u = updates.select(key, F.col("hypothetical_questions").alias("_q"))
@@ -59,3 +77,19 @@ def synchronise(captured: DataFrame, stored: DataFrame, embed: Callable[[DataFra
     touched = captured.join(fresh.select("conversation_id").distinct(), "conversation_id", "left_semi")
     c = turns.chunks(touched, user_id=user_id)
     return rows, embed(c.withColumn("id", T.message_key(F.col("user_id"), F.col("conversation_id"), F.col("turn_range"))))
+
+
+def synchronise_tables(captured: DataFrame, messages: KeyedTable, chunks: KeyedTable, embed: Callable[[DataFrame], DataFrame], user_id: str | None = None, writer: str = "sync", number: int | None = None) -> tuple[int, int]:
+    """The full step into keyed tables of messages and chunks: only what is not stored is embedded and written. -> buckets
+    of either table that changed. A step that stopped between the tables is made whole when it is run again: chunks are
+    those of conversations with messages that are not stored, or whose chunks are not."""
+    stored, had = messages.read(), chunks.read()
+    old = captured.limit(0) if stored is None else stored
+    rows, made = synchronise(captured, old, embed, user_id)
+    if stored is not None:  # conversations that are stored, but have no chunks yet
+        with_chunks = made.select("conversation_id").limit(0) if had is None else had.select("conversation_id")
+        lost = captured.join(stored.select("message_id"), "message_id", "left_semi").join(with_chunks.distinct(), "conversation_id", "left_anti")
+        again = turns.chunks(captured.join(lost.select("conversation_id").distinct(), "conversation_id", "left_semi"), user_id=user_id)
+        made = made.unionByName(embed(again.withColumn("id", T.message_key(F.col("user_id"), F.col("conversation_id"), F.col("turn_range"))))).dropDuplicates(["id"])
+    made = materialised(made)  # before the messages are stored, on which it depends
+    return len(messages.upsert(rows, writer, number)), len(chunks.upsert(made, writer, number))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import audits, context, enrich, hygiene, knn, search, stats, sync, turns
+from ..operators import audits, context, enrich, hygiene, knn, readpath, search, stats, substrings, sync, turns
 from ..sources import adapters, capture
 from ..sources.scratch import materialised
 
@@ -653,7 +653,7 @@ def silence_gaps(spark, sf_dir):
 
 @register("capture_health", "SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS succeeded, round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 1) AS error_rate, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 1) AS success_rate FROM events")
 def capture_health(spark, sf_dir):
-    return stats.capture_health(adapters.read(spark, sf_dir, "events"))
+    return stats.capture_health(adapters.read(spark, sf_dir, "events"), success="purchase")
 
 
 @register("error_retention", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")
@@ -662,6 +662,111 @@ def error_retention(spark, sf_dir):
     return hygiene.keep_last(e, 100, "ts")
 
 
-@register("store_size", None)
+@register(
+    "store_size",
+    f"""WITH {M}, j AS (SELECT length(to_json({{message_id: message_id, conversation_id: conversation_id, role: role, content: content, timestamp: timestamp, platform: platform, seq: seq}})) AS n FROM m),
+s AS (SELECT count(*) AS rows, (sum(n) + count(*) + 1)::BIGINT AS size FROM j) SELECT rows, size, round(size / 1024.0::DOUBLE, 2) AS kb, round(size * 100.0::DOUBLE / 10485760, 2) AS percent FROM s""",
+)
 def store_size(spark, sf_dir):
     return stats.store_size(adapters.messages(spark, sf_dir))
+
+
+@register("store_statistics", f"WITH {M} SELECT count(*) AS rows, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors, max(timestamp) AS last_save, 1800000000000 - max(timestamp) AS ms_since_save FROM m")
+def store_statistics(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).withColumn("captured_at", F.col("timestamp"))
+    errors = adapters.read(spark, sf_dir, "events").filter("event_type = 'error'")
+    return stats.store_statistics(m, errors, 1_800_000_000_000).select("rows", "errors", "last_save", "ms_since_save")
+
+
+@register("sync_status", f"WITH {M} SELECT count(*) AS total_messages, max(timestamp) AS last_sync_time FROM m")
+def sync_status(spark, sf_dir):
+    return stats.sync_status(adapters.messages(spark, sf_dir), "timestamp")
+
+
+@register("source_summary", f"WITH {V} SELECT count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT source) > 1 AS several, count(source) AS known FROM v")
+def source_summary(spark, sf_dir):
+    return stats.source_summary(adapters.vectors(spark, sf_dir))
+
+
+@register("ids_missing", f"WITH {M}, k AS (SELECT CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 5 = 0 THEN NULL ELSE message_id END AS message_id FROM m) SELECT count(*) AS rows, count(*) FILTER (coalesce(message_id, '') = '') AS without_id FROM k")
+def ids_missing(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).withColumn("message_id", F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 5 == 0, None).otherwise(F.col("message_id")))
+    return sync.without_ids(m)
+
+
+# -- from prompts to bodies --------------------------------------------------------------------------------------------------------
+
+
+def letters(df: DataFrame) -> DataFrame:
+    """An embedding that SQL can compute too: how often each letter of a to z occurs in the content."""
+    n = lambda c: (F.length("content") - F.length(F.replace(F.col("content"), F.char(c), F.lit("")))).cast("double")
+    return df.withColumn("embedding", F.transform(F.sequence(F.lit(97), F.lit(122)), n))
+
+
+E = "list_transform(range(97, 123), lambda c: (length(content) - length(replace(content, chr(c::INT), '')))::DOUBLE)"
+PROMPTS = f"""{M}, s AS (SELECT *, conversation_id::BIGINT * 1000 + seq AS vec_id, {E} AS e FROM m),
+p AS (SELECT vec_id AS query_id, content AS query, e AS qe FROM s WHERE role = 'user' AND conversation_id::BIGINT % 5 = 0),
+h AS (SELECT query_id, query, s.*, round(1 - list_cosine_similarity(e, qe), 12) AS distance FROM p JOIN s ON list_sum(e) > 0 AND list_sum(qe) > 0)"""
+AS_OF = adapters.EPOCH + 60 * 86_400_000
+
+
+def _store(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Messages as a store, and every fifth conversation's user messages as prompts."""
+    m = adapters.messages(spark, sf_dir)
+    store = letters(m.withColumn("vec_id", F.col("conversation_id").cast("long") * 1000 + F.col("seq")).withColumn("source", F.col("platform")))
+    some = m.filter((F.col("role") == "user") & (F.col("conversation_id").cast("long") % 5 == 0))
+    prompts = some.select((F.col("conversation_id").cast("long") * 1000 + F.col("seq")).alias("query_id"), F.col("content").alias("query"), "conversation_id")
+    return store, prompts
+
+
+@register(
+    "search_messages",
+    f"""WITH {PROMPTS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM h WHERE distance < 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM k WHERE place <= 10 AND role = 'assistant' AND platform = 'claude')
+SELECT query_id, rank, message_id, round(distance, 6) AS distance FROM r""",
+)
+def search_messages(spark, sf_dir):
+    store, prompts = _store(spark, sf_dir)
+    hits = readpath.search_messages(readpath.asked(prompts, letters), store, 10, 0.5, "assistant", "claude")
+    return rounded(hits.join(store.select("vec_id", "message_id"), "vec_id"), "query_id", "rank", "message_id")
+
+
+@register(
+    "bodies_with_context",
+    f"""WITH {PROMPTS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM h WHERE distance < 0.5 AND timestamp < {AS_OF} - 120000),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM k WHERE place <= 3 AND distance >= 0.001),
+b AS (SELECT query_id, count(*)::INT AS items, '[Memory Context - ' || count(*) || CASE WHEN count(*) > 1 THEN ' relevant items]' ELSE ' relevant item]' END || chr(10) || chr(10) ||
+  string_agg(rank || '. ' || CASE WHEN platform = 'cli' THEN '📝 Terminal' ELSE '💬 Previous conversation' END || ' (' || {_date} || ')' || chr(10) || '   "' || content || '"' || chr(10) || chr(10), '' ORDER BY rank)
+  || '[End of Memory Context]' || chr(10) || chr(10) AS block FROM x GROUP BY 1)
+SELECT p.query_id, coalesce(items, 0) AS items, coalesce(block, '') || query AS sent FROM p LEFT JOIN b ON p.query_id = b.query_id""",
+)
+def bodies_with_context(spark, sf_dir):
+    """Prompts as request bodies, each with the block of its nearest messages before its text."""
+    store, prompts = _store(spark, sf_dir)
+    blocks = readpath.contexts(readpath.asked(prompts, letters), store, AS_OF, 3, 0.5, 0.001)
+    message = F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))
+    bodies = prompts.select("query_id", F.to_json(F.struct(F.array(message).alias("messages"))).alias("body"))
+    got = readpath.with_context(bodies, blocks)
+    return got.select("query_id", "items", F.get_json_object("new_body", "$.messages[0].content").alias("sent"))
+
+
+@register(
+    "free_tier",
+    f"""WITH {CHUNKS} SELECT sha256('u1' || chr(1) || conversation_id || chr(1) || turn_range) AS id, turn_range, conversation_id, platform, content, turn_count, start_timestamp, end_timestamp
+FROM c WHERE platform = 'chatgpt' AND conversation_id::BIGINT % 2 = 1""",
+)
+def free_tier(spark, sf_dir):
+    c = turns.chunks(adapters.messages(spark, sf_dir)).withColumn("user_id", F.concat(F.lit("u"), F.col("conversation_id").cast("long") % 2))
+    c = letters(c.withColumn("id", T.message_key(F.col("user_id"), F.col("conversation_id"), F.col("turn_range")))).withColumn("created_at", F.timestamp_millis("end_timestamp"))
+    return sync.free_tier(c, "u1").drop("speakers", "topics", "hypothetical_questions", "embedding", "created_at")
+
+
+@register(
+    "substring_matches",
+    f"WITH {M}, q AS (SELECT message_id AS query_id, substr(content, 4, 9) AS q FROM m WHERE seq = 1) SELECT query_id, message_id FROM q JOIN m ON length(q) >= 3 AND contains(lower(content), lower(q))",
+)
+def substring_matches(spark, sf_dir):
+    """Nine characters of each second message, sought in all messages by their rarest piece."""
+    m = adapters.messages(spark, sf_dir)
+    q = m.filter("seq = 1").select(F.col("message_id").alias("query_id"), F.substring("content", 4, 9).alias("q"))
+    return substrings.matches(m, q)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         _platform(F.col("label")).alias("source"), (F.lit(EPOCH) + F.col("vec_id") * 1000).alias("timestamp"), (F.col("label") % 2).cast("string").alias("user_id"),
         F.col("embedding"),
     )
+
+
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored arrays: files of one JSON array each, an element a row. A file is one task's."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def archive(df: DataFrame, path: str) -> None:
+    """df as files of one JSON array each, which read_store reads; a file per partition, written as its rows stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            lines = []
+            for x in b.column(0).to_pylist():
+                lines.append(before + x)
+                before = ","
+            if lines:
+                yield pa.record_batch([pa.array(lines)], names=["value"])
+        yield pa.record_batch([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
