@@ -33,8 +33,23 @@ def shared(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+#: Bytes of a batch between Spark and Python: the largest of a few batches is what each task holds on either side.
+ARROW_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """From now on texts go to Python in batches of ARROW_BYTES, or less where the session says so. By default a batch has up
+    to 10,000 texts or 64 MB, of which several stand at a time in Spark and in each worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = (conf.get(name, None) or "64m").lower().rstrip("b")
+    size = int(text.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    if size <= 0 or size > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and drop its lineage; Spark removes the files when they are no longer used."""
+    """Materialise df in the shared folder and drop its lineage. Spark removes the files when df is no longer used where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; elsewhere they stay until the folder is cleared."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -46,7 +61,17 @@ def stored(df: DataFrame) -> DataFrame:
     shared(spark)
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.stored_at = path
+    return got
+
+
+def forget(df: DataFrame | None) -> None:
+    """Remove a table of stored(), when nothing that is still to be computed reads it."""
+    path = getattr(df, "stored_at", None)
+    if path is not None:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, forget, stored
 
 #: Most rows (of two longs) that are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -96,9 +96,12 @@ def components(edges: DataFrame) -> DataFrame:
             roots, all_ids = stored(step.select("id", F.col("to").alias("component"))), 2 * n
         else:
             ends = step.select(F.col("id").alias("i2"), F.col("to").alias("to2"))
-            roots = stored(few(roots.join(mark(ends), F.col("component") == F.col("i2"), "left").select("id", F.coalesce("to2", "component").alias("component")), all_ids))
+            before, roots = roots, stored(few(roots.join(mark(ends), F.col("component") == F.col("i2"), "left").select("id", F.coalesce("to2", "component").alias("component")), all_ids))
+            forget(before)
         if done:
+            forget(e)
             return roots
         ends = mark(step.select(F.col("id").alias("i2"), F.col("to").alias("to2")))
         one = e.join(ends, e["a"] == ends["i2"], "left").select(F.coalesce("to2", "a").alias("a"), "b")
-        e = stored(contract(one.join(ends, one["b"] == ends["i2"], "left").select("a", F.coalesce("to2", "b").alias("b")), n))
+        before, e = e, stored(contract(one.join(ends, one["b"] == ends["i2"], "left").select("a", F.coalesce("to2", "b").alias("b")), n))
+        forget(before)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_A, cut, flat, mix64, planes, span_hash, spread, text_batches, unplanes
+from .common import BASE_A, cut, flat, mix64, planes, small_batches, span_hash, spread, text_batches, unplanes
 from .graph import components, sized
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -458,6 +458,7 @@ def family_links(members: DataFrame, docs: DataFrame, sizes: DataFrame, k: int,
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
     """docs(id, text) -> id, n_shingles, component_id. Sets link where den * intersection >= num * union."""
+    small_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = cut(sets(d, k))
     full = known.filter("n > 0 and id is not null")

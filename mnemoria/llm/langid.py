@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, text_batches
+from .common import flat, small_batches, text_batches
 
 #: A byte's class, 6 bits: letters without case, all other ASCII as one, bytes of other scripts by their low five bits.
 CLASS = np.zeros(256, np.int64)
@@ -73,6 +73,7 @@ class Model:
 def train(docs: DataFrame, learn: Column, most_languages: int = 512) -> Model:
     """docs(text, lang), learn: which rows to learn from. All languages are learned: GRAMS numbers each reach the driver, so
     a column with over most_languages values is refused."""
+    small_batches(docs)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +124,7 @@ def train(docs: DataFrame, learn: Column, most_languages: int = 512) -> Model:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", close: float = 0.6, least: float = 0.6, keep_text: bool = False) -> DataFrame:
     """docs(id, text) -> id, text (if it is kept), lang_pred, score (share of the best codeword's evidence, 0 to 1), runner_up, unlike (mixed or
     foreign: see above), ambiguous (unlike, or the best has less than `close` of the two best)."""
+    small_batches(docs)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # GRAMS x bits floats, whatever the input
     kind = docs.schema[id_col].dataType

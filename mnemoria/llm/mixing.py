@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, slice_rows: int = 200) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, times, taken.
+    """docs(doc_id, text, source) -> doc_id, text_hash, size, source_size, target, times, taken.
 
     times: how often the mix takes the document (complete epochs, and one more if sampled); taken = times * size.
     quality(doc_id, weight double): positive weights of documents; 1 where absent, null or not positive.
@@ -73,4 +73,4 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, shar
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["slice"] == starts["k"]))
     middle = F.col("start") + F.col("upto") - F.col("size") / 2.0
     times = F.col("epochs") + (middle <= F.col("left")).cast("long")
-    return placed.select("doc_id", "size", "source_size", F.col("target"), times.alias("times"), (F.col("size") * times).alias("taken"))
+    return placed.select("doc_id", F.col("tie").alias("text_hash"), "size", "source_size", F.col("target"), times.alias("times"), (F.col("size") * times).alias("taken"))

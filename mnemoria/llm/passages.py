@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, BASE_B, _powers, flat, mix64, planes, span_hash, spread, text_batches, unplanes
+from .common import BASE_A, BASE_B, _powers, flat, mix64, planes, small_batches, span_hash, spread, text_batches, unplanes
 
 LENGTH, Q = 35, 8
 #: Prefixes in a window, and most windows of a string.
@@ -383,6 +383,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans (maximal runs of removed words, by number), which take the place of columns of these names.
 
     parts: into which prefixes are dealt; a task holds one at a time. Four for each shuffle partition unless given."""
+    small_batches(docs)
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in docs.columns if c not in (text_col, *RESULT)]

@@ -10,8 +10,8 @@ equals the merge queue unless a merge makes an edge possible that ranks before i
 first possible edge again and again instead. Characters without a piece become the pieces of their bytes.
 
 Blanks are kept as they are; U+2581 counts as a blank, as in the library. Null and empty texts have no ids and decode to
-the empty text. Texts of any length are encoded whole; words of over LONGEST characters are merged by a heap in the
-task that finds them, as a bit mask cannot hold their cuts. Repeated rows get equal results.
+the empty text. Texts of any length are encoded whole; words of over LONGEST characters are encoded in the task that
+finds them (merged by a heap, or their best path), as a bit mask cannot hold their cuts. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, cut, flat, span_hash, spread, text_batches
+from .common import BASE_A, BASE_B, cut, flat, small_batches, span_hash, spread, text_batches
 
 BLANK = "▁"
 #: Longest word, in characters, whose cuts are held in one long.
@@ -204,6 +204,33 @@ def merge_long(word: str, rank: dict[str, tuple[int, int]], bytes_at: int) -> li
     return [x for s in sym if s is not None for x in ([rank[s][1]] if s in rank else [bytes_at + v for v in s.encode()])]
 
 
+def best_path(word: str, scores: dict[str, tuple[float, int]], longest: int, bytes_at: int) -> list[int]:
+    """The path with the largest sum of scores over one long word, as fold_viterbi takes it."""
+    best = [(0.0, 0)] + [(-1e300, 0)] * len(word)
+    for i in range(len(word)):
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            s = scores.get(word[i:j], (-1e12, 0) if j == i + 1 else None)
+            if s is not None and best[i][0] + s[0] > best[j][0]:
+                best[j] = (best[i][0] + s[0], i)
+    out, j = [], len(word)
+    while j:
+        i = best[j][1]
+        p = word[i:j]
+        out.append([scores[p][1]] if p in scores else [bytes_at + v for v in p.encode()])
+        j = i
+    return [x for ids in reversed(out) for x in ids]
+
+
+def long_words(pieces: Pieces):
+    """The encoding of words of over LONGEST characters, in the task that finds them: merges, or the best path."""
+    bytes_at = pieces.bytes_at
+    if pieces.bpe:
+        rank = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}
+        return lambda w: merge_long(w, rank, bytes_at)
+    scores, longest = {p: (s, i) for p, i, s in pieces.rows}, pieces.longest
+    return lambda w: best_path(w, scores, longest, bytes_at)
+
+
 def neighbours(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of characters stand side by side in a piece: of ASCII as a table, and all as sorted numbers."""
     pairs = {(ord(a) << 21) | ord(b) for p, _, _ in pieces.rows for a, b in zip(p.replace(BLANK, " "), p.replace(BLANK, " ")[1:])}
@@ -318,6 +345,7 @@ def _index(packed: DataFrame, pieces: int) -> tuple[np.ndarray, ...]:
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
     """docs(id, text) -> id, ids array<int>, text (if decoded: what the ids decode to, in the same pass)."""
+    small_batches(docs)
     d = docs.select(id_col, F.translate(F.coalesce("text", F.lit("")), BLANK, " ").alias("text"))
     packed = cut(_packed(encode_words(distinct_words(d, pieces), pieces)))
     if (packed.agg(F.sum(F.length("n"))).first()[0] or 0) > broadcast_words:
@@ -328,7 +356,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
         return back.select(f"row.{id_col}", "row.ids", "text")
     held = docs.sparkSession.sparkContext.broadcast(_index(packed, len(pieces.blobs)))
     beside = neighbours(pieces)
-    rank, bytes_at, kind = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, docs.schema[id_col].dataType.simpleString()
+    encode_long, kind = long_words(pieces), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, start, ids = held.value
@@ -339,7 +367,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
             at = np.minimum(np.searchsorted(a, distinct), max(len(a) - 1, 0))[inverse] if len(a) else np.zeros(len(ha), np.int64)
             known = a[at] == ha if len(a) else np.zeros(len(ha), bool)
             count = np.where(known, n[at] if len(a) else 0, 0).astype(np.int64)
-            long = {int(k): merge_long(bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK), rank, bytes_at) for k in np.flatnonzero(~known)}
+            long = {int(k): encode_long(bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)) for k in np.flatnonzero(~known)}
             for k, v in long.items():
                 count[k] = len(v)
             owner, place = spread(count)
@@ -360,7 +388,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_wo
 def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str) -> DataFrame:
     """The way for vocabularies too large to broadcast: occurrences of words joined to the encoded words by their
     hashes. Long words bring their ids with them."""
-    rank, bytes_at, beside = {p: (r, i) for p, i, _, r, _ in ranked(pieces)}, pieces.bytes_at, neighbours(pieces)
+    encode_long, beside = long_words(pieces), neighbours(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_batches(batches, "text"):
@@ -371,7 +399,7 @@ def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str)
             for k in np.flatnonzero(ends - starts > LONGEST):
                 w = bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)
                 if len(w) > LONGEST:
-                    own[k] = merge_long(w, rank, bytes_at)
+                    own[k] = encode_long(w)
             yield pa.record_batch([pa.array(np.asarray(x.column(0))[owner]), pa.array(place), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(own, pa.list_(pa.int32()))], names=["row", "k", "a", "b", "own"])
 
     rows = cut(d.withColumn("row", F.monotonically_increasing_id()))

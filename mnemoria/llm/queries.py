@@ -14,7 +14,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def held_out(mod: int, is_: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == is_
+    """Of a null id no row is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == is_, F.lit(False))
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,17 +43,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
-    return toxicity.score(docs, lexicon).withColumn("held_out", held_out(3, 1))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted", "matches", "matched_weight")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, ~held_out(4, 2))
-    return langid.predict(docs, model).withColumn("held_out", held_out(4, 2))
+    return langid.predict(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "runner_up", "unlike", "ambiguous")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    got = quality_rules.judge(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return got.select(*first, *[c for c in got.columns if c not in first])
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

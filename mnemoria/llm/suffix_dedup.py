@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, BASE_B, cut, flat, mix64, planes, span_hash, spread, text_batches, unplanes
+from .common import BASE_A, BASE_B, cut, flat, mix64, planes, small_batches, span_hash, spread, text_batches, unplanes
 from .graph import BROADCAST_ROWS
 
 LENGTH, Q = 50, 20
@@ -369,6 +369,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     characters: also leave out of `kept` what remains of characters of which a byte went, so that it is text.
     parts: into which Q-gram buckets are dealt; a task holds one at a time. Four for each shuffle partition unless
     given."""
+    small_batches(docs)
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 #: Homoglyphs: letters of other scripts (first row) and the Latin letters they look like (second row).
 LOOKS = ("аеорсхуіјѕһԁԛԝвкмнтαβεικνορτυχ", "aeopcxyijshdqwbkmhtabeiknoptux")
@@ -77,16 +77,17 @@ def _design(f: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(f)), f[:, 0] > 0, np.log1p(f[:, 0]), np.log1p(f[:, 1])])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int = 20_000, most_entries: int = 5_000, least_texts: int = 4, stem: int = 4) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int = 20_000, least_texts: int = 4, stem: int = 4) -> Lexicon:
     """docs(doc_id, text), labels(doc_id, toxic); learn_from selects labelled rows by doc_id.
 
-    most_rows bounds the sample of each label (smallest hashes of the id), most_entries the lexicon. Both bound what
-    is broadcast and what the driver sees; texts themselves stay on the executors. An entry needs least_texts toxic
+    most_rows bounds the sample of each label (smallest hashes of the id); the lexicon and the exception phrases have all
+    words of the sample that qualify. So what is broadcast and what the driver sees doesn't grow with the table; texts
+    themselves stay on the executors. An entry needs least_texts toxic
     texts and as many different words before it, so that copies of one text don't make entries."""
     picked = labels.filter(learn_from & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = picked.filter("toxic = 1").orderBy(*order).limit(most_rows).unionByName(picked.filter("toxic = 0").orderBy(*order).limit(most_rows))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("toxic", fold_column(F.col("text")).alias("t")).cache()  # at most 2 * most_rows ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", fold_column(F.col("text")).alias("t")).cache()  # at most 2 * most_rows ids
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         rows.unpersist()
@@ -96,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int
     first = F.array_distinct(F.transform(F.filter("w", lambda x: F.length(x) > stem), lambda x: F.concat(F.lit("^"), F.substring(x, 1, stem))))
     count = w.select("toxic", F.explode(F.concat(own, first)).alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (n[0] + 1.0))
-    best = count.filter(F.col("pos") >= least_texts).withColumn("o", odds).filter("o > 2.5").orderBy(F.desc(F.col("pos") * F.col("o")), "f").limit(most_entries)
+    best = count.filter(F.col("pos") >= least_texts).withColumn("o", odds).filter("o > 2.5")
     got = {r["f"]: r["o"] for r in best.collect()}
     # the words before an entry, in toxic and in other texts
     known = rows.sparkSession.createDataFrame([(k,) for k in got] or [("",)], "f string")
@@ -111,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int
     for f, o in got.items():
         if context.get(f, 0) >= least_texts * (1 if f[0] == "=" else 8):
             (lex.words if f[0] == "=" else lex.stems)[f[1:]] = float(o)
-    harmless = pair.filter("neg >= 3 and pos = 0 and before <> '' and f like '=%'").orderBy(F.desc("neg"), "f", "before").limit(most_entries).collect()
+    harmless = pair.filter("neg >= 3 and pos = 0 and before <> '' and f like '=%'").collect()
     lex.phrases = {f"{r['before']} {r['f'][1:]}": r["f"][1:] for r in harmless if r["f"][1:] in lex.words}
     held = lex
 
@@ -135,7 +136,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most_rows: int
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", at: float = 0.7) -> DataFrame:
     """docs(id, text) -> id, score, predicted, matches (number), matched_weight."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # most_entries entries
+    small_batches(docs)
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # words of a bounded sample
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,19 @@ def test_viterbi_takes_the_best_sum(spark):
         assert sum(table[names[i]] for i in r["ids"]) == pytest.approx(best(r["w"]))
 
 
+@pytest.mark.parametrize("words", [M.BROADCAST_WORDS, 0])
+def test_long_words_take_the_best_sum_too(spark, words):
+    """Words of 40 and of 80 characters under a unigram table: both take the best path, not merges."""
+    table = {"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -5.0, "ba": -5.0, "aaaa": -3.5}
+    model = M.Pieces([(p, i, s) for i, (p, s) in enumerate(table.items())], 1000, [b""] * 1300, bpe=False)
+    texts = ["ab" * 20, "ab" * 40, "a" * 39, "a" * 81, "abé" * 30]
+    got = {r["doc_id"]: list(r["ids"]) for r in M.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, broadcast_words=words).collect()}
+    assert got[0] == [0] + [1, 2] * 20 and got[1] == [0] + [1, 2] * 40
+    for i, n in ((2, 39), (3, 81)):
+        assert sum(x == 5 for x in got[i]) == n // 4 and sum(x == 1 for x in got[i]) == n % 4
+    assert got[4] == [0] + [1, 2, 1195, 1169] * 30
+
+
 def test_empty_table(docs, model):
     assert M.encode(docs.limit(0), model).count() == 0
     assert M.decode(docs.limit(0).select("doc_id", F.array().cast("array<int>").alias("ids")), model).count() == 0
