@@ -5,11 +5,11 @@ documents(doc_id, text, lang, source, n_chars) pass five stages; all but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoria.llm import jaccard, langid, mixing, pieces, queries, suffix_dedup
-from mnemoria.llm.common import cut, stored, table
+from mnemoria.llm.common import cut, forget, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least score of a verdict that corrects a given lang.
@@ -58,13 +58,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Rows that share id and text share what is taken of them, the first of
+    them what is left over."""
     got = mixing.mix(docs, queries.quality_weights(table(spark, sf_dir, "labels")))
-    times = got.groupBy("doc_id").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).select("doc_id", (F.col("times") / F.col("rows")).cast("int").alias("times"))
-    times = cut(times.filter("times <> 1"))
+    times = got.groupBy(F.col("doc_id").alias("i"), F.coalesce("text_hash", F.lit(0)).alias("h")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    times = cut(times.filter("times <> rows"))
     times = F.broadcast(times) if times.count() <= queries.BROADCAST_IDS else times
-    kept = docs.join(times, "doc_id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    return kept.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("h"))
+    kept = docs.join(times, same, "left").drop("i", "h")
+    several = F.coalesce("rows", F.lit(0)) > 1
+    alone = kept.filter(~several).withColumn("times", F.coalesce("times", F.lit(1)))
+    order = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
+    shared = kept.filter(several).withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.row_number().over(order) <= F.col("times") % F.col("rows")).cast("long"))
+    kept = alone.unionByName(shared).filter("times > 0")
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,5 +97,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     must see the same rows each time, whatever executors are lost."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
