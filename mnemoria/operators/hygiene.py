@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .chains import first_of_window
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row, wherever it is used: no filter moves its expression below it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def classify(df: DataFrame, content: str = "content") -> DataFrame:
-    return df.withColumn("categories", T.noise_categories(F.col(content)))
+    low = _once(df, "_low", F.lower(content))
+    return low.withColumn("categories", T.noise_categories(F.col(content), F.col("_low"))).drop("_low")
 
 
 def noise_report(df: DataFrame, content: str = "content") -> DataFrame:
@@ -29,7 +35,8 @@ def without_noise(df: DataFrame, content: str = "content", dry_run: bool = False
 
 
 def capture_filter(df: DataFrame, content: str = "content") -> DataFrame:
-    return df.withColumn("reject_reason", T.reject_reason(F.col(content)))
+    plain = _once(_once(df, "_t", T.trim(F.coalesce(content, F.lit("")))), "_low", F.lower("_t"))
+    return plain.withColumn("reject_reason", T.reject_reason(F.col("_t"), F.col("_low"))).drop("_t", "_low")
 
 
 def split_captures(captured: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -77,52 +77,47 @@ def claude_messages(raw: DataFrame, body: str = "body", shipped: bool = False) -
 
 
 
-def _string(json: Column, path: str) -> Column:
-    """A member's value where it is a JSON string."""
-    v = F.try_variant_get(json, path, "string")
-    return F.when(F.schema_of_variant(F.coalesce(F.try_variant_get(json, path, "variant"), F.parse_json(F.lit("null")))) == "STRING", v)
-
-
 def _full(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def chatgpt_event_text(json: Column) -> Column:
-    """The text that an event adds: the first of the known shapes that the event has."""
-    patches = F.try_variant_get(json, "$.v", "array<variant>")
-    appended = F.filter(
-        patches,
-        lambda p: (F.try_variant_get(p, "$.p", "string") == "/message/content/parts/0") & (F.try_variant_get(p, "$.o", "string") == "append") & F.try_variant_get(p, "$.v", "string").isNotNull(),
-    )
-    v = _string(json, "$.v")
-    return (
-        F.when(_full(F.try_variant_get(json, "$.choices[0].delta.content", "string")).isNotNull(), F.try_variant_get(json, "$.choices[0].delta.content", "string"))
-        .when(_full(F.try_variant_get(json, "$.message.content.parts[0]", "string")).isNotNull(), F.try_variant_get(json, "$.message.content.parts[0]", "string"))
-        .when(_string(json, "$.content").isNotNull(), _string(json, "$.content"))
-        .when(_string(json, "$.delta").isNotNull(), _string(json, "$.delta"))
-        .when(_string(json, "$.text").isNotNull(), _string(json, "$.text"))
-        .when(F.size(patches) > 0, F.array_join(F.transform(appended, lambda p: F.try_variant_get(p, "$.v", "string")), ""))
-        .when((F.coalesce(F.try_variant_get(json, "$.o", "string"), F.lit("")) != "") & (_full(v).isNotNull()), v)
-        .when(_full(F.try_variant_get(json, "$.v.message.content.parts[0]", "string")).isNotNull(), F.try_variant_get(json, "$.v.message.content.parts[0]", "string"))
-        .when(_full(_string(json, "$.v.content")).isNotNull(), _string(json, "$.v.content"))
-        .when(_full(_string(json, "$.v.text")).isNotNull(), _string(json, "$.v.text"))
+#: Members of an event that are looked at: one parse of a line has them all.
+EVENT = "struct<" + ",".join(f"{m}:variant" for m in ("choices", "message", "content", "delta", "text", "v", "o", "id", "message_id", "conversation_id", "type")) + ">"
+
+
+def chatgpt_event_text(e: Column) -> Column:
+    """The text that an event (EVENT) adds: the first of the known shapes that the event has."""
+    get = lambda member, path="$": F.try_variant_get(e[member], path, "string")
+    patches = F.try_variant_get(e["v"], "$", "array<struct<p:string,o:string,v:string>>")
+    appended = F.filter(patches, lambda p: (p["p"] == "/message/content/parts/0") & (p["o"] == "append") & p["v"].isNotNull())
+    return F.coalesce(
+        _full(get("choices", "$[0].delta.content")),
+        _full(get("message", "$.content.parts[0]")),
+        _text(e["content"]),
+        _text(e["delta"]),
+        _text(e["text"]),
+        F.when(F.size(patches) > 0, F.array_join(F.transform(appended, lambda p: p["v"]), "")),
+        F.when(F.coalesce(get("o"), F.lit("")) != "", _full(_text(e["v"]))),
+        _full(get("v", "$.message.content.parts[0]")),
+        _full(_text(F.try_variant_get(e["v"], "$.content", "variant"))),
+        _full(_text(F.try_variant_get(e["v"], "$.text", "variant"))),
     )
 
 
-def claude_event_text(json: Column) -> Column:
-    return F.when(F.try_variant_get(json, "$.type", "string") == "content_block_delta", F.try_variant_get(json, "$.delta.text", "string"))
+def claude_event_text(e: Column) -> Column:
+    return F.when(F.try_variant_get(e["type"], "$", "string") == "content_block_delta", F.try_variant_get(e["delta"], "$.text", "string"))
 
 
 def events(lines: DataFrame, platform: str = "chatgpt") -> DataFrame:
-    """lines(response_id, seq, line, ...) -> + text, event_id of each data line that is JSON."""
+    """lines(response_id, seq, line, ...) -> + text, event_id of each data line that is a JSON object with a known member."""
     data = F.when(F.col("line").startswith("data: "), F.trim(F.substring(F.col("line"), F.lit(7), F.length("line"))))
     rows = lines.withColumn("_d", data).filter((F.coalesce("_d", F.lit("")) != "") & ~F.col("_d").isin("[DONE]", '""'))
-    rows = rows.withColumn("_j", F.try_parse_json("_d")).filter(F.col("_j").isNotNull())
-    get = lambda path: _full(F.try_variant_get(F.col("_j"), path, "string"))
+    rows = rows.withColumn("_j", F.from_json("_d", EVENT))
+    get = lambda member, path="$": _full(F.try_variant_get(F.col("_j")[member], path, "string"))
     if platform == "claude":
-        rows = rows.withColumn("text", claude_event_text(F.col("_j"))).withColumn("event_id", get("$.message.id"))
+        rows = rows.withColumn("text", claude_event_text(F.col("_j"))).withColumn("event_id", get("message", "$.id"))
     else:
-        rows = rows.withColumn("text", chatgpt_event_text(F.col("_j"))).withColumn("event_id", F.coalesce(get("$.id"), get("$.message_id"), get("$.conversation_id")))
+        rows = rows.withColumn("text", chatgpt_event_text(F.col("_j"))).withColumn("event_id", F.coalesce(get("id"), get("message_id"), get("conversation_id")))
     return rows.drop("_d", "_j")
 
 
