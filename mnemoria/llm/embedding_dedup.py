@@ -10,7 +10,7 @@ more is compared in tiles of TILE by TILE.
 A vector always keeps its `least` best filters, also where none exceeds the bound. The larger the code, the fewer filters a
 pair shares, so one code is not enough: pairs at the threshold are planted and the share that has no filter in common is
 measured, and as many codes, each in a rotation of its own, are used as make the product of the shares less than `miss`.
-At cosine 0.95 and 64 components these are two codes for 50,000 vectors, three for 20 million and five for a thousand
+At cosine 0.95 and 64 components these are two codes for 50,000 vectors, four for 20 million and five for a thousand
 million; pairs at higher cosines are missed less. Vectors are assigned once, and travel to filters that have others.
 
 Equal vectors are one class with a weight. Pairs are counted in the first filter that they share, tile by tile, and each
