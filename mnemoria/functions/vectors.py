@@ -20,5 +20,6 @@ def cosine_distance(a: Column, b: Column, a_norm: Column | None = None, b_norm:
 
 
 def parse(embedding: Column) -> Column:
-    """A vector that arrives as JSON text."""
-    return F.from_json(embedding, "array<float>")
+    """A vector that arrives as JSON text; null where it is none, or a component is no number."""
+    v = F.from_json(embedding, "array<double>")
+    return F.when(~F.exists(v, lambda x: x.isNull()), v)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import parse
+
 ROLES = ("user", "assistant", "system")
 PLATFORMS = ("chatgpt", "claude", "cli")
 
@@ -24,6 +26,21 @@ def contract(df: DataFrame, expected: T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, expected string, found string, ok boolean")
 
 
+def against_contract(expected: list[str], found: DataFrame) -> DataFrame:
+    """The rules that a table must have, with what check() found for them; a rule that no row was checked for fails."""
+    rules = found.sparkSession.createDataFrame([(x,) for x in expected], "rule string")
+    got = rules.join(found, "rule", "left")
+    zero = F.lit(0).cast("long")
+    return got.select("rule", F.coalesce("checked", zero).alias("checked"), F.coalesce("failed", zero).alias("failed"), F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+def chunk_rules() -> dict[str, Column]:
+    return {
+        "turn_count_positive": F.col("turn_count") > 0, "times_in_order": F.col("end_timestamp") >= F.col("start_timestamp"), "platform_allowed": F.col("platform").isin(*PLATFORMS),
+        "content_present": filled("content"), "speakers_allowed": F.forall("speakers", lambda s: s.isin(*ROLES)), "turn_range_form": F.col("turn_range").rlike(r"^\d+-\d+\z"),
+    }
+
+
 def filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
 
@@ -67,6 +84,8 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def embedding_coverage(df: DataFrame, dim: int) -> DataFrame:
+    e = parse(F.col("embedding")) if dict(df.dtypes)["embedding"] == "string" else F.col("embedding")
+    df = df.select(e.alias("embedding"))
     e = F.col("embedding")
     got = df.agg(F.count("*").alias("total"), F.count(e).alias("present"), F.count_if(F.coalesce(F.size(e) == dim, F.lit(False)) & e.isNotNull()).alias("right_size"))
     return got.withColumn("percent", F.round(F.try_divide(F.col("right_size") * 100.0, F.col("total")), 1))

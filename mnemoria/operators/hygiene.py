@@ -34,9 +34,10 @@ def without_noise(df: DataFrame, content: str = "content", dry_run: bool = False
     return c.filter(F.size("categories") > 0 if dry_run else F.size("categories") == 0).drop("categories")
 
 
-def capture_filter(df: DataFrame, content: str = "content") -> DataFrame:
+def capture_filter(df: DataFrame, content: str = "content", in_message: str | None = None, in_code: str | None = None) -> DataFrame:
+    """Adds reject_reason; in_message, in_code: boolean columns about the element that a text is from."""
     plain = _once(_once(df, "_t", T.trim(F.coalesce(content, F.lit("")))), "_low", F.lower("_t"))
-    return plain.withColumn("reject_reason", T.reject_reason(F.col("_t"), F.col("_low"))).drop("_t", "_low")
+    return plain.withColumn("reject_reason", T.reject_reason(F.col("_t"), F.col("_low"), *[None if x is None else F.col(x) for x in (in_message, in_code)])).drop("_t", "_low")
 
 
 def split_captures(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,3 +51,9 @@ def split_captures(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_last(errors: DataFrame, n: int = 100, by: str = "timestamp") -> DataFrame:
     """The newest rows; ties by all other columns."""
     return errors.orderBy(F.desc(by), *[c for c in errors.columns if c != by]).limit(n)
+
+
+def first_captures(df: DataFrame, seconds: float = 5, content: str = "content", ts: str = "timestamp", tie: str = "message_id") -> DataFrame:
+    """Captures without those whose first 100 characters were captured within `seconds` before."""
+    keyed = df.withColumn("_content_key", T.content_key(F.col(content)))
+    return first_of_window(keyed, ["_content_key"], ts, seconds, tie).drop("_content_key")

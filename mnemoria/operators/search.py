@@ -47,6 +47,22 @@ def search_chunks(corpus: DataFrame, query: DataFrame, user_id: str, platform: s
     return hits.withColumn("similarity", 1.0 - F.col("distance"))
 
 
+MESSAGE_HIT = ["id", "content", "role", "conversation_id", "model", "msg_timestamp", "message_id", "source", "created_at", "synced_at", "distance"]
+RECENT_HIT = ["id", "content", "msg_timestamp", "source", "distance"]
+CHUNK_HIT = ["id", "turn_range", "conversation_id", "content", "topics", "similarity"]
+
+
+def projected(hits: DataFrame, form: list[str]) -> DataFrame:
+    """Hits in one of the forms in which they are given out: of messages, of messages without the latest, of chunks."""
+    h = hits.withColumnRenamed("timestamp", "msg_timestamp") if "msg_timestamp" in form and "msg_timestamp" not in hits.columns else hits
+    return (h.withColumn("similarity", 1.0 - F.col("distance")) if "similarity" in form and "similarity" not in h.columns else h).select(*form)
+
+
+def in_conversation(hits: DataFrame, conversation_id: str) -> DataFrame:
+    """Of the hits, after the cut, those of one conversation."""
+    return hits.filter(F.col("conversation_id") == conversation_id)
+
+
 def post_filtered_batch(corpus: DataFrame, queries: DataFrame, where: Column, k: int = 5, threshold: float | None = 0.5, limit: int | None = None) -> DataFrame:
     """The filter after the cut, for each query: of the k nearest, those that pass (at most `limit`), ranked anew."""
     best = nearest_batch(corpus, queries, k, threshold, exclude_self=False).drop("rank")

@@ -63,6 +63,21 @@ def without_ids(messages: DataFrame, key: str = "message_id") -> DataFrame:
     return messages.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.col(key), F.lit("")) == "").alias("without_id"))
 
 
+def update_counts(chunks: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+    """One row of updates by key: updated (their key is stored), unknown (it isn't), without_id."""
+    u = updates.select(F.col(key).alias("_k"))
+    known = u.join(chunks.select(F.col(key).alias("_k")).distinct(), "_k", "left_semi").agg(F.count("*").alias("updated"))
+    missing = F.coalesce(F.col("_k").cast("string"), F.lit("")) == ""
+    all_of = u.agg(F.count("*").alias("n"), F.count_if(missing).alias("without_id"))
+    return all_of.join(F.broadcast(known)).select("updated", (F.col("n") - F.col("without_id") - F.col("updated")).alias("unknown"), "without_id")  # one row each
+
+
+def synced_ids(before: DataFrame, now: DataFrame, at_ms: int) -> DataFrame:
+    """message_id, synced_at: the ids that were synchronised, with those of now; an id that is synchronised again is there
+    as often."""
+    return before.select("message_id", "synced_at").unionByName(now.select("message_id", F.lit(at_ms).cast("long").alias("synced_at")))
+
+
 def set_questions(chunks: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """New questions where there are any, else the old ones."""
     u = updates.select(key, F.col("hypothetical_questions").alias("_q"))

@@ -5,7 +5,7 @@ QUERIES[name](spark, sf_dir) is a DataFrame; ORACLE[name] is SQL over the tables
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -257,7 +257,7 @@ def platform_counts(spark, sf_dir):
 WORDS = ["the", "of", "and", "that", "der", "und", "que", "les"]
 
 
-def _topics_sql(text: str, words: list[str]) -> str:
+def _topics_sql(text: str, words: list[str] | tuple[str, ...]) -> str:
     found = [f"regexp_extract_all({text}, '(?i)\\b({p})\\b', 1)" for p in (P.LANGUAGES, "|".join(words))]
     return f"list_transform(list_concat({found[0]}, {found[1]}), lambda x: lower(x))"
 
@@ -291,7 +291,7 @@ def topic_histogram(spark, sf_dir):
     return turns.topic_counts(d.select(T.topics(F.col("text"), WORDS).alias("topics")))
 
 
-@register("default_topics", f"WITH a AS (SELECT message_id, {_topics_sql('content', [t.replace('_', ' ') for t in P.TECH_TERMS])} AS f FROM (WITH {M} SELECT * FROM m)) SELECT message_id, array_to_string({_first_seen('f')}, ',') AS topics FROM a")
+@register("default_topics", f"WITH a AS (SELECT message_id, {_topics_sql('content', P.TECH_TERMS)} AS f FROM (WITH {M} SELECT * FROM m)) SELECT message_id, array_to_string({_first_seen('f')}, ',') AS topics FROM a")
 def default_topics(spark, sf_dir):
     return adapters.messages(spark, sf_dir).select("message_id", F.array_join(T.topics(F.col("content")), ",").alias("topics"))
 
@@ -441,7 +441,7 @@ def dq_order(spark, sf_dir):
     return audits.out_of_order(m).select("message_id", "timestamp", "previous")
 
 
-@register("dq_conversations", f"WITH {M} SELECT round(count(*) FILTER (coalesce(conversation_id, '') NOT IN ('', 'unknown'))::DOUBLE / count(*), 6) AS share, true AS passed FROM m")
+@register("dq_conversations", f"WITH {M} SELECT round(count(*) FILTER (coalesce(conversation_id, '') NOT IN ('', 'unknown'))::DOUBLE / count(*), 6) AS share, count(*) FILTER (coalesce(conversation_id, '') NOT IN ('', 'unknown')) * 10 >= count(*) * 8 AS passed FROM m")
 def dq_conversations(spark, sf_dir):
     return audits.known_conversations(adapters.messages(spark, sf_dir))
 
@@ -495,7 +495,8 @@ def batch_totals(spark, sf_dir):
 @register(
     "question_prompts",
     f"""WITH {CHUNKS} SELECT conversation_id, chunk_idx, 'Write 3 questions to which the conversation below would be a good answer.' || chr(10) || chr(10) || 'Conversation:' || chr(10) ||
-  CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10) || chr(10) || {quote(P.QUESTION_RULES.format(k=3))} AS prompt FROM c""",
+  CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10) || chr(10) ||
+  'Ask for the problem, for its remedy, for messages that were shown and for the ideas behind it, each in the words of' || chr(10) || 'somebody who searches. Between five and fifteen words each, one a line, numbered from 1 to 3.' AS prompt FROM c""",
 )
 def question_prompts(spark, sf_dir):
     c = turns.chunks(adapters.messages(spark, sf_dir))
@@ -770,3 +771,202 @@ def substring_matches(spark, sf_dir):
     m = adapters.messages(spark, sf_dir)
     q = m.filter("seq = 1").select(F.col("message_id").alias("query_id"), F.substring("content", 4, 9).alias("q"))
     return substrings.matches(m, q)
+
+
+# -- what captures, chunks and audits need beside ------------------------------------------------------------------------------
+
+
+@register("url_platforms", f"WITH {M}, u AS (SELECT message_id, CASE seq % 4 WHEN 0 THEN 'https://chatgpt.com/c/' WHEN 1 THEN 'https://chat.openai.com/c/' WHEN 2 THEN 'https://claude.ai/chat/' ELSE 'https://example.org/' END || conversation_id AS url FROM m) SELECT message_id, CASE WHEN contains(url, 'chatgpt.com') OR contains(url, 'chat.openai.com') THEN 'chatgpt' WHEN contains(url, 'claude.ai') THEN 'claude' END AS platform FROM u")
+def url_platforms(spark, sf_dir):
+    hosts = F.element_at(F.array(*[F.lit(f"https://{h}/") for h in ("chatgpt.com/c", "chat.openai.com/c", "claude.ai/chat", "example.org")]), (F.col("seq") % 4 + 1).cast("int"))
+    return adapters.messages(spark, sf_dir).select("message_id", capture.platform_of(F.concat(hosts, "conversation_id")).alias("platform"))
+
+
+@register("claude_sse", f"WITH {M} SELECT message_id, regexp_replace(content, '^\\s+|\\s+\\z', '', 'g') AS content, 'claude' AS platform FROM m WHERE role = 'assistant'")
+def claude_sse(spark, sf_dir):
+    """Answers as the other platform streams them: a start event with the id, a delta a word, and other events."""
+    m = adapters.messages(spark, sf_dir).filter("role = 'assistant'")
+    start = m.select(F.col("message_id").alias("response_id"), F.lit(-1).cast("long").alias("seq"), F.to_json(F.struct(F.lit("message_start").alias("type"), F.struct(F.col("message_id").alias("id")).alias("message"))).alias("j"))
+    w = m.select("message_id", F.posexplode(F.split("content", "(?<= )")).alias("k", "w"))
+    delta = F.to_json(F.struct(F.when(F.col("k") % 50 == 49, "ping").otherwise("content_block_delta").alias("type"), F.struct(F.col("w").alias("text")).alias("delta")))
+    # a ping carries no text: the word comes again behind it
+    again = w.filter("k % 50 = 49").select(F.col("message_id").alias("response_id"), (F.col("k") * 2 + 1).cast("long").alias("seq"), F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.col("w").alias("text")).alias("delta"))).alias("j"))
+    words = w.select(F.col("message_id").alias("response_id"), (F.col("k") * 2).cast("long").alias("seq"), delta.alias("j"))
+    lines = start.unionByName(words).unionByName(again).select("response_id", "seq", F.concat(F.lit("data: "), "j").alias("line"))
+    return capture.assemble_responses(lines, "claude").select("message_id", "content", "platform")
+
+
+@register(
+    "cli_notes",
+    """WITH n AS (SELECT doc_id, trim(left(coalesce(text, ''), doc_id % 5), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS d, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS b FROM documents),
+t AS (SELECT doc_id, CASE WHEN d <> '' AND b <> '' THEN d || chr(10) || chr(10) || b ELSE d || b END AS t FROM n) SELECT doc_id AS timestamp, left(t, 8000) AS content, 'user' AS role, 'cli' AS model FROM t WHERE length(t) >= 3""",
+)
+def cli_notes(spark, sf_dir):
+    d = adapters.read(spark, sf_dir, "documents")
+    short = F.when(F.col("doc_id") % 5 > 0, F.substr(F.col("text"), F.lit(1), (F.col("doc_id") % 5).cast("int")))
+    notes = d.select(short.alias("description"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("body"), F.col("doc_id").alias("timestamp"))
+    return capture.cli_notes(notes).select("timestamp", "content", "role", "model")
+
+
+@register("point_reads", f"WITH {V} SELECT message_id, list_sum(e) AS total FROM v WHERE vec_id % 7 = 3")
+def point_reads(spark, sf_dir):
+    v = adapters.vectors(spark, sf_dir).withColumn("content", F.lit("x"))
+    got = capture.by_ids(v, v.filter("vec_id % 7 = 3").select("message_id"))
+    return got.select("message_id", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register("platform_distribution", f"WITH {M} SELECT CASE WHEN seq % 3 = 1 OR platform = '' THEN 'unknown' ELSE platform END AS platform, count(*) AS n FROM m GROUP BY 1")
+def platform_distribution(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir).withColumn("platform", F.when(F.col("seq") % 3 == 1, None).otherwise(F.col("platform")))
+    return stats.counts(m, "platform", "unknown")
+
+
+QUESTIONS = f"""{M}, q AS (SELECT message_id, content, CASE WHEN seq % 3 = 0 THEN [] ELSE list_transform(string_split(left(content, 200), '. ')[1:4], lambda x: trim(x)) END AS q FROM m)"""
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    """Messages as chunks, whose first sentences stand for questions."""
+    m = adapters.messages(spark, sf_dir)
+    first = F.transform(F.slice(F.split(F.substring("content", 1, 200), r"\. "), 1, 4), lambda x: F.trim(x))
+    return m.withColumn("hypothetical_questions", F.when(F.col("seq") % 3 == 0, F.array().cast("array<string>")).otherwise(first)).withColumn("topics", F.array(F.lit("The"), F.lit("que")))
+
+
+@register("question_totals", f"WITH {QUESTIONS} SELECT count(*) AS processed, sum(len(q))::BIGINT AS questions, count(*) FILTER (len(q) = 0) AS failed FROM q")
+def question_totals(spark, sf_dir):
+    return enrich.question_totals(_questions(spark, sf_dir))
+
+
+@register(
+    "dq_questions",
+    f"""WITH {QUESTIONS}, s AS (SELECT message_id, q, len(list_filter(q, lambda x: contains(lower(x), 'the') OR contains(lower(x), 'que'))) / nullif(len(q), 0)::DOUBLE AS topic_share,
+  len(list_distinct(list_transform(q, lambda x: lower(string_split(x, ' ')[1])))) / nullif(len(q), 0)::DOUBLE AS variety, len(list_filter(q, lambda x: len(string_split_regex(trim(x), '\\s+')) NOT BETWEEN 3 AND 30)) = 0 AS lengths_ok FROM q)
+SELECT message_id, round(topic_share, 6) AS topic_share, round(variety, 6) AS variety, coalesce(topic_share >= 0.5 AND variety >= 0.6 AND lengths_ok, false) AS passed FROM s""",
+)
+def dq_questions(spark, sf_dir):
+    got = audits.question_quality(_questions(spark, sf_dir))
+    return got.select("message_id", F.round("topic_share", 6).alias("topic_share"), F.round("variety", 6).alias("variety"), "passed")
+
+
+@register(
+    "dq_rewrites",
+    f"WITH {M} SELECT message_id, contains(lower(content), 'the') AND len(list_filter(string_split_regex(lower(content), '[^0-9A-Za-z_]+'), lambda w: w IN ('that', 'thing', 'um', 'like'))) = 0 AS passed FROM m",
+)
+def dq_rewrites(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", audits.rewrite_quality(F.col("content"), F.array(F.lit("The"))).alias("passed"))
+
+
+@register("dq_ranking", f"""WITH {V}, q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0), r AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(e, qe), 6) AS distance FROM q JOIN v ON vec_id <> query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM r WHERE vec_id % 25 = 1), p AS (SELECT *, lag(distance) OVER (PARTITION BY query_id ORDER BY rank) AS previous FROM k)
+SELECT query_id, rank::INT AS rank, distance, previous FROM p WHERE distance < previous""")
+def dq_ranking(spark, sf_dir):
+    """Hits that are ranked by id, not by distance: which of them are out of order."""
+    v = adapters.vectors(spark, sf_dir)
+    hits = search.nearest_batch(v.filter("vec_id % 25 = 1"), _set(v), 1_000_000)
+    order = Window.partitionBy("query_id").orderBy("vec_id")
+    hits = hits.withColumn("rank", F.row_number().over(order)).withColumn("distance", F.round("distance", 6))
+    return audits.not_ascending(hits).select("query_id", "rank", "distance", "previous")
+
+
+@register(
+    "dq_chunks",
+    f"""WITH {CHUNKS}, f AS (SELECT count(*) AS n, [count(*) FILTER (NOT turn_count > 0), count(*) FILTER (NOT end_timestamp >= start_timestamp), count(*) FILTER (platform NOT IN ('chatgpt', 'claude', 'cli')), count(*) FILTER (content = ''), 0,
+  count(*) FILTER (NOT regexp_matches(turn_range, '^\\d+-\\d+$'))] AS x FROM c), r AS (SELECT n, unnest(['turn_count_positive', 'times_in_order', 'platform_allowed', 'content_present', 'speakers_allowed', 'turn_range_form']) AS rule, unnest(x) AS failed FROM f)
+SELECT rule, n AS checked, failed, failed = 0 AS passed FROM r UNION ALL SELECT 'embedding_size', 0, 0, false""",
+)
+def dq_chunks(spark, sf_dir):
+    found = audits.check(turns.chunks(adapters.messages(spark, sf_dir)), audits.chunk_rules())
+    return audits.against_contract([*audits.chunk_rules(), "embedding_size"], found)
+
+
+@register("dq_embedding_texts", f"WITH {V} SELECT count(*) AS total, count(*) FILTER (vec_id % 9 <> 0 AND vec_id % 9 <> 1) AS present, count(*) FILTER (vec_id % 9 > 2 AND len(e) = 64) AS right_size, round(count(*) FILTER (vec_id % 9 > 2 AND len(e) = 64) * 100.0::DOUBLE / count(*), 1) AS percent FROM v")
+def dq_embedding_texts(spark, sf_dir):
+    """Vectors that arrive as text, of which some are no vectors or have another length."""
+    v = adapters.vectors(spark, sf_dir)
+    k, text = F.col("vec_id") % 9, F.to_json("embedding")
+    return audits.embedding_coverage(v.select(F.when(k == 0, "[1, oops").when(k == 1, "[1, null]").when(k == 2, "[1, 2.5]").otherwise(text).alias("embedding")), 64)
+
+
+@register(
+    "rewrite_prompts",
+    f"""WITH {M} SELECT message_id, 'Make a precise search of this question:' || chr(10) || '"' || content || '"' || chr(10) || chr(10) || CASE WHEN seq % 2 = 0 THEN 'Lately discussed: rls, api' || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN seq % 3 = 0 THEN 'Background: ' || platform || chr(10) || chr(10) ELSE '' END || 'Keep what the user is after, name the technical terms that the topics suggest, and leave out words that' || chr(10) ||
+  'carry no meaning. Answer with at most ten search words and nothing besides them.' AS prompt FROM m""",
+)
+def rewrite_prompts(spark, sf_dir):
+    topics = F.when(F.col("seq") % 2 == 0, F.array(F.lit("rls"), F.lit("api"))).otherwise(F.array().cast("array<string>"))
+    m = adapters.messages(spark, sf_dir)
+    return m.select("message_id", T.rewrite_prompt(F.col("content"), topics, F.when(F.col("seq") % 3 == 0, F.col("platform"))).alias("prompt"))
+
+
+@register(
+    "inferred_roles",
+    f"""WITH {M}, r AS (SELECT message_id, CASE WHEN seq % 5 = 0 THEN 'The ' || role || ' turn' END AS aria, CASE WHEN seq % 3 = 0 THEN role END AS author, CASE WHEN seq % 2 = 0 THEN 'You said: ' ELSE 'ChatGPT said: ' END || content AS t FROM m)
+SELECT message_id, CASE WHEN contains(lower(aria), 'user') THEN 'user' WHEN contains(lower(aria), 'assistant') THEN 'assistant' WHEN author <> '' THEN CASE WHEN author = 'user' THEN 'user' ELSE 'assistant' END
+  WHEN starts_with(t, 'You said:') THEN 'user' ELSE 'assistant' END AS role FROM r""",
+)
+def inferred_roles(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir)
+    t = F.concat(F.when(F.col("seq") % 2 == 0, "You said: ").otherwise("ChatGPT said: "), "content")
+    return m.select("message_id", T.infer_role(t, F.when(F.col("seq") % 5 == 0, F.concat(F.lit("The "), "role", F.lit(" turn"))), F.when(F.col("seq") % 3 == 0, F.col("role"))).alias("role"))
+
+
+@register("message_previews", f"WITH {M} SELECT message_id, replace(left(content, 150), chr(10), ' ') AS preview FROM m")
+def message_previews(spark, sf_dir):
+    return adapters.messages(spark, sf_dir).select("message_id", T.preview(F.col("content"), 150).alias("preview"))
+
+
+@register(
+    "first_captures",
+    """WITH RECURSIVE k AS (SELECT doc_id, left(text, 100) AS key, doc_id * 700 AS t FROM documents), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, doc_id) AS n FROM k),
+r AS (SELECT *, t AS kept_at, true AS kept FROM e WHERE n = 1 UNION ALL SELECT e.*, CASE WHEN e.t - r.kept_at > 60000 THEN e.t ELSE r.kept_at END, e.t - r.kept_at > 60000 FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) SELECT doc_id FROM r WHERE kept""",
+)
+def first_captures(spark, sf_dir):
+    """Documents captured 0.7 seconds apart, without repeats within a minute."""
+    d = adapters.read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") * 700).alias("ts"))
+    return hygiene.first_captures(d, 60, "text", "ts", "doc_id").select("doc_id")
+
+
+@register("elements_filter", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'no_message' WHEN doc_id % 6 = 2 THEN 'in_code' ELSE 'other' END AS reason FROM documents")
+def elements_filter(spark, sf_dir):
+    """Reasons for which the element that a text is from decides."""
+    d = adapters.read(spark, sf_dir, "documents").withColumn("m", F.when(F.col("doc_id") % 8 > 3, F.col("doc_id") % 4 != 1).otherwise(F.when(F.col("doc_id") % 4 == 1, False))).withColumn("c", F.col("doc_id") % 6 == 2)
+    got = hygiene.capture_filter(d, "text", "m", "c")
+    return got.select("doc_id", F.when(F.col("reject_reason").isin("no_message", "in_code"), F.col("reject_reason")).otherwise("other").alias("reason"))
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    v = adapters.vectors(spark, sf_dir)
+    at = F.timestamp_millis("timestamp")
+    return v.select("vec_id", F.concat(F.lit("i"), "message_id").alias("id"), F.concat(F.lit("text "), "message_id").alias("content"), "role", (F.col("vec_id") % 4).cast("string").alias("conversation_id"), F.lit("m1").alias("model"), "timestamp", "message_id", "source", at.alias("created_at"), at.alias("synced_at"), "embedding")
+
+
+@register(
+    "message_hits",
+    f"WITH {D} SELECT 'i' || message_id AS id, 'text ' || message_id AS content, role, (vec_id % 4)::VARCHAR AS conversation_id, 'm1' AS model, timestamp AS msg_timestamp, message_id, source, epoch_us(make_timestamp(timestamp * 1000)) AS created_us, round(distance, 6) AS distance FROM d WHERE distance < 0.9 ORDER BY d.distance, message_id LIMIT 8",
+)
+def message_hits(spark, sf_dir):
+    """All columns of a hit; times as numbers."""
+    s = _stored(spark, sf_dir)
+    hits = search.projected(search.nearest(s, _query(s), 8, 0.9), search.MESSAGE_HIT)
+    return rounded(hits.withColumn("created_us", F.unix_micros("created_at")), "id", "content", "role", "conversation_id", "model", "msg_timestamp", "message_id", "source", "created_us")
+
+
+@register("conversation_hits", f"WITH {D}, k AS (SELECT * FROM d WHERE distance < 0.9 ORDER BY distance, message_id LIMIT 30) SELECT 'i' || message_id AS id, 'text ' || message_id AS content, timestamp AS msg_timestamp, source, round(distance, 6) AS distance FROM k WHERE vec_id % 4 = 1")
+def conversation_hits(spark, sf_dir):
+    s = _stored(spark, sf_dir)
+    hits = search.in_conversation(search.nearest(s, _query(s), 30, 0.9), "1")
+    return rounded(search.projected(hits, search.RECENT_HIT), "id", "content", "msg_timestamp", "source")
+
+
+@register("synced_ids", f"WITH {M} SELECT message_id, timestamp AS synced_at FROM m WHERE seq % 2 = 0 UNION ALL SELECT message_id, 5 FROM m WHERE seq < 3")
+def synced_ids(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir)
+    return sync.synced_ids(m.filter("seq % 2 = 0").withColumn("synced_at", F.col("timestamp")), m.filter("seq < 3"), 5)
+
+
+@register("question_updates", f"WITH {M}, u AS (SELECT CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'x' || message_id ELSE message_id END AS id FROM m) SELECT count(*) FILTER (id IN (SELECT message_id FROM m)) AS updated, count(*) FILTER (id LIKE 'x%') AS unknown, count(*) FILTER (coalesce(id, '') = '') AS without_id FROM u")
+def question_updates(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir)
+    k = F.col("seq") % 4
+    u = m.select(F.when(k == 0, None).when(k == 1, "").when(k == 2, F.concat(F.lit("x"), "message_id")).otherwise(F.col("message_id")).alias("id"))
+    return sync.update_counts(m.withColumnRenamed("message_id", "id"), u)
