@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 #: Pre-tokens per leaf.
 LEAF = 32
@@ -73,6 +73,13 @@ class Tree:
             x = self.levels[-1]
             self.levels.append([(x[i][0] + x[i + 1][0], x[i][1] + x[i + 1][1]) if i + 1 < len(x) else x[i] for i in range(0, len(x), 2)])
 
+    @classmethod
+    def of(cls, levels: list[list[tuple[int, int]]]) -> Tree:
+        """A kept tree."""
+        tree = cls.__new__(cls)
+        tree.levels = levels
+        return tree
+
     @property
     def total(self) -> tuple[int, int]:
         return self.levels[-1][0]
@@ -150,26 +157,50 @@ def apply_edit(text: str, tree: Tree, at: int, remove: int, insert: str, tok: To
     return new, len(part)
 
 
-def count_edits(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """docs(id, text, edits array<struct<at int, remove int, insert string>>) -> id, tokens_before, tokens_after,
-    n_leaves, reencoded_chars, chars_after, sums (the tree's levels from the root down to its leaves, tokens)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+TREE = "array<array<struct<chars:long,tokens:long>>>"
+NODE = pa.struct([("chars", pa.int64()), ("tokens", pa.int64())])
+
+
+def _run(file: str, pattern: str, id_col: str):
+    """id, text, edits, tree (null: made from the text) -> id, text, tokens_before, tokens_after, n_leaves, reencoded_chars,
+    chars_after, tree. Null texts stay null where they have no edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = read_tokenizer(file, pattern)
         for x in text_batches(batches, "text"):
             out = []
-            for text, edits in zip(x.column(1).to_pylist(), x.column(2).to_pylist()):
-                text = text or ""
-                tree = Tree(tok.leaves(text))
+            for given, edits, kept in zip(*[x.column(c).to_pylist() for c in (1, 2, 3)]):
+                text, edits = given or "", [e for e in edits or [] if e is not None]
+                tree = Tree(tok.leaves(text)) if kept is None else Tree.of([[(n["chars"], n["tokens"]) for n in level] for level in kept])
                 before, again = tree.total[1], 0
-                for e in edits or []:
-                    if e is not None:
-                        text, n = apply_edit(text, tree, e["at"] or 0, e["remove"] or 0, e["insert"] or "", tok)
-                        again += n
-                out.append((before, tree.total[1], len(tree.levels[0]), again, tree.total[0], [[t for _, t in level] for level in tree.levels[::-1]]))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.list_(pa.int64()))]
-            yield pa.record_batch([x.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=[id_col, "tokens_before", "tokens_after", "n_leaves", "reencoded_chars", "chars_after", "sums"])
-
-    d = docs.select(id_col, "text", "edits")
-    return d.mapInArrow(run, f"{id_col} {kind}, tokens_before long, tokens_after long, n_leaves long, reencoded_chars long, chars_after long, sums array<array<long>>")
+                for e in edits:
+                    text, n = apply_edit(text, tree, e["at"] or 0, e["remove"] or 0, e["insert"] or "", tok)
+                    again += n
+                levels = [[{"chars": c, "tokens": t} for c, t in level] for level in tree.levels]
+                out.append((text if edits else given, before, tree.total[1], len(tree.levels[0]), again, tree.total[0], levels))
+            kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.list_(NODE))]
+            yield pa.record_batch([x.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=[id_col, "text", *COUNTS, "tree"])
+
+    return run
+
+
+COUNTS = ["tokens_before", "tokens_after", "n_leaves", "reencoded_chars", "chars_after"]
+
+
+def keep_trees(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """docs(id, text[, edits][, tree]) -> id, text (edited), the counts, tree (levels from the leaves up, with characters and
+    tokens). To be stored: with the next edits beside it, the result is the next call's input, which encodes what they touch
+    and nothing else. A text without a tree is encoded whole, once; a tree must be of its text."""
+    small_batches(docs)
+    kind = docs.schema[id_col].dataType.simpleString()
+    none = {"edits": "array<struct<at:int,remove:int,insert:string>>", "tree": TREE}
+    cols = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
+    longs = ", ".join(f"{c} long" for c in COUNTS)
+    return docs.select(id_col, "text", *cols).mapInArrow(_run(file, pattern, id_col), f"{id_col} {kind}, text string, {longs}, tree {TREE}")
+
+
+def count_edits(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """docs(id, text, edits array<struct<at int, remove int, insert string>>) -> id, tokens_before, tokens_after,
+    n_leaves, reencoded_chars, chars_after, sums (the tree's levels from the root down to its leaves, tokens)."""
+    got = keep_trees(docs.select(id_col, "text", "edits"), file, pattern, id_col)
+    return got.select(id_col, *COUNTS, F.transform(F.reverse("tree"), lambda level: F.transform(level, lambda n: n["tokens"])).alias("sums"))

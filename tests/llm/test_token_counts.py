@@ -52,3 +52,26 @@ def test_frame(spark, tok):
     edited = "hello there " + "hello world " * 49
     assert got == [(1, whole(tok, edited), len(edited))] * 2 + [(2, 0, 0), (3, whole(tok, "new"), 3)]
     assert T.count_edits(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_kept_trees_are_fed_back(spark, tok):
+    """Three calls: the first encodes, the others encode what is touched; equal to encoding the last text anew."""
+    file, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(3)
+    texts = {i: " ".join(rng.choice(["plain", "words", "it's", "12", "naïve", "日本"]) for _ in range(4000)) for i in range(4)} | {9: None, 10: ""}
+    first = T.keep_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), file, P.PATTERN).cache()
+    assert {r["doc_id"]: r["tokens_after"] for r in first.collect()} == {i: whole(tok, t or "") for i, t in texts.items()}
+    kept = first
+    for k in range(2):
+        edits = [(i, [(rng.randint(0, 9000), rng.randint(0, 20), f" new {k} text ")]) for i in (0, 2, 10)]
+        e = spark.createDataFrame(edits, "doc_id long, edits array<struct<at int, remove int, insert string>>")
+        kept = T.keep_trees(kept.select("doc_id", "text", "tree").join(e, "doc_id", "left"), file, P.PATTERN).cache()
+        for r in kept.collect():
+            assert r["tokens_after"] == whole(tok, r["text"] or "") and r["chars_after"] == len(r["text"] or "")
+            assert r["reencoded_chars"] < 2000 if r["doc_id"] in (0, 2, 10) else r["reencoded_chars"] == 0
+            check(tok, T.Tree.of([[(n["chars"], n["tokens"]) for n in level] for level in r["tree"]]), r["text"] or "")
+    assert {r["doc_id"]: r["text"] for r in kept.collect()}[9] is None
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", [(0, 1, "c")], "x", 5)], "doc_id long, text string, edits array<struct<at int, remove int, insert string>>, sums string, tokens_after int")
+    assert T.count_edits(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first()["tokens_after"] == 2
