@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,42 @@ def test_index_of_substrings_equals_the_scan(spark, tmp_path):
     assert {tuple(r) for r in substrings.matches(df, q).collect()} == want
 
 
+@pytest.mark.parametrize("sent", [substrings.SENT, 0])
+def test_many_queries_equal_the_scan(spark, sent):
+    """A row for each row of query and message, of any lengths, repeated and null keys, wherever a text holds the query."""
+    words = ["the", "and", "Über", "naïve", "😀x", "a", "B c", "ing "]
+    some = random.Random(3)
+    rows = [(f"m{i}", " ".join(some.choices(words, k=some.randrange(60)))) for i in range(400)]
+    far = "".join(some.choices("ab😀é", k=300_000))
+    rows += [("far", far), ("m7", rows[7][1]), ("m7", rows[8][1]), (None, rows[9][1]), ("none", None), ("empty", ""), ("cut", "th"), ("on", "e and the")]
+    texts = [c for _, c in rows if c and c != far]
+    asked = [(i, (c := some.choice(texts))[(a := some.randrange(len(c))) : a + some.choice([3, 4, 5, 9, 15, 16, 17, 31, 32, 40, 64, 65, 120])]) for i in range(150)]
+    asked += [(200, far[131_066:131_075]), (201, far[131_060:131_140].upper()), (202, far[-9:]), (203, "b" + far[-70:]), (204, far[:200])]
+    asked += [(205, None), (206, ""), (207, "ab"), (208, "nowhere at all"), (209, "the and the"), (209, "the and the"), (209, "THE AND"), (None, "ing the a")]
+    df = spark.createDataFrame(rows, "message_id string, content string").repartition(3)
+    got = substrings.matches(df, spark.createDataFrame(asked, "query_id int, q string"), sent=sent).collect()
+    want = [(i, m) for i, q in asked if q and len(q) >= 3 for m, c in rows if c and q.lower() in c.lower()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert substrings.matches(df, spark.createDataFrame([(1, "ab"), (2, None)], "query_id int, q string"), sent=sent).collect() == []
+
+
+def test_many_queries_move_matches_only(spark):
+    """Texts whose three-character pieces are all alike: what leaves a task are matches, and texts are not shuffled."""
+    some = random.Random(4)
+    rows = [(i, "".join(some.choices("ab", k=200))) for i in range(500)]
+    df = spark.createDataFrame(rows, "message_id long, content string").repartition(3)
+    asked = [(i, "".join(some.choices("ab", k=15))) for i in range(300)]
+    q = spark.createDataFrame(asked, "query_id int, q string")
+    got = substrings.matches(df, q)
+    want = sorted((i, m) for i, x in asked for m, c in rows if x in c)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    once = {(x, m) for i, x in asked for m, c in rows if x in c}
+    left = substrings.hits(df, q.select(F.col("q").alias("anchor")), [15], len(asked), "message_id", "content")
+    assert len(once) <= left.agg(F.sum(F.size("keys"))).first()[0] < 1.1 * len(once) + 100
+
+
 def test_newest_pairs_equal_all_pairs(spark):
     rows = [(f"m{i:03}", f"c{i % 4}", ["user", "assistant"][i // 2 % 2], "x", 1000 - i // 9, ["chatgpt", "claude", None, "cli"][i % 11 % 4], i) for i in range(200)]
     df = spark.createDataFrame(rows, MESSAGE)
