@@ -74,6 +74,11 @@ def search(messages: DataFrame, path: str, q: str, key: str = "message_id", text
     return rows.filter(ilike(F.col(text), q))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, letter by letter: a capital sigma is the same at a word's end, so that a part of a text stays one."""
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+
+
 def anchors(q: Column) -> Column:
     """Pieces that each text with q holds."""
     n = F.length(q)
@@ -181,14 +186,14 @@ def hits(messages: DataFrame, asked: DataFrame, sizes: list[int], n: int, key: s
                     n, found = 0, {}
 
     kind = messages.schema[key].dataType.simpleString()
-    return messages.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")).mapInArrow(run, f"anchor string, keys array<{kind}>")
+    return messages.select(F.col(key).alias("key"), folded(F.coalesce(F.col(text), F.lit(""))).alias("text")).mapInArrow(run, f"anchor string, keys array<{kind}>")
 
 
 def matches(messages: DataFrame, queries: DataFrame, key: str = "message_id", text: str = "content", sent: int = SENT) -> DataFrame:
     """queries(query_id, q) -> query_id, key of each message that holds q in any case, for many queries. Anchors that are
     the query prove it; a longer query is verified in the texts that hold its rarest anchor. Queries of under three
     characters find nothing."""
-    wanted = queries.filter(F.length("q") >= SIZE).select("query_id", F.lower("q").alias("q"))
+    wanted = queries.filter(F.length("q") >= SIZE).select("query_id", folded(F.col("q")).alias("q"))
     asked = wanted.select("q", F.explode(anchors(F.col("q"))).alias("anchor"))
     about = asked.agg(F.count("*").alias("n"), F.sum(F.length("q") + 32).alias("chars"), F.max(F.length("q")).alias("longest"), F.collect_set(F.length("anchor")).alias("sizes")).first()
     send = F.broadcast if (about["chars"] or 0) <= sent else lambda d: d
@@ -202,6 +207,6 @@ def matches(messages: DataFrame, queries: DataFrame, key: str = "message_id", te
     rarest = of_long.groupBy("q").agg(F.min_by("anchor", F.struct(F.coalesce("n", F.lit(0)), "anchor")).alias("anchor"))
     pairs = found.join(rarest, "anchor").select("q", F.explode("keys").alias("_key")).distinct()
     # by key and not by row: of a key that several messages have, each is verified
-    texts = messages.select(F.col(key).alias("_of"), F.lower(F.col(text)).alias("_text"))
+    texts = messages.select(F.col(key).alias("_of"), folded(F.col(text)).alias("_text"))
     held = pairs.join(texts, F.col("_key").eqNullSafe(F.col("_of"))).filter(F.contains("_text", "q"))
     return short.unionByName(held.select("q", "_of").join(send(long), "q").select("query_id", F.col("_of").alias(key)))

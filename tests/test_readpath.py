@@ -135,6 +135,14 @@ def test_many_queries_equal_the_scan(spark, sent):
     assert substrings.matches(df, spark.createDataFrame([(1, "ab"), (2, None)], "query_id int, q string"), sent=sent).collect() == []
 
 
+def test_many_queries_find_parts_that_end_in_a_sigma(spark):
+    rows = [("a", "ΟΔΟΣ ΑΘΗΝΑΣ"), ("b", "οδοσ"), ("c", "ΟΔΟΣΑ"), ("d", "οδος")]
+    df = spark.createDataFrame(rows, "message_id string, content string")
+    q = spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "δοσα"), (3, "ΟΔΟΣ ΑΘΗΝΑΣ"), (4, "Σ Α")], "query_id int, q string")
+    got = sorted(map(tuple, substrings.matches(df, q).collect()))
+    assert got == [(1, "a"), (1, "b"), (1, "c"), (2, "c"), (3, "a"), (4, "a")]
+
+
 def test_many_queries_move_matches_only(spark):
     """Texts whose three-character pieces are all alike: what leaves a task are matches, and texts are not shuffled."""
     some = random.Random(4)
