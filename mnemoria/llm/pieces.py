@@ -2,7 +2,8 @@
 
 Distinct words (a run of blanks with what follows it) are encoded once: their substrings of bounded length are exploded
 and equi-joined to the piece table; the matching edges are grouped by word; a higher-order aggregate folds the edges
-into a segmentation. Texts are then written as their words' ids.
+into a segmentation. Texts are then written as their words' ids: all words are sent to every task, or where they are too
+many the most frequent, and the others of a text are joined to it.
 
 The fold depends on the model. A unigram model takes the Viterbi fold (largest sum of scores). A BPE model is not a
 shortest path: its fold runs over the edges in rank order and merges each edge whose two parts are still whole, which
@@ -25,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, cut, flat, small_batches, span_hash, spread, text_batches
+from .common import BASE_A, BASE_B, cut, flat, give_back, small_batches, span_hash, spread, text_batches
 
 BLANK = "▁"
 #: Longest word, in characters, whose cuts are held in one long.
 LONGEST = 60
-#: Most distinct words that are sent to every task (about 22 bytes each); beyond it, words are joined.
+#: Most distinct words that are all sent to every task (about 22 bytes each); beyond it, the most frequent are, and the
+#: others are joined.
 BROADCAST_WORDS = 8_000_000
+#: Most words that are sent to every task where others are joined.
+FREQUENT_WORDS = 4_000_000
 
 
 @dataclass
@@ -81,22 +85,22 @@ FULL = (1 << 20) - 1
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(w) -> w, edges: array of (r rank, i, j, late, ids, s score), best first. Every character has an edge."""
-    spark = words.sparkSession
+    """words(w, more) -> w, more, edges: array of (r rank, i, j, late, ids, s score), best first. Every character has an edge."""
+    spark, own = words.sparkSession, words.columns
     table = spark.createDataFrame(ranked(pieces), "p string, id long, s double, r long, late boolean")
     n = F.length("w")
     # edges leave in order of k, so that grouping by it sorts what is in order
-    at = words.select(F.monotonically_increasing_id().alias("k"), "w").select("k", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    sub = at.select("k", "w", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + pieces.longest))).alias("j"))
+    at = words.select(F.monotonically_increasing_id().alias("k"), *own).select("k", *own, F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    sub = at.select("k", *own, "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + pieces.longest))).alias("j"))
     sub = sub.withColumn("p", F.col("w").substr(F.col("i") + 1, F.col("j") - F.col("i")))
     hit = sub.join(F.broadcast(table), "p", "left").filter(F.col("id").isNotNull() | (F.col("j") == F.col("i") + 1))  # the table has the model's size
     bits = F.shiftleft(F.coalesce("r", F.lit(FULL)), 35) + F.shiftleft(F.col("i").cast("long"), 28) + F.shiftleft(F.col("j").cast("long"), 21)
     bits = bits + F.when(F.col("late"), 1 << 20).otherwise(0) + F.coalesce("id", F.lit(FULL))
     if pieces.bpe:
-        got = hit.groupBy("k", "w").agg(F.sort_array(F.collect_list(bits)).alias("x"))
+        got = hit.groupBy("k", *own).agg(F.sort_array(F.collect_list(bits)).alias("x"))
         e = lambda x: (x, F.lit(0.0))
     else:
-        got = hit.groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct(bits.alias("b"), F.coalesce("s", F.lit(-1e12)).alias("s")))).alias("x"))
+        got = hit.groupBy("k", *own).agg(F.sort_array(F.collect_list(F.struct(bits.alias("b"), F.coalesce("s", F.lit(-1e12)).alias("s")))).alias("x"))
         e = lambda x: (x["b"], x["s"])
 
     def edge(x):
@@ -105,7 +109,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
         i, j, name = field(28, 7), field(21, 7), field(0, 20)
         return F.struct(field(35, 20).alias("r"), i.alias("i"), j.alias("j"), (field(20, 1) == 1).alias("late"), name.alias("id"), s.alias("s"))
 
-    return got.select("w", F.transform("x", edge).alias("edges"))
+    return got.select(*own, F.transform("x", edge).alias("edges"))
 
 
 def _between(cuts: Column, i: Column, j: Column) -> Column:
@@ -159,7 +163,7 @@ def fold_viterbi(edges: Column, n: Column) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(w), up to LONGEST characters each -> w, ids."""
+    """words(w, more), up to LONGEST characters each -> w, more, ids."""
     e = lattice(words, pieces)
     if pieces.bpe:
         # edges of one character cannot join anything
@@ -176,7 +180,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         own = F.transform(F.sequence(F.lit(0), F.length(code).cast("int") - 2, F.lit(2)), lambda k: F.conv(F.substring(code, k + 1, F.lit(2)), 16, 10).cast("int") + pieces.bytes_at)
         return F.when(x["id"] == FULL, own).otherwise(F.array(x["id"]))
 
-    return e.select("w", F.flatten(F.transform(in_order, ids)).alias("ids"))
+    return e.select(*words.columns, F.flatten(F.transform(in_order, ids)).alias("ids"))
 
 
 def merge_long(word: str, rank: dict[str, tuple[int, int]], bytes_at: int) -> list[int]:
@@ -277,7 +281,7 @@ def _keys(buf, starts, ends):
 
 
 def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs(text) -> w: every distinct word of up to LONGEST characters, blanks as U+2581.
+    """docs(text) -> w, tasks: every distinct word of up to LONGEST characters, blanks as U+2581, and how many tasks had it.
 
     Words are dealt to more partitions than usual, as a word becomes many substrings and edges there."""
     beside = neighbours(pieces)
@@ -295,11 +299,12 @@ def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
             yield pa.record_batch([pa.array([v for v in w if len(v) <= LONGEST], pa.string())], names=["w"])
 
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("text").mapInArrow(run, "w string").repartition(parts, "w").distinct()
+    return docs.select("text").mapInArrow(run, "w string").repartition(parts, "w").groupBy("w").agg(F.count("*").alias("tasks"))
 
 
 def _packed(words: DataFrame) -> DataFrame:
-    """words(w, ids) -> a, b, n, ids as arrays of bytes, 10000 words a row: the words' hashes, numbers of ids and ids."""
+    """words(w, tasks, ids) -> a, b, n, ids, tasks as arrays of bytes, 10000 words a row: the words' hashes, numbers of ids,
+    ids and numbers of tasks (up to 65535)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -307,106 +312,191 @@ def _packed(words: DataFrame) -> DataFrame:
                 w = [v.replace(BLANK, " ").encode() for v in x.column(0).to_pylist()]
                 ends = np.cumsum([len(v) for v in w])
                 a, b = _keys(np.frombuffer(b"".join(w), np.uint8), np.r_[0, ends[:-1]], ends)
-                ids = x.column(1)
+                ids, tasks = x.column(1), np.minimum(np.asarray(x.column(2)), 65535).astype(np.uint16)
                 n, flat_ids = np.diff(np.asarray(ids.offsets)).astype(np.uint8), np.asarray(ids.flatten()).astype(np.uint32)
-                yield pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in (a, b, n, flat_ids)], names=["a", "b", "n", "ids"])
+                yield pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in (a, b, n, flat_ids, tasks)], names=list(PACKED))
 
-    return words.select("w", "ids").mapInArrow(run, "a binary, b binary, n binary, ids binary")
+    return words.select("w", "ids", "tasks").mapInArrow(run, ", ".join(f"{c} binary" for c in PACKED))
+
+
+PACKED = {"a": np.uint64, "b": np.uint32, "n": np.uint8, "ids": np.uint32, "tasks": np.uint16}
+
+
+def _frequent(packed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """packed in two: the words of the most tasks, up to `most` (words of equally many tasks stay together), and the others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            tasks, n = np.unique(np.frombuffer(b"".join(x.column(0).to_pylist()), np.uint16), return_counts=True)
+            yield pa.record_batch([pa.array(tasks.astype(np.int64)), pa.array(n)], names=["tasks", "n"])
+
+    least, left = 1 << 16, most
+    sizes = packed.select("tasks").mapInArrow(count, "tasks long, n long").groupBy("tasks").agg(F.sum("n").alias("n"))  # up to 65535 rows
+    for r in sorted(sizes.collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["tasks"]
+
+    def part(frequent: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                for r in x.to_pylist():
+                    v = {c: np.frombuffer(r[c], k) for c, k in PACKED.items()}
+                    own = (v["tasks"] >= least) == frequent
+                    out = [v[c][own if c != "ids" else np.repeat(own, v["n"])].tobytes() for c in PACKED]
+                    yield pa.record_batch([pa.array([o], pa.binary()) for o in out], names=list(PACKED))
+
+        return packed.mapInArrow(run, packed.schema)
+
+    return part(True), part(False)
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
-    """-> a, b, ids, a row per word."""
+    """-> a, b, ids (bytes of 32-bit numbers), a row per word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for r in x.to_pylist():
-                off = np.r_[0, np.cumsum(np.frombuffer(r["n"], np.uint8), dtype=np.int64)].astype(np.int32)
-                ids = np.frombuffer(r["ids"], np.uint32).astype(np.int32)
-                yield pa.record_batch([pa.array(np.frombuffer(r["a"], np.int64)), pa.array(np.frombuffer(r["b"], np.uint32).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(ids))], names=["a", "b", "ids"])
+                off = np.r_[0, np.cumsum(np.frombuffer(r["n"], np.uint8), dtype=np.int64) * 4].astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(r["ids"])])
+                yield pa.record_batch([pa.array(np.frombuffer(r["a"], np.int64)), pa.array(np.frombuffer(r["b"], np.int32)), ids], names=["a", "b", "ids"])
 
-    return packed.mapInArrow(run, "a long, b long, ids array<int>")
+    return packed.mapInArrow(run, "a long, b int, ids binary")
+
+
+def _in_order(a: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An index of words: a in order, with numbers and places of ids, and ids."""
+    start = (np.cumsum(n, dtype=np.uint32) - n).astype(np.uint32)
+    order = np.argsort(a).astype(np.uint32)
+    return a[order], n[order], start[order], ids
 
 
 def _index(packed: DataFrame, pieces: int) -> tuple[np.ndarray, ...]:
-    """a in order, with numbers and places of ids, and ids; gathered part by part, so that the driver holds it once."""
+    """The index of all words; gathered part by part, so that the driver holds it once."""
     kinds = {"a": np.uint64, "n": np.uint8, "ids": np.uint16 if pieces <= 1 << 16 else np.uint32}
     size = packed.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in kinds]).first()
-    got = {c: np.empty(size[c] // np.dtype(np.uint32 if c == "ids" else k).itemsize, k) for c, k in kinds.items()}
+    got = {c: np.empty(size[c] // np.dtype(PACKED[c]).itemsize, k) for c, k in kinds.items()}
     at = dict.fromkeys(kinds, 0)
     for r in packed.select(*kinds).toLocalIterator():
-        for c, k in kinds.items():
-            v = np.frombuffer(r[c], np.uint32 if c == "ids" else k)
+        for c in kinds:
+            v = np.frombuffer(r[c], PACKED[c])
             got[c][at[c] : at[c] + len(v)] = v
             at[c] += len(v)
-    start = (np.cumsum(got["n"], dtype=np.uint32) - got["n"]).astype(np.uint32)
-    order = np.argsort(got["a"]).astype(np.uint32)
-    return got["a"][order], got["n"][order], start[order], got["ids"]
+    return _in_order(**got)
+
+
+def _encoded(texts: pa.Array, beside: tuple[np.ndarray, np.ndarray], encode_long, *indexes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end and the n+1 offsets of the texts. Words are looked up in the indexes; only those of over
+    LONGEST characters are in none."""
+    buf, starts, ends, per = _cut_words(*flat(texts), beside)
+    distinct, inverse = np.unique(span_hash(buf, starts, ends, BASE_A), return_inverse=True)
+    of, at, count = np.full(len(distinct), -1, np.int8), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    for k, (a, n, _, _) in enumerate(indexes):
+        if len(a):
+            place = np.minimum(np.searchsorted(a, distinct), len(a) - 1)
+            here = (a[place] == distinct) & (of < 0)
+            of[here], at[here], count[here] = k, place[here], n[place[here]]
+    of, at, count = of[inverse], at[inverse], count[inverse]
+    long = {int(k): encode_long(bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)) for k in np.flatnonzero(of < 0)}
+    for k, v in long.items():
+        count[k] = len(v)
+    owner, place = spread(count)
+    out, whose = np.zeros(len(owner), np.int32), of[owner]
+    for k, (_, _, start, ids) in enumerate(indexes):
+        own = np.flatnonzero(whose == k)
+        out[own] = ids[start[at[owner[own]]].astype(np.int64) + place[own]]
+    first = np.cumsum(count) - count
+    for k, v in long.items():
+        out[first[k] : first[k] + len(v)] = v
+    return out, np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(per)]]
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", broadcast_words: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
     """docs(id, text) -> id, ids array<int>, text (if decoded: what the ids decode to, in the same pass)."""
     small_batches(docs)
     d = docs.select(id_col, F.translate(F.coalesce("text", F.lit("")), BLANK, " ").alias("text"))
-    packed = cut(_packed(encode_words(distinct_words(d, pieces), pieces)))
+    packed, rest = cut(_packed(encode_words(distinct_words(d, pieces), pieces))), None
     if (packed.agg(F.sum(F.length("n"))).first()[0] or 0) > broadcast_words:
-        got = encode_joined(d, packed, pieces, id_col)
-        if not decoded:
-            return got
-        back = decode(got.select(F.struct(id_col, "ids").alias("row"), "ids"), pieces, "row")
-        return back.select(f"row.{id_col}", "row.ids", "text")
+        packed, rest = _frequent(packed, min(broadcast_words, FREQUENT_WORDS))
     held = docs.sparkSession.sparkContext.broadcast(_index(packed, len(pieces.blobs)))
-    beside = neighbours(pieces)
-    encode_long, kind = long_words(pieces), docs.schema[id_col].dataType.simpleString()
+    blobs = docs.sparkSession.sparkContext.broadcast(_blobs(pieces))  # the model's size
+    beside, encode_long = neighbours(pieces), long_words(pieces)
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>{', text string' if decoded else ''}"
+
+    def rows(ids: pa.Array, texts: pa.Array, *more: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        out, off = _encoded(texts, beside, encode_long, held.value, *more)
+        text = [_decoded(out, off, *blobs.value)] if decoded else []
+        return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out)), *text], names=[id_col, "ids", "text"][: 2 + decoded])
+
+    if rest is None:
+        return d.mapInArrow(lambda batches: (rows(*x.columns) for x in text_batches(batches, "text")), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, n, start, ids = held.value
-        for x in text_batches(batches, "text"):
-            buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
-            ha = span_hash(buf, starts, ends, BASE_A)
-            distinct, inverse = np.unique(ha, return_inverse=True)
-            at = np.minimum(np.searchsorted(a, distinct), max(len(a) - 1, 0))[inverse] if len(a) else np.zeros(len(ha), np.int64)
-            known = a[at] == ha if len(a) else np.zeros(len(ha), bool)
-            count = np.where(known, n[at] if len(a) else 0, 0).astype(np.int64)
-            long = {int(k): encode_long(bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)) for k in np.flatnonzero(~known)}
-            for k, v in long.items():
-                count[k] = len(v)
-            owner, place = spread(count)
-            out = np.zeros(len(owner), np.int32)
-            ok = known[owner]
-            out[ok] = ids[start[at[owner[ok]]].astype(np.int64) + place[ok]]
-            first = np.cumsum(count) - count
-            for k, v in long.items():
-                out[first[k] : first[k] + len(v)] = v
-            off = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(per)]]
-            text = [_decoded(out, off, *pieces_of.value)] if decoded else []
-            yield pa.record_batch([x.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out)), *text], names=[id_col, "ids", "text"][: 2 + decoded])
-
-    pieces_of = docs.sparkSession.sparkContext.broadcast(_blobs(pieces))  # the model's size
-    return d.mapInArrow(run, f"{id_col} {kind}, ids array<int>{', text string' if decoded else ''}")
-
-
-def encode_joined(d: DataFrame, packed: DataFrame, pieces: Pieces, id_col: str) -> DataFrame:
-    """The way for vocabularies too large to broadcast: occurrences of words joined to the encoded words by their
-    hashes. Long words bring their ids with them."""
-    encode_long, beside = long_words(pieces), neighbours(pieces)
+        for x, texts in _unzipped(batches):
+            words = x.column(3).flatten()  # of the texts of this batch, whichever
+            a, first = np.unique(np.asarray(words.field("a")).view(np.uint64), return_index=True)
+            ids, off = flat(words.field("ids").take(pa.array(first)))
+            yield rows(x.column(0), texts, _in_order(a, np.diff(off) // 4, ids.view(np.uint32)))
+
+    # the key finds a text's words again; rows and texts that share one have each other's words as well, to no effect
+    d = d.select(F.col(id_col).alias("row"), F.xxhash64(id_col, "text").alias("key"), "text")
+    words = _rare(d, held, beside).join(_unpacked(rest), ["a", "b"]).select("key", F.struct("a", "ids").alias("word"))
+    words = words.repartition("key").groupBy("key").agg(F.collect_list("word").alias("words"))
+    got = _zipped(d).join(words, "key", "left")
+    return got.select("row", "size", "zipped", F.coalesce("words", F.array().cast(words.schema["words"].dataType))).mapInArrow(run, schema)
+
+
+def _rare(d: DataFrame, held, beside: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """d(key, text) -> key, a, b: the words of each text that the index hasn't, once a text, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value[0]
         for x in text_batches(batches, "text"):
             buf, starts, ends, per = _cut_words(*flat(x.column(1)), beside)
             a, b = _keys(buf, starts, ends)
-            owner, place = spread(per)
-            own = [None] * len(a)
-            for k in np.flatnonzero(ends - starts > LONGEST):
-                w = bytes(buf[starts[k] : ends[k]]).decode().replace(" ", BLANK)
-                if len(w) > LONGEST:
-                    own[k] = encode_long(w)
-            yield pa.record_batch([pa.array(np.asarray(x.column(0))[owner]), pa.array(place), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(own, pa.list_(pa.int32()))], names=["row", "k", "a", "b", "own"])
-
-    rows = cut(d.withColumn("row", F.monotonically_increasing_id()))
-    at = rows.select("row", "text").mapInArrow(run, "row long, k long, a long, b long, own array<int>")
-    got = at.join(_unpacked(packed), ["a", "b"], "left").select("row", F.struct("k", F.coalesce("own", "ids").alias("ids")).alias("e"))
-    got = got.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["ids"])).alias("ids"))
-    return rows.join(got, "row", "left").select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+            before = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
+            rare = before[ends] - before[starts] <= LONGEST
+            if len(known):
+                distinct, inverse = np.unique(a, return_inverse=True)
+                rare &= (known[np.minimum(np.searchsorted(known, distinct), len(known) - 1)] != distinct)[inverse]
+            at, text = np.flatnonzero(rare), np.repeat(np.arange(x.num_rows), per)[rare]
+            at = at[np.lexsort((a[at], text))]  # the texts are in order already
+            key, a, b = np.asarray(x.column(0))[text], a[at], b[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
+            yield pa.record_batch([pa.array(key[new]), pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int32))], names=["key", "a", "b"])
+
+    return d.select("key", "text").mapInArrow(run, "key long, a long, b int")
+
+
+def _zipped(d: DataFrame) -> DataFrame:
+    """d(row, key, text) -> row, key, size, zipped: the texts are shuffled in less room than Spark's own compression leaves them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for x in text_batches(batches, "text"):
+            buf, off = flat(x.column(2))
+            raw, at = buf.tobytes(), off.tolist()
+            zipped = pa.array([codec.compress(raw[i:j], asbytes=True) for i, j in zip(at, at[1:])], pa.binary())
+            yield pa.record_batch([x.column(0), x.column(1), pa.array(np.diff(off)), zipped], names=["row", "key", "size", "zipped"])
+
+    return d.select("row", "key", "text").mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, key long, size long, zipped binary")
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows of _zipped, so many at a time that their texts have about `most` bytes (one longer text stands alone), and the texts."""
+    codec = pa.Codec("zstd")
+    for b in batches:
+        give_back()
+        ends, start = np.cumsum(np.asarray(b.column(1))), 0
+        while start < b.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            x = b.slice(start, end - start)
+            texts = [codec.decompress(z.as_buffer(), n, asbytes=True) for z, n in zip(x.column(2), x.column(1).to_pylist())]
+            yield x, pa.array(texts, pa.binary())
+            start = end
+    give_back()
 
 
 def _blobs(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -56,6 +56,30 @@ def test_joined_way_is_equal(docs, encoded, model):
     assert other == {r["doc_id"]: list(r["ids"]) for r in encoded.collect()}
 
 
+def test_only_rare_words_are_joined(spark, model):
+    """With too many words to send to every task, all but the most frequent leave it; texts are shuffled once, zipped."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common = [word() for _ in range(500)]
+    rows = [(i % 1900, " ".join([rng.choice(common) for _ in range(400)] + [word(), word()]) + " " + "q" * (i % 3 * 70)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "ids long, text string").withColumnRenamed("ids", "key").repartition(4).localCheckpoint()
+    size = sum(len(t) for _, t in rows)
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    want = M.encode(docs, model, "key", decoded=True).collect()
+    before = shuffled()
+    got = M.encode(docs, model, "key", broadcast_words=700, decoded=True).collect()
+    moved = shuffled() - before
+    assert 0 < moved < size
+    assert sorted((r["key"], r["text"], r["ids"]) for r in got) == sorted((r["key"], r["text"], r["ids"]) for r in want)
+    assert sorted((r["key"], r["text"]) for r in got) == sorted(rows)
+
+
 def test_viterbi_takes_the_best_sum(spark):
     """A unigram table: the fold against all segmentations."""
     rng = random.Random(2)
